@@ -3,12 +3,14 @@
 A merge table fixes, for every byte string, one sequence of tokens.  Two facts
 make that a left-to-right machine.  A sequence is the one of its bytes exactly
 if every pair of neighbours is (their joined bytes encode to just these two), and
-so the encoding of a prefix ends in one token that is found from the encodings
-of shorter prefixes.  The machine therefore keeps, after each byte, the threads
-that can still matter: a trie node of the token being read, and the tokens since
-the last certain one.  What all threads begin with is certain and is emitted; a
-token is held back only while some thread disagrees, no longer than the longest
-token reaches.  Sets of threads are states, made and kept when first reached.
+so the encoding of each prefix ends in one token, which is the prefix's own encoding
+continued.  The nondeterministic machine has a thread for every place where a token
+may have begun, each at a node of the trie of tokens.  Its subset construction is
+made as texts reach it: a state is the set of nodes of the live threads, and a step
+on a byte has the tokens that may end there as its candidates.  The one whose pair
+with the token before it is sound ends the prefix.  A token is certain once every
+live thread descends from it, no later than the longest token reaches; those are
+emitted and forgotten whenever `HOLD` bytes are pending, so memory stays bounded.
 
 Decoding looks bytes up and feeds a UTF-8 state machine, whose steps are kept for
 each pair of state and token, so that a stream may be cut at any token.
@@ -28,8 +30,9 @@ import regex
 from pyspark.sql import DataFrame
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
+HOLD = 4096
 _STATES = 200_000  # states and kept words are dropped beyond these and made anew
-_KEPT = 400_000
+_KEPT = 700_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -79,18 +82,19 @@ class Transducer:
                 node = to
             self.token[node] = rank
         self.none = max(ranks.values()) + 1
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
+        self.longest = max(map(len, ranks))
         self.edges: tuple[dict, dict] = ({}, {})
         self.sound: dict[int, bool] = {}
         self._reset()
 
     def _reset(self) -> None:
-        self.states: list[tuple] = []  # (token before the threads, ((node, tokens), ...)), newest thread last
-        self.known: dict[tuple, int] = {}
+        self.states: list[tuple[int, ...]] = []  # trie nodes of the live threads, oldest thread first; each is as deep as it is old
+        self.known: dict[tuple[int, ...], int] = {}
         self.step: list[dict[int, tuple[int, tuple]]] = []
-        self._state((-1, ((0, ()),)))
+        self._state((0,))
 
-    def _state(self, key: tuple) -> int:
+    def _state(self, key: tuple[int, ...]) -> int:
         at = self.known.get(key)
         if at is None:
             at = self.known[key] = len(self.states)
@@ -121,7 +125,7 @@ class Transducer:
             ok = self.sound[b] = merge(self.bytes[b], self.ranks) == [b]
         if not ok or a < 0:
             return ok
-        ok = self.pairs.get((a, b))
+        ok = self.pairs.get(a << 20 | b)
         if ok is None:
             if len(self.pairs) > 10 * _STATES:
                 self.pairs.clear()
@@ -141,32 +145,23 @@ class Transducer:
                     i += 1
                 else:
                     j += 1
-            self.pairs[a, b] = ok
+            self.pairs[a << 20 | b] = ok
         return ok
 
     def _move(self, at: int, byte: int) -> tuple[int, tuple]:
-        before, threads = self.states[at]
-        moved, ended = [], None
-        for node, tokens in threads:
+        """The next state, and the tokens that may end there with their lengths, longest first."""
+        live, ended = [], []
+        for node in self.states[at]:
             to = self.child[node].get(byte)
             if to is None:
                 continue
             if self.child[to]:
-                moved.append((to, tokens))
-            if ended is None and self.token[to] >= 0 and self._follows(tokens[-1] if tokens else before, self.token[to]):
-                ended = (*tokens, self.token[to])
-        assert ended is not None, "the vocabulary lacks a byte"
-        moved.append((0, ended))
-        first = moved[0][1]
-        sure = len(first)
-        for _, tokens in moved:
-            i, n = 0, min(sure, len(tokens))
-            while i < n and tokens[i] == first[i]:
-                i += 1
-            sure = i
-            if not i:
-                return self._state((before, tuple(moved))), ()
-        return self._state((first[sure - 1], tuple([(n, t[sure:]) for n, t in moved]))), first[:sure]
+                live.append(to)
+            token = self.token[to]
+            if token >= 0 and self._follows(-1, token):
+                ended.append((token, len(self.bytes[token])))
+        assert ended, "the vocabulary lacks a byte"
+        return self._state((*live, 0)), tuple(ended)
 
     def encode(self, data: bytes) -> tuple[int, ...]:
         whole = self.ranks.get(data)
@@ -174,16 +169,52 @@ class Transducer:
             return (whole,)
         if len(self.states) > _STATES:
             self._reset()
-        at, out, step = 0, [], self.step
+        out: list[int] = []
+        last = [-1]  # the token that each pending prefix ends in
+        at, i, step, sound = 0, 0, self.step, self.pairs.get
         for byte in data:
             to = step[at].get(byte)
             if to is None:
                 to = step[at][byte] = self._move(at, byte)
-            at = to[0]
-            if to[1]:
-                out.extend(to[1])
-        out.extend(self.states[at][1][-1][1])
-        return tuple(out)
+            at, ended = to
+            i += 1
+            if len(ended) > 1:
+                for token, n in ended:
+                    before = last[i - n]
+                    if before < 0:
+                        break
+                    ok = sound(before << 20 | token)
+                    if ok is None:
+                        ok = self._follows(before, token)
+                    if ok:
+                        break
+                else:
+                    raise AssertionError("no token ends here")
+                last.append(token)
+            else:
+                last.append(ended[0][0])
+            if i > HOLD:
+                last = self._emit(last, self.longest, out)
+                i = len(last) - 1
+        size, back = self.bytes, []
+        while i > 0:
+            back.append(last[i])
+            i -= len(size[last[i]])
+        return (*out, *back[::-1])
+
+    def _emit(self, last: list[int], open_: int, out: list[int]) -> list[int]:
+        """Emits what every prefix of the last open_ bytes agrees on; returns what is pending after it."""
+        size, end = self.bytes, len(last) - 1
+        common = None
+        for i in range(max(0, end - open_), end + 1):
+            chain = {}
+            while i > 0:
+                chain[i] = last[i]
+                i -= len(size[last[i]])
+            common = chain if common is None else {k: v for k, v in chain.items() if k in common}
+        sure = max(common, default=0)
+        out.extend(common[k] for k in sorted(common))
+        return [last[sure] if sure else last[0], *last[sure + 1 :]]
 
 
 #: UTF-8 states: 0 between characters; 1 to 3 that many continuation bytes missing; then the four whose next byte is bounded; the last is an error.
@@ -236,6 +267,7 @@ class Codec:
         self.machine = Transducer(load(path))
         self.find = regex.compile(split).findall
         self.kept: dict[str, tuple[int, ...]] = {}
+        self.digits = {i: str(i) for i in self.machine.bytes}
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
@@ -295,7 +327,7 @@ def digests(docs: DataFrame, path: str | None = None, split: str | None = None)
                 for t in texts:
                     ids = own.encode(t) if t else []
                     n.append(len(ids))
-                    one.append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+                    one.append(hashlib.sha256(" ".join(map(own.digits.__getitem__, ids)).encode()).hexdigest())
                     two.append(hashlib.sha256(own.decode(ids)).hexdigest())
                 yield pa.RecordBatch.from_arrays([doc_ids, pa.array(n, pa.int64()), pa.array(one), pa.array(two)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

@@ -93,8 +93,8 @@ class Words:
         return grams_hash(self.hash, k)[at] if len(at) else np.zeros(0, np.uint64), bounds
 
 
-def words(texts: pa.Array, lower: bool = False) -> Words:
-    """Null texts have no words."""
+def words(texts: pa.Array, lower: bool = False, word_bytes: np.ndarray = _WORD) -> Words:
+    """Null texts have no words. word_bytes tells for each byte value whether it belongs to words."""
     texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
     bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
     raw = texts.buffers()[2] if len(texts) else None
@@ -104,15 +104,16 @@ def words(texts: pa.Array, lower: bool = False) -> Words:
         data = _LOWER[data]
     n = len(data)
     word = np.zeros(n + 2, bool)
-    word[1:-1] = _WORD[data]
+    word[1:-1] = word_bytes[data]
     edge = np.zeros(n + 1, bool)
     edge[bounds] = True
     start = np.flatnonzero(word[1:-1] & (~word[:-2] | edge[:-1]))
     end = np.flatnonzero(word[1:-1] & (~word[2:] | edge[1:])) + 1
-    return Words(data, bounds, start, end, np.searchsorted(start, bounds), _hashes(data, start, end))
+    return Words(data, bounds, start, end, np.searchsorted(start, bounds), bytes_hash(data, start, end))
 
 
-def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def bytes_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of data[start:end], for spans in order."""
     out = np.empty(len(start), np.uint64)
     i = 0
     while i < len(start):

@@ -5,13 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from riskstream.llm import bpe, secrets
-from riskstream.llm.common import documents
+from riskstream.llm import bpe, decontaminate, html, language_model, secrets, toxicity
+from riskstream.llm.common import crc_remainder, documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit(docs, documents(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    held = F.coalesce(crc_remainder(F.col("doc_id"), 3) == 1, F.lit(False))
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(documents(spark, sf_dir))
 
@@ -20,8 +29,27 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir))
 
 
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.scores(documents(spark, sf_dir))
+
+
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(documents(spark, sf_dir, "pages"))
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op4_secrets": op4_secrets, "op5_bpe": op5_bpe}
+    return {
+        "op1_toxicity": op1_toxicity,
+        "op4_secrets": op4_secrets,
+        "op5_bpe": op5_bpe,
+        "op8_language_model": op8_language_model,
+        "op9_html": op9_html,
+        "op10_decontaminate": op10_decontaminate,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
