@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskstream.llm import bpe, decontaminate, html, language_model, secrets, toxicity
+from riskstream.llm import bpe, decontaminate, html, language_model, near_dedup, secrets, substring_dedup, toxicity
 from riskstream.llm.common import crc_remainder, documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,14 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.deduplicated(documents(spark, sf_dir), digest=True).withColumnRenamed("kept", "kept_sha256")
+
+
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.duplicates(documents(spark, sf_dir))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(documents(spark, sf_dir))
 
@@ -44,6 +52,8 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_toxicity": op1_toxicity,
+        "op2_substring_dedup": op2_substring_dedup,
+        "op3_near_dedup": op3_near_dedup,
         "op4_secrets": op4_secrets,
         "op5_bpe": op5_bpe,
         "op8_language_model": op8_language_model,
