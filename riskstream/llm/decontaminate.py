@@ -48,6 +48,7 @@ class Items:
         w = words(pa.array(texts, pa.binary()), lower=True)
         n = np.diff(w.first)
         full, bounds = w.grams(k)
+        self.k = k
         self.ids = np.array(ids, np.int64)
         self.shingles: list[np.ndarray] = []
         self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -123,24 +124,45 @@ def _blocks(items: DataFrame, block_words: int) -> Iterator[tuple[list[int], lis
         yield ids, texts
 
 
+def clean(docs: DataFrame, items: DataFrame, k: int = WORDS, contained: float = CONTAINED, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of docs, all columns, that hold none of the items; rows without doc_id are judged by their text like others."""
+    names = docs.columns
+    for ids, texts in _blocks(items, block_words):
+        sent = docs.sparkSession.sparkContext.broadcast((ids, texts))
+
+        def rows(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            known = Items(*sent.value, k)
+            for batch in pieces(batches, "text"):
+                found = {f[0] for f in _held(known, batch.column(names.index("text")), contained)}
+                yield batch.filter(pa.array([i not in found for i in range(batch.num_rows)], pa.bool_()))
+
+        docs = docs.mapInArrow(rows, docs.schema)
+    return docs
+
+
+def _held(items: Items, texts: pa.Array, contained: float) -> set[tuple[int, int, int, int]]:
+    """(document, item, shared, shingles of the item) by place, verified."""
+    w = words(texts.cast(pa.binary()), lower=True)
+    grams, bounds = w.grams(items.k)
+    found: set[tuple[int, int, int, int]] = set()
+    for doc, item in items.find(grams, bounds):
+        wanted = items.shingles[item]
+        shared = int(np.isin(wanted, grams[bounds[doc] : bounds[doc + 1]]).sum())
+        if shared >= contained * len(wanted):
+            found.add((doc, item, shared, len(wanted)))
+    for m, (hashes, which) in items.short.items():
+        grams_m, bounds_m = w.grams(m)
+        for at in np.flatnonzero(np.isin(grams_m, hashes)):
+            doc = int(np.searchsorted(bounds_m, at, "right") - 1)
+            found |= {(doc, int(which[j]), 1, 1) for j in np.flatnonzero(hashes == grams_m[at])}
+    return found
+
+
 def _search(sent, k: int, contained: float):
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items(*sent.value, k)
         for batch in pieces(batches, "text"):
-            w = words(batch.column(1), lower=True)
-            grams, bounds = w.grams(k)
-            found: list[tuple[int, int, int, int]] = []
-            for doc, item in sorted(items.find(grams, bounds)):
-                wanted = items.shingles[item]
-                shared = int(np.isin(wanted, grams[bounds[doc] : bounds[doc + 1]]).sum())
-                if shared >= contained * len(wanted):
-                    found.append((doc, item, shared, len(wanted)))
-            for m, (hashes, which) in items.short.items():
-                grams_m, bounds_m = w.grams(m)
-                for at in np.flatnonzero(np.isin(grams_m, hashes)):
-                    doc = int(np.searchsorted(bounds_m, at, "right") - 1)
-                    found += [(doc, int(which[j]), 1, 1) for j in np.flatnonzero(hashes == grams_m[at])]
-            table = np.array(sorted(set(found)), np.int64).reshape(-1, 4)
+            table = np.array(sorted(_held(items, batch.column(1), contained)), np.int64).reshape(-1, 4)
             doc_ids = batch.column(0).take(pa.array(table[:, 0]))
             yield pa.RecordBatch.from_arrays(
                 [doc_ids, pa.array(items.ids[table[:, 1]] if len(table) else [], pa.int64()), pa.array(table[:, 2]), pa.array(table[:, 3]), pa.array(table[:, 2] / np.maximum(table[:, 3], 1))],

@@ -4,9 +4,9 @@ A document's set is its distinct word shingles.  Equal sets are one entry from t
 start, known by a fingerprint, so exact copies never meet one another.  An entry's
 signature has `TREES * DEPTH` MinHash values, and each tree orders entries by them
 from another place on, around the end.  Entries with a common prefix of `DEPTH`
-values in some tree are a region; two sets of similarity 0.85 fall together in none
-of the 32 trees with probability (1 - 0.85**7)**32 = 4e-6, and less the more alike
-they are.  Depth adapts to the region: one of more than `REGION` entries is cut by
+values in some tree are a region; two sets of similarity 0.8 fall together in none
+of the 37 trees with probability (1 - 0.8**6)**37 = 1e-5, those of 0.85 with 2e-8, and
+less the more alike they are.  Depth adapts to the region: one of more than `REGION` entries is cut by
 the next `DEPTH` values, as often as it takes, and what still stands together after
 four times that many equal values is chained in sorted order.  Regions with the same
 entries in several trees are looked at once.
@@ -39,9 +39,9 @@ from riskstream.llm.common import mix, pieces, spans_hash, words, written
 from riskstream.llm.components import components
 from riskstream.llm.language_model import pack, unpack
 
-WORDS = 3
-SIMILAR = 85  # per cent
-TREES, DEPTH = 32, 7
+WORDS = 5
+SIMILAR = 80  # per cent
+TREES, DEPTH = 37, 6
 LEVELS = 4
 REGION = 256
 CLUSTER = 2_000_000

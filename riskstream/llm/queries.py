@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskstream.llm import bpe, decontaminate, html, language_model, near_dedup, secrets, substring_dedup, toxicity
+from riskstream.llm import bpe, decontaminate, html, language_model, licenses, near_dedup, neighbours, secrets, substring_dedup, toxicity
 from riskstream.llm.common import crc_remainder, documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,7 +26,7 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.duplicates(documents(spark, sf_dir))
+    return near_dedup.duplicates(documents(spark, sf_dir), k=3, similar=85)
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +37,14 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.found(documents(spark, sf_dir), licenses.notices(spark))
+
+
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(documents(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.scores(documents(spark, sf_dir))
 
@@ -56,6 +64,8 @@ def queries() -> dict[str, Query]:
         "op3_near_dedup": op3_near_dedup,
         "op4_secrets": op4_secrets,
         "op5_bpe": op5_bpe,
+        "op6_licenses": op6_licenses,
+        "op7_neighbours": op7_neighbours,
         "op8_language_model": op8_language_model,
         "op9_html": op9_html,
         "op10_decontaminate": op10_decontaminate,
