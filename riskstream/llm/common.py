@@ -170,6 +170,19 @@ def written(df: DataFrame, what: str, by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sieved(df: DataFrame, column: str, ids: DataFrame, bits: int = 1 << 23) -> DataFrame:
+    """The rows of df whose long column is in ids of the same column, and few others: a one-hash Bloom filter.
+
+    It is a table of bits / 64 rows at most, whatever ids holds, so broadcasting it is bounded; with more ids than bits
+    it keeps everything. Use it before a join that settles the rest.
+    """
+    place = F.pmod(F.xxhash64(F.col(column)), F.lit(bits))
+    bit = F.expr("shiftleft(cast(1 as bigint), cast(_place % 64 as int))")
+    word = lambda d: d.withColumn("_place", place).withColumns({"_word": F.floor(F.col("_place") / 64), "_bit": bit})
+    table = word(ids.select(column).where(F.col(column).isNotNull())).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    return word(df).join(F.broadcast(table), "_word").where(F.col("_bit").bitwiseAND(F.col("_bits")) != 0).select(df.columns)
+
+
 def drop(spark: SparkSession, *tables: DataFrame) -> None:
     """Removes written tables that nothing reads any more."""
     for table in tables:

@@ -2,14 +2,15 @@
 
 A document's set is its distinct word shingles.  Equal sets are one entry from the
 start, known by a fingerprint, so exact copies never meet one another.  An entry's
-signature has `TREES * DEPTH` MinHash values, and each tree orders entries by them
+signature has `DEPTH` MinHash values for each tree, and each tree orders entries by them
 from another place on, around the end.  Entries with a common prefix of `DEPTH`
-values in some tree are a region; two sets of similarity 0.8 fall together in none
-of the 37 trees with probability (1 - 0.8**6)**37 = 1e-5, those of 0.85 with 2e-8, and
-less the more alike they are.  Depth adapts to the region: one of more than `REGION` entries is cut by
-the next `DEPTH` values, as often as it takes, and what still stands together after
-four times that many equal values is chained in sorted order.  Regions with the same
-entries in several trees are looked at once.
+values in some tree are a region.  There are as many trees as it takes for two sets at
+the limit to fall together in none with a probability of `MISS` or less, which is
+(1 - s**6)**n: 25 trees for 0.85, 38 for 0.8; more alike sets are missed far more seldom.  Depth adapts: entries of a
+region with more than `REGION` of them are ordered anew by prefixes `DEPTH` values
+longer, in as many more trees (75, 209, ...) as keep the same bound, until regions are
+small; what still stands together in `LEVELS` times `DEPTH` equal values is chained to its first.
+Regions with the same entries in several trees are looked at once.
 
 Inside a region, neighbours in the tree's order come first and then whatever is not
 connected yet: pairs whose signatures agree in `AGREE` of their values (4.5 standard
@@ -28,29 +29,56 @@ component and is kept; repeated rows each give a row; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskstream.llm.common import mix, pieces, spans_hash, words, written
+from riskstream.llm.common import mix, pieces, sieved, spans_hash, words, written
 from riskstream.llm.components import components
 from riskstream.llm.language_model import pack, unpack
 
 WORDS = 5
 SIMILAR = 80  # per cent
-TREES, DEPTH = 37, 6
+DEPTH = 6
+MISS = 1e-5
 LEVELS = 4
 REGION = 256
 CLUSTER = 2_000_000
-_SEEDS = np.random.Generator(np.random.PCG64(23)).integers(1, 1 << 63, (2, TREES * DEPTH), np.uint64)
-_MUL, _ADD = _SEEDS[0] * np.uint64(2) + np.uint64(1), _SEEDS[1]
+
+
+def trees_for(similar: int, depth: int = DEPTH) -> int:
+    return math.ceil(math.log(MISS) / math.log(1 - (similar / 100) ** depth))
+
+
+def values_for(similar: int) -> int:
+    """Length of signatures: a prime, so that every stride around them passes all values."""
+    n = trees_for(similar) * DEPTH
+    while any(n % i == 0 for i in range(2, math.isqrt(n) + 1)):
+        n += 1
+    return n
+
+
+def tree_key(level: int, values: int) -> Column:
+    """Hash of the values that a tree's order begins with: consecutive ones at first, with other strides in deeper forests."""
+    if not level:
+        prefix = F.expr(f"substring(signature, tree * {DEPTH} + 1, {DEPTH})")
+    else:
+        at = lambda j: f"(tree * 37 + {j} * (2 + tree % {values - 2})) % {values} + 1"
+        prefix = F.concat(*(F.expr(f"substring(signature, {at(j)}, 1)") for j in range(DEPTH * (level + 1))))
+    return F.xxhash64(F.lit(level), "tree", prefix)
+
+
+def _seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
+    seeds = np.random.Generator(np.random.PCG64(23)).integers(1, 1 << 63, (2, n), np.uint64)
+    return seeds[0] * np.uint64(2) + np.uint64(1), seeds[1]
 
 
 def agreement(similar: int) -> int:
-    p, n = similar / 100, TREES * DEPTH
+    p, n = similar / 100, values_for(similar)
     return int(n * p - 4.5 * (n * p * (1 - p)) ** 0.5)
 
 
@@ -72,20 +100,23 @@ def sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     return grams, np.searchsorted(doc, np.arange(len(count) + 1))
 
 
-def _signed(k: int):
+def _signed(k: int, similar: int):
+    values = values_for(similar)
+    mul, add = _seeds(values)
+
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             grams, bounds = sets(batch.column(1), k)
             n = np.diff(bounds)
             some = np.flatnonzero(n)
             one, two = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
-            signature = np.zeros((len(n), TREES * DEPTH), np.uint8)
+            signature = np.zeros((len(n), values), np.uint8)
             if len(some):
                 start = bounds[some]
                 one[some] = np.add.reduceat(grams, start).view(np.int64)
                 two[some] = np.add.reduceat(mix(grams ^ np.uint64(0x5851F42D4C957F2D)), start).view(np.int64)
-                for j in range(TREES * DEPTH):
-                    signature[some, j] = (mix(np.minimum.reduceat(grams * _MUL[j] + _ADD[j], start)) & np.uint64(255)).astype(np.uint8)
+                for j in range(values):
+                    signature[some, j] = (mix(np.minimum.reduceat(grams * mul[j] + add[j], start)) & np.uint64(255)).astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(one), pa.array(two), pa.array([r.tobytes() for r in signature], pa.binary())],
                 ["doc_id", "n_shingles", "one", "two", "signature"],
@@ -196,13 +227,18 @@ def _fetch(k: int):
 def duplicates(docs: DataFrame, k: int = WORDS, similar: int = SIMILAR, region: int = REGION, cluster: int = CLUSTER) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document of docs(doc_id, text)."""
     text = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    signed = written(text.mapInArrow(_signed(k), "doc_id long, n_shingles long, one long, two long, signature binary"), "signed")
+    signed = written(text.mapInArrow(_signed(k, similar), "doc_id long, n_shingles long, one long, two long, signature binary"), "signed")
     entries = signed.where("n_shingles > 0 and doc_id is not null").groupBy("one", "two").agg(F.min(F.struct("doc_id", "n_shingles", "signature")).alias("e"))
     entries = written(entries.select("one", "two", F.col("e.doc_id").alias("entry"), F.col("e.n_shingles").alias("size"), F.col("e.signature").alias("signature")), "entries")
 
-    # regions of each tree, deeper where there are many
-    turned = lambda level: F.xxhash64("tree", F.expr(f"substring(concat(signature, signature), tree * {DEPTH} + 1, {DEPTH * (level + 1)})"))
-    stand = entries.select("entry", "signature", F.explode(F.expr(f"sequence(0, {TREES - 1})")).alias("tree")).select("entry", "tree", turned(0).alias("key"))
+    # regions of each tree; deeper forests for the entries of large ones
+    values = values_for(similar)
+
+    def ordered(some: DataFrame, level: int) -> DataFrame:
+        trees = F.explode(F.sequence(F.lit(0), F.lit(trees_for(similar, DEPTH * (level + 1)) - 1))).alias("tree")
+        return some.select("entry", "signature", trees).select("entry", "tree", tree_key(level, values).alias("key"))
+
+    stand = ordered(entries, 0)
     found = None
     for level in range(LEVELS):
         size = stand.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.expr("xxhash64(entry) >> 24")).alias("members"), F.min("entry").alias("first")).where("n > 1")
@@ -215,13 +251,14 @@ def duplicates(docs: DataFrame, k: int = WORDS, similar: int = SIMILAR, region:
         if not large.limit(1).count():
             large = None
             break
-        again = stand.join(large, "key").select("entry", "tree", F.col("key").alias("above")).join(entries.select("entry", "signature"), "entry")
-        stand = written(again.select("entry", "tree", F.xxhash64("above", turned(level + 1)).alias("key")), "deeper")
+        if level + 1 < LEVELS:
+            hot = written(stand.join(large, "key").select("entry").distinct(), "hot")
+            stand = ordered(entries.join(hot, "entry"), level + 1)
     members = found.distinct().join(entries.select("entry", "signature"), "entry")
     near = members.groupBy("key").applyInArrow(_region(agreement(similar)), _EDGE)
     if large is not None:
-        # equal in four times the depth: chained to the first of them
-        near = near.unionAll(stand.groupBy("key").agg(F.min("entry").alias("b")).join(stand, "key").select(F.col("entry").alias("a"), "b"))
+        # a cluster may hold too much, since exact comparison follows
+        near = near.unionAll(size.select("key", F.col("first").alias("b")).join(large, "key").join(stand, "key").select(F.col("entry").alias("a"), "b"))
     clusters = components(near)
 
     # sets of clusters, each fetched once; blocks of large clusters
@@ -231,7 +268,10 @@ def duplicates(docs: DataFrame, k: int = WORDS, similar: int = SIMILAR, region:
     placed = sized.join(total, "component").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
     paired = F.expr("if(blocks = 1, array(xxhash64(component)), transform(sequence(cast(0 as bigint), blocks - 1), j -> xxhash64(component, least(j, block), greatest(j, block))))")
     placed = placed.select("node", F.explode(paired).alias("group"))
-    fetched = docs.select(F.col("doc_id").alias("node"), F.col("text").cast("binary").alias("text")).join(placed.groupBy("node").agg(F.collect_list("group").alias("groups")), "node")
+    placed = written(placed, "placed")
+    # a sieve of fixed size spares most other documents the shuffle
+    near_text = sieved(docs.select(F.col("doc_id").alias("node"), "text"), "node", placed)
+    fetched = near_text.select("node", F.col("text").cast("binary").alias("text")).join(placed.groupBy("node").agg(F.collect_list("group").alias("groups")), "node")
     shingles = fetched.select("text", "node", "groups").mapInArrow(_fetch(k), "entry long, group long, shingles binary")
     links = shingles.groupBy("group").applyInArrow(_linked(similar), _EDGE)
     linked = components(links)
