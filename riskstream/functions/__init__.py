@@ -18,8 +18,8 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius:
     """Great-circle distance; null where a coordinate is."""
     half = lambda a, b: F.pow(F.sin(F.radians(b - a) / 2), 2)
     a = half(lat1, lat2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half(lon1, lon2)
-    # rounding may carry antipodes past 1
-    return 2 * radius * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
+    # rounding may carry antipodes past 1; least() would turn null into 1
+    return 2 * radius * F.asin(F.when(a > 1, F.lit(1.0)).otherwise(F.sqrt(a)))
 
 
 def speed_kmh(distance_km: Column, gap_seconds: Column, zero_gap: str = "inf") -> Column:

@@ -337,7 +337,7 @@ _FEATURES = f"""{_UNIFIED}, e AS (SELECT uni.*, epoch_us(event_ts) AS us, CASE W
 
 @query(
     f"""WITH {_FEATURES} SELECT event_id, customer_id, event_type, event_ts, fraud_label AS label, rank AS is_payment, failed AS is_failed, round(ln(1 + amount), 9) AS amount_log, round(CASE WHEN average <> 0 THEN amount / average END, 9) AS amount_vs_customer_avg,
-    CAST(hour(event_ts) AS INTEGER) AS hour, CAST(isodow(event_ts) - 1 AS INTEGER) AS dow, round(2 * 6371.0088::DOUBLE * asin(least(1.0, sqrt(pow(sin(radians(home_lat - lat) / 2), 2) + cos(radians(lat)) * cos(radians(home_lat)) * pow(sin(radians(home_lon - lon) / 2), 2)))), 9) AS dist_km_from_home,
+    CAST(hour(event_ts) AS INTEGER) AS hour, CAST(isodow(event_ts) - 1 AS INTEGER) AS dow, round(CASE WHEN lat IS NOT NULL AND home_lat IS NOT NULL THEN 2 * 6371.0088::DOUBLE * asin(least(1.0, sqrt(pow(sin(radians(home_lat - lat) / 2), 2) + cos(radians(lat)) * cos(radians(home_lat)) * pow(sin(radians(home_lon - lon) / 2), 2)))) END, 9) AS dist_km_from_home,
     tx_n AS tx_count_120s, fail_n AS failed_pay_count_60s, event_n AS event_count_300s, round(CASE WHEN us - before <= 300000000 THEN (us - before) / 1e6 END, 9) AS seconds_since_prev_event,
     CASE WHEN device_id IS NOT NULL THEN CASE WHEN device_n = 1 THEN 1 ELSE 0 END END AS is_new_device, CASE WHEN merchant_id IS NULL OR merchant_n = 1 THEN 1 ELSE 0 END AS is_new_merchant,
     CASE WHEN payment_method = 'CARD' THEN 1 ELSE 0 END AS payment_method_is_card FROM f"""

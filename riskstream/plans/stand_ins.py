@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,7 +19,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_id, customer_id, event_ts, kind, amount, k, lat, lon."""
     # times of the tables have no zone; the session's zone decides what instants they are, and UTC is what windows are aligned to
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    k = F.from_json("props", StructType.fromDDL("k int"))["k"]
+    k = F.from_json("props", "k int")["k"]
     own = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("customer_id"), F.col("ts").cast("timestamp").alias("event_ts"), F.col("event_type").alias("kind"), F.col("value").alias("amount"), k.alias("k"))
     return own.withColumns({"lat": F.col("k") * 1.8 - 90.0, "lon": F.col("k") * 3.6 - 180.0})
 

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StringType, StructType, TimestampType
 
 TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss"
 
 
-def schema(ddl: str) -> StructType:
-    return StructType.fromDDL(" ".join(ddl.split()))
+_TYPES = {"string": StringType, "int": IntegerType, "double": DoubleType, "boolean": BooleanType, "timestamp": TimestampType}
+
+
+def schema(fields: str) -> StructType:
+    """From 'name type, ...'. The parser of DDL needs a session, which importing a module must not."""
+    out = StructType()
+    for field in fields.split(","):
+        name, kind = field.split()
+        out.add(name, _TYPES[kind]())
+    return out
 
 
 # Field names and types of the event feeds.

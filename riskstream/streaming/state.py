@@ -17,6 +17,10 @@ from riskstream.config import DEFAULT, Settings
 from riskstream.functions import DETECTOR_RADIUS_KM, micros
 
 
+def _row(out: str, *values) -> Row:
+    return Row(**dict(zip((f.split()[0] for f in out.split(",")), values, strict=True)))
+
+
 def distance_km(lat1: float, lon1: float, lat2: float, lon2: float, radius: float = DETECTOR_RADIUS_KM) -> float:
     from math import asin, cos, radians, sin, sqrt
 
@@ -44,7 +48,7 @@ class Travel(StatefulProcessor):
                 far = distance_km(latest[0], latest[1], r.lat, r.lon)
                 speed = far / (gap / 3600) if gap > 0 else float("inf") if self.zero_gap == "inf" else None
                 if speed is not None and speed > self.s.speed_over:
-                    yield Row(r.transaction_id, key[0], latest[0], latest[1], r.lat, r.lon, far, gap, speed, r.us, self.s.travel.alert_type, self.s.travel.points)
+                    yield _row(self.OUT, r.transaction_id, key[0], latest[0], latest[1], r.lat, r.lon, far, gap, speed, r.us, self.s.travel.alert_type, self.s.travel.points)
             if latest is None or r.us >= latest[2]:
                 latest = (r.lat, r.lon, r.us)
         if latest is not None:
@@ -76,7 +80,7 @@ class HighValue(StatefulProcessor):
             short = sum(week) / len(week) if week else 0.0
             baseline = max(long_, short)
             if len(month) >= s.high_value_history and baseline > 0 and r.amount > s.high_value_times * baseline:
-                yield Row(r.transaction_id, key[0], r.amount, short, long_, baseline, r.amount / baseline, r.us, s.high_value.alert_type, s.high_value.points)
+                yield _row(self.OUT, r.transaction_id, key[0], r.amount, short, long_, baseline, r.amount / baseline, r.us, s.high_value.alert_type, s.high_value.points)
             history.append((r.us, r.amount))
         if history:
             least = max(t for t, _ in history) - s.high_value_long * 1_000_000
@@ -116,8 +120,8 @@ class OnlineFeatures(StatefulProcessor):
             if r.merchant_id is not None:
                 new_merchant = 0 if self.merchants.containsKey((r.merchant_id,)) else 1
                 self.merchants.updateValue((r.merchant_id,), (True,))
-            yield Row(
-                r.event_id, key[0], r.event_type, r.us, r.amount, r.status, r.lat, r.lon, r.device_id, r.merchant_id, r.payment_method,
+            yield _row(
+                self.OUT, r.event_id, key[0], r.event_type, r.us, r.amount, r.status, r.lat, r.lon, r.device_id, r.merchant_id, r.payment_method,
                 sum(x[1] for x in since(self.tx)), sum(x[2] for x in since(self.fail)), len(near), gap, new_device, new_merchant,
             )
             recent.append((r.us, r.event_type == "transactions", r.status == "FAILED"))
