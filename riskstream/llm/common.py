@@ -149,6 +149,8 @@ def crc(value: int, n: int) -> int:
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    # texts are large rows: by the default number of rows, batches would take most of a small executor
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

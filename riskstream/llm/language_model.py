@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from riskstream.llm.common import crc_remainder, mix, pieces, words, written
 
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 9 << 20
 PRIOR = 40.0
 _END, _START = np.uint64(0xE0D0E0D0E0D0E0D1), np.uint64(0x57A2757A2757A271)
 _A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)

@@ -46,8 +46,8 @@ SIMILAR = 80  # per cent
 DEPTH = 6
 MISS = 1e-5
 LEVELS = 4
-REGION = 256
-CLUSTER = 2_000_000
+REGION = 4096
+CLUSTER = 1_000_000
 
 
 def trees_for(similar: int, depth: int = DEPTH) -> int:
