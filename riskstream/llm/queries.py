@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from riskstream.llm import bpe, decontaminate, html, language_model, licenses, near_dedup, neighbours, secrets, substring_dedup, toxicity
 from riskstream.llm.common import crc_remainder, documents
+from riskstream.llm.sql import SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -73,4 +74,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
