@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskstream.functions import FEATURE_RADIUS_KM, haversine_km, micros
@@ -16,6 +16,16 @@ FEATURES = (
 TX_SECONDS, FAIL_SECONDS, EVENT_SECONDS = 120, 60, 300
 
 
+def of_itself() -> dict[str, Column]:
+    """The features that need only the event and its customer(avg_transaction, home_lat, home_lon): the same on streams."""
+    flag = lambda p: F.coalesce(p, F.lit(False)).cast("int")
+    return {
+        "is_payment": flag(F.col("event_type") == "payments"), "is_failed": flag(F.col("status") == "FAILED"), "amount_log": F.log1p("amount"),
+        "amount_vs_customer_avg": F.when(F.col("avg_transaction") != 0, F.col("amount") / F.col("avg_transaction")), "hour": F.hour("event_ts"), "dow": F.weekday("event_ts"),
+        "dist_km_from_home": haversine_km(F.col("lat"), F.col("lon"), F.col("home_lat"), F.col("home_lon"), FEATURE_RADIUS_KM), "payment_method_is_card": flag(F.col("payment_method") == "CARD"),
+    }
+
+
 def features(events: DataFrame, customers: DataFrame, fraud: DataFrame | None = None) -> DataFrame:
     """event_id, customer_id, event_type, event_ts, label and FEATURES of events(event_id, event_type, customer_id, event_ts,
     amount, status, lat, lon, device_id, merchant_id, payment_method).
@@ -36,16 +46,10 @@ def features(events: DataFrame, customers: DataFrame, fraud: DataFrame | None =
     in_order = Window.partitionBy("customer_id").orderBy("us", *ties)
     gap = (F.col("us") - F.lag("us").over(in_order)) / 1e6
     first = lambda c: F.row_number().over(Window.partitionBy("customer_id", c).orderBy("us", *ties)) == 1
-    none = F.lit(None)
-    return own.select(
-        "event_id", "customer_id", "event_type", "event_ts", "label",
-        payment.cast("int").alias("is_payment"), failed.cast("int").alias("is_failed"), F.log1p("amount").alias("amount_log"),
-        F.when(F.col("avg_transaction") != 0, F.col("amount") / F.col("avg_transaction")).alias("amount_vs_customer_avg"),
-        F.hour("event_ts").alias("hour"), F.weekday("event_ts").alias("dow"),
-        haversine_km(F.col("lat"), F.col("lon"), F.col("home_lat"), F.col("home_lon"), FEATURE_RADIUS_KM).alias("dist_km_from_home"),
-        back.count(TX_SECONDS, F.col("event_type") == "transactions").alias("tx_count_120s"), back.count(FAIL_SECONDS, failed).alias("failed_pay_count_60s"),
-        back.count(EVENT_SECONDS).alias("event_count_300s"), F.when(gap <= EVENT_SECONDS, gap).alias("seconds_since_prev_event"),
-        F.when(F.col("device_id").isNotNull(), first("device_id").cast("int")).otherwise(none).alias("is_new_device"),
-        F.when(F.col("merchant_id").isNotNull(), first("merchant_id").cast("int")).otherwise(1).alias("is_new_merchant"),
-        F.coalesce(F.col("payment_method") == "CARD", F.lit(False)).cast("int").alias("payment_method_is_card"),
-    )
+    sequential = {
+        "tx_count_120s": back.count(TX_SECONDS, F.col("event_type") == "transactions"), "failed_pay_count_60s": back.count(FAIL_SECONDS, failed), "event_count_300s": back.count(EVENT_SECONDS),
+        "seconds_since_prev_event": F.when(gap <= EVENT_SECONDS, gap), "is_new_device": F.when(F.col("device_id").isNotNull(), first("device_id").cast("int")),
+        "is_new_merchant": F.when(F.col("merchant_id").isNotNull(), first("merchant_id").cast("int")).otherwise(1),
+    }
+    columns = of_itself() | sequential
+    return own.select("event_id", "customer_id", "event_type", "event_ts", "label", *(columns[f].alias(f) for f in FEATURES))

@@ -13,8 +13,10 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from riskstream import ml
 from riskstream.config import DEFAULT, Settings
 from riskstream.functions import DETECTOR_RADIUS_KM, micros
+from riskstream.operators.features import FEATURES, of_itself
 
 
 def _row(out: str, *values) -> Row:
@@ -152,6 +154,16 @@ def feature_stream(events: DataFrame) -> DataFrame:
     return _stateful(events, ["event_id", "event_type", "amount", "status", "lat", "lon", "device_id", "merchant_id", "payment_method"], OnlineFeatures())
 
 
+def scored_stream(model, events: DataFrame, customers: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Every event once, with all model features from the events before it, and its probability.
+
+    State, and so the features after a restart, are in the query's checkpoint; customers are joined as a static table.
+    """
+    known = customers.select("customer_id", "avg_transaction", "home_lat", "home_lon")
+    own = feature_stream(events).join(known, "customer_id", "left").withColumns(of_itself())
+    return ml.score(model, own.select("event_id", "customer_id", "event_type", "event_ts", "amount", *FEATURES), threshold)
+
+
 def event_union(transactions: DataFrame, payments: DataFrame) -> DataFrame:
     """Transactions and payments as one stream of events; payments have no place and no device."""
     text, number = F.lit(None).cast("string"), F.lit(None).cast("double")

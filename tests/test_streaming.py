@@ -6,6 +6,7 @@ import os
 
 import pytest
 
+from riskstream import ml
 from riskstream.operators import detectors, windows
 from riskstream.operators.features import features
 from riskstream.operators.parse import split
@@ -83,6 +84,19 @@ def test_online_features_equal_batch_across_a_restart(spark, tmp_path):
     assert got == expected and len(got) == 24
 
 
+def test_online_scores_equal_batch(spark, tmp_path):
+    lines = [record(i, 40 * i, "ab"[i % 2], amount=500.0 if i % 6 == 0 else 5.0) for i in range(60)]
+    for n in range(3):
+        drop(tmp_path / "in", n, lines[20 * n : 20 * n + 20])
+    shape = lambda df: state.event_union(df, df.where("false").withColumnRenamed("transaction_id", "payment_id"))
+    customers = spark.createDataFrame([("a", 10.0, 0.0, 0.0)], "customer_id string, avg_transaction double, home_lat double, home_lon double")
+    own = shape(batch(spark, tmp_path / "in"))
+    table = features(own, customers, own.where("amount > 100"))
+    model = ml.train(table, ml.Params(trees=3, depth=3, rate=0.3))
+    got = {r.event_id: r.fraud_probability for r in run(spark, state.scored_stream(model, shape(stream(spark, tmp_path / "in")), customers), "scored", tmp_path, "update").collect()}
+    assert got == {r.event_id: r.fraud_probability for r in ml.score(model, table).collect()} and len(got) == 60
+
+
 def test_dead_letters_duplicates_late_rows_and_restart(spark, tmp_path):
     source, out, dead = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "dead")
 
