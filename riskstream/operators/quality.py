@@ -33,6 +33,15 @@ def events_checks(events: DataFrame, labels: int | None = None, rows: int | None
     return checks(events, measures, expected)
 
 
+def facts(events: DataFrame) -> DataFrame:
+    """What a manifest tells of the unified events, in one pass: rows, distinct ids and customers, labelled, scored, unreadable times, and the mean probability of labelled rows."""
+    labelled = F.col("fraud_scenario").isNotNull()
+    return events.agg(
+        F.count("*").alias("rows"), F.count_distinct("event_id").alias("distinct_event_ids"), F.count_distinct("customer_id").alias("customers"), count_where(labelled).alias("labelled"),
+        count_where(F.col("fraud_probability").isNotNull()).alias("scored"), count_where(F.col("event_ts").isNull()).alias("null_event_ts"), F.round(F.avg(F.when(labelled, F.col("fraud_probability"))), 4).alias("avg_labelled_probability"),
+    )
+
+
 def conserved(detail: DataFrame, summary: DataFrame, name: str, column: str = "n_fraud") -> DataFrame:
     """A summary's total equals the number of rows it sums up."""
     total = summary.agg(F.coalesce(F.sum(column), F.lit(0)).cast("long").alias("total"), F.lit(0).cast("long").alias("rows"))

@@ -16,9 +16,10 @@ from riskstream import ml
 from riskstream.config import DEFAULT
 from riskstream.operators import detectors, gold, metrics, quality, risk, tables, windows
 from riskstream.operators.features import features
-from riskstream.operators.parse import split
+from riskstream.operators.parse import flattened, split
 from riskstream.plans import stand_ins as t
 from riskstream.plans.lake import enriched_feed, unified
+from riskstream.sources.readers import sampled
 
 DAY = 86400
 SCALED = replace(DEFAULT, velocity_window=DAY, velocity_over=5, failures_window=DAY, failures_over=2, login_gap=6 * 3600, risk_window=DAY, speed_over=50.0)
@@ -408,6 +409,41 @@ def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(quality.events_checks(own), quality.conserved(own.where("fraud_label = 1"), _summary(spark, sf_dir), "fraud_conserved"))
 
 
+@query(
+    f"""WITH {_UNIFIED} SELECT count(*) AS "rows", count(DISTINCT event_id) AS distinct_event_ids, count(DISTINCT customer_id) AS customers, count(fraud_scenario) AS labelled, count(fraud_probability) AS scored,
+    count(*) FILTER (event_ts IS NULL) AS null_event_ts, round(avg(fraud_probability) FILTER (fraud_scenario IS NOT NULL), 4) AS avg_labelled_probability FROM uni"""
+)
+def silver_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return out(quality.facts(_unified(spark, sf_dir)))
+
+
+@query(f"WITH {_UNIFIED} SELECT alert_type, event_type, count(*) AS n FROM uni WHERE fraud_label = 1 GROUP BY ALL")
+def label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fraud(spark, sf_dir).groupBy("alert_type", "event_type").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_SUMMARY} SELECT risk_level, count(*) AS n FROM summary GROUP BY risk_level")
+def risk_level_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _summary(spark, sf_dir).groupBy("risk_level").agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(*) AS n_rows, count(*) FILTER (event_id % 10 = 0) AS bad_rows FROM events")
+def passthrough_bad_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record parsed and passed on, sound or not; those without a readable time are counted."""
+    time = F.when(F.col("event_id") % 10 == 0, "soon").otherwise(F.date_format("event_ts", "yyyy-MM-dd'T'HH:mm:ss"))
+    own = t.events(spark, sf_dir)
+    records = own.select(F.to_json(F.struct(F.col("event_id").cast("string").alias("transaction_id"), time.alias("event_time"))).cast("binary").alias("value"))
+    return flattened(records, "transactions").agg(F.count("*").alias("n_rows"), F.count_if(F.col("event_ts").isNull()).alias("bad_rows"))
+
+
+@query('SELECT "partition", count AS n, first FROM (SELECT user_id % 3 AS "partition", count(*) AS count, min(event_id) AS first FROM events GROUP BY ALL)')
+def source_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A keyed source by partition: how many records, and the first sampled one of each."""
+    own = t.table(spark, sf_dir, "events").select(F.pmod("user_id", F.lit(3)).alias("partition"), F.col("event_id").alias("offset"))
+    counts, _ = sampled(own)
+    return counts.join(own.groupBy("partition").agg(F.min("offset").alias("first")), "partition").select("partition", F.col("count").alias("n"), "first")
+
+
 @query(
     """SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 10 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, round(o_totalprice, 9) AS o_totalprice FROM orders
     UNION ALL SELECT -1 - o_orderkey, o_custkey, 'N', round(o_totalprice, 9) FROM orders WHERE o_orderkey % 100 = 0"""

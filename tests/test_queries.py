@@ -6,6 +6,7 @@ import os
 
 import pytest
 
+from riskstream.plans import streams  # noqa: F401  (registers the streaming queries)
 from riskstream.plans.queries import QUERIES, SQL
 
 duckdb = pytest.importorskip("duckdb")
@@ -49,7 +50,7 @@ def test_gbt_scores_are_probabilities(spark):
 
 
 def test_no_python_in_batch_plans(spark):
-    for name in set(QUERIES) - {"gbt_score"}:
+    for name in (n for n in QUERIES if n != "gbt_score" and not n.startswith("stream_")):
         plan = QUERIES[name](spark, DIR)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan, name
 
