@@ -134,3 +134,36 @@ def test_progress_and_lag():
     assert (n["batch_id"], n["num_input_rows"], n["watermark"], n["source_end_offset"]) == (3, 5, "w", {"t": {"0": 4}})
     assert runner.lag(p) == 5
     assert runner.lag({"sources": [{"endOffset": "x"}]}) is None
+
+
+def test_publish_and_read_back(spark, tmp_path):
+    folder = str(tmp_path / "topic")
+    records = spark.createDataFrame([(b"a", bytearray(record(1, 0).encode())), (b"b", bytearray(b"garbage"))], "key binary, value binary")
+    sinks.publish(records, folder)
+    got = readers.keyed_batch(spark, folder).collect()
+    assert sorted(str(r.key and bytes(r.key)) for r in got) == ["None", str(b"a")]  # the key is the customer, where there is one
+    assert readers.event_stream(readers.keyed_batch(spark, folder), "topic", "transactions").where("event_ts is null").count() == 1
+
+
+def test_live_run_and_listener(spark, tmp_path):
+    drop(tmp_path / "in", 0, [record(i, i) for i in range(3)])
+    seen = []
+    listener = runner.BatchListener(lambda query, progress: seen.append(progress["num_input_rows"]))
+    spark.streams.addListener(listener)
+    try:
+        told = runner.run_for(sinks.memory(stream(spark, tmp_path / "in"), "live", "append", str(tmp_path / "live")), 8, "1 second")
+    finally:
+        spark.streams.removeListener(listener)
+    assert told["rows"] == 3 and told["error"] is None and told["batches"] >= 1
+    assert sum(seen) == 3
+
+
+def test_append_mode_under_a_watermark_drops_late_rows(spark, tmp_path):
+    drop(tmp_path / "in", 0, [record(1, 10), record(2, 20)])
+    drop(tmp_path / "in", 1, [record(3, 400)])
+    drop(tmp_path / "in", 2, [record(4, 700)])  # the watermark of the batch before is what counts
+    drop(tmp_path / "in", 3, [record(5, 15), record(6, 1000)])
+    drop(tmp_path / "in", 4, [record(7, 5000)])
+    got = run(spark, windows.totals(stream(spark, tmp_path / "in"), 120, watermark=60), "late", tmp_path).collect()
+    assert {(r.window_start.minute, r.tx_count) for r in got} >= {(0, 2), (6, 1), (10, 1)}
+    assert sum(r.tx_count for r in got if r.window_start.minute == 0) == 2
