@@ -96,9 +96,10 @@ class Curves:
         return out
 
 
-def _vectors(cells: Iterable[bytes]) -> np.ndarray:
+def _vectors(cells: Iterable[bytes], kind: str) -> np.ndarray:
+    """Vectors as doubles; they travel as wide as they came."""
     cells = list(cells)
-    return np.frombuffer(b"".join(cells), np.float64).reshape(len(cells), -1) if cells else np.zeros((0, 1))
+    return np.frombuffer(b"".join(cells), kind).reshape(len(cells), -1).astype(np.float64) if cells else np.zeros((0, 1))
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -109,18 +110,21 @@ def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a @ b.T) / (np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :])
 
 
-def _valid(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, cells = [], []
-        for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if i is None or not v or any(c is None for c in v):
-                continue
-            x = np.array(v, np.float64) + 0.0  # no negative zero
-            n = np.linalg.norm(x)
-            if np.isfinite(n) and n > 0:
-                ids.append(i)
-                cells.append(x.tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(cells, pa.binary())], ["vec_id", "vector"])
+def _valid(kind: str):
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, cells = [], []
+            for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if i is None or not v or any(c is None for c in v):
+                    continue
+                x = np.array(v, kind) + np.zeros(1, kind)  # no negative zero
+                n = np.linalg.norm(x.astype(np.float64))
+                if np.isfinite(n) and n > 0:
+                    ids.append(i)
+                    cells.append(x.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(cells, pa.binary())], ["vec_id", "vector"])
+
+    return rows
 
 
 def _merged(most: int):
@@ -161,7 +165,8 @@ def _top(found: DataFrame, k: int) -> DataFrame:
 def nearest(table: DataFrame, every: int, k: int, curves: int = CURVES, dimensions: int = DIMENSIONS, bits: int = BITS, block: int = BLOCK, recall: float = RECALL) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row of table(vec_id, embedding) whose vec_id is divisible by every."""
     spark = table.sparkSession
-    valid = table.select("vec_id", "embedding").mapInArrow(_valid, "vec_id long, vector binary")
+    kind = "f4" if table.schema["embedding"].dataType.simpleString() == "array<float>" else "f8"
+    valid = table.select("vec_id", "embedding").mapInArrow(_valid(kind), "vec_id long, vector binary")
     lengths = valid.groupBy(F.octet_length("vector").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
     if lengths is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -173,16 +178,16 @@ def nearest(table: DataFrame, every: int, k: int, curves: int = CURVES, dimensio
     asked = queries.groupBy("entry").agg(F.lit(True).alias("asked"))
 
     sample = entries.orderBy(F.xxhash64("entry")).limit(32 * SAMPLE).select("vector").toArrow().column(0).to_pylist()
-    sent = spark.sparkContext.broadcast(Curves(_unit(_vectors(sample)), curves, dimensions, bits))
+    sent = spark.sparkContext.broadcast(Curves(_unit(_vectors(sample, kind)), curves, dimensions, bits))
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
                 batch = whole.slice(at, 4096)
-                keys = sent.value.keys(_unit(_vectors(batch.column(1).to_pylist())))
+                keys = sent.value.keys(_unit(_vectors(batch.column(1).to_pylist(), kind)))
                 n = batch.num_rows
                 again = pa.array(np.tile(np.arange(n), len(keys)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(keys)), n), pa.int32()), pa.array(np.concatenate(keys)), *(batch.column(c).take(again) for c in range(3))], ["curve", "key", "entry", "vector", "asked"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(keys)), n), pa.int32()), pa.array(np.concatenate(keys)), batch.column(0).take(again)], ["curve", "key", "entry"])
 
     def numbered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -195,12 +200,12 @@ def nearest(table: DataFrame, every: int, k: int, curves: int = CURVES, dimensio
                 own = np.flatnonzero(curve == c)
                 at[own] = seen.get(c, 0) + np.arange(len(own))
                 seen[c] = seen.get(c, 0) + len(own)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in (0, 2, 3, 4)), pa.array(np.full(len(curve), part, np.int32)), pa.array(at)], ["curve", "entry", "vector", "asked", "part", "at"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.full(len(curve), part, np.int32)), pa.array(at)], ["curve", "entry", "part", "at"])
 
-    marked = entries.select("entry", "vector").join(asked, "entry", "left").select("entry", "vector", F.coalesce("asked", F.lit(False)).alias("asked"))
-    keyed = marked.mapInArrow(place, "curve int, key long, entry long, vector binary, asked boolean")
+    # keys are sorted without the vectors, which would be shuffled once more for every curve
+    keyed = entries.select("entry", "vector").mapInArrow(place, "curve int, key long, entry long")
     ordered = keyed.repartitionByRange("curve", "key", "entry").sortWithinPartitions("curve", "key", "entry")
-    ordered = written(ordered.mapInArrow(numbered, "curve int, entry long, vector binary, asked boolean, part int, at long"), "curves")
+    ordered = written(ordered.mapInArrow(numbered, "curve int, entry long, part int, at long"), "curves")
     # one row for each partition and the curves it touches
     counts = sorted(map(tuple, ordered.groupBy("curve", "part").count().collect()))
     before, starts = {}, []
@@ -208,16 +213,21 @@ def nearest(table: DataFrame, every: int, k: int, curves: int = CURVES, dimensio
         starts.append((curve, part, before.get(curve, 0)))
         before[curve] = before.get(curve, 0) + n
     starts = spark.createDataFrame(starts, "curve int, part int, before long")
-    ranked = ordered.join(F.broadcast(starts), ["curve", "part"]).select("curve", "entry", "vector", "asked", (F.col("before") + F.col("at")).alias("rank"))
+    ranked = ordered.join(F.broadcast(starts), ["curve", "part"]).select("curve", "entry", (F.col("before") + F.col("at")).alias("rank"))
     n = max(before.values())
 
-    window = _window(spark, marked, ranked, n, k, recall)
+    marked = entries.select("entry", "vector").join(asked, "entry", "left").select("entry", "vector", F.coalesce("asked", F.lit(False)).alias("asked"))
+    window = _window(spark, marked, ranked, n, k, recall, kind)
     copies = max(1, -(-(2 * window + block) // (every * ASKED)))
-    of = F.floor(F.col("rank") / block)
-    have = ranked.select("curve", of.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"), "entry", "vector")
-    last = F.lit((n - 1) // block)
-    reach = F.sequence(F.greatest(F.floor((F.col("rank") - window) / block), F.lit(0)), F.least(F.floor((F.col("rank") + window) / block), last))
-    want = ranked.where("asked").select("curve", F.explode(reach).alias("block"), F.pmod(F.xxhash64("entry"), F.lit(copies)).cast("int").alias("copy"), "entry", "vector")
+    # a vector goes to its own block on each curve, and as a query to all blocks that its window touches
+    of = F.floor(F.col("p.rank") / block)
+    have = F.transform(F.sequence(F.lit(0), F.lit(copies - 1)), lambda copy: F.struct(of.alias("block"), copy.alias("copy"), F.lit(False).alias("asked")))
+    reach = F.sequence(F.greatest(F.floor((F.col("p.rank") - window) / block), F.lit(0)), F.least(F.floor((F.col("p.rank") + window) / block), F.lit((n - 1) // block)))
+    own_copy = F.pmod(F.xxhash64("entry"), F.lit(copies)).cast("int")
+    want = F.transform(reach, lambda b: F.struct(b.alias("block"), own_copy.alias("copy"), F.lit(True).alias("asked")))
+    places = ranked.groupBy("entry").agg(F.collect_list(F.struct("curve", "rank")).alias("places"))
+    dealt = marked.join(places, "entry").select("entry", "vector", F.col("asked").alias("query"), F.explode("places").alias("p"))
+    both = dealt.select("entry", "vector", F.col("p.curve").alias("curve"), F.explode(F.when(F.col("query"), F.concat(have, want)).otherwise(have)).alias("t")).select("entry", "vector", "curve", "t.*")
 
     def meet(both: pa.Table) -> pa.Table:
         ask = both.column("asked").to_numpy()
@@ -225,9 +235,8 @@ def nearest(table: DataFrame, every: int, k: int, curves: int = CURVES, dimensio
         one, two = np.flatnonzero(ask), np.flatnonzero(~ask)
         if not len(one) or not len(two):
             one = two = one[:0]
-        return _best(k + 1, _vectors(vectors[i] for i in one), names[one], _vectors(vectors[i] for i in two), names[two])
+        return _best(k + 1, _vectors((vectors[i] for i in one), kind), names[one], _vectors((vectors[i] for i in two), kind), names[two])
 
-    both = want.withColumn("asked", F.lit(True)).unionByName(have.withColumn("asked", F.lit(False)))
     found = _top(both.groupBy("curve", "block", "copy").applyInArrow(meet, _FOUND).groupBy("asked", "entry").agg(F.max("score").alias("score")), k + 1)
     named = found.join(entries.select("entry", "ids"), "entry").select("asked", "score", F.explode("ids").alias("vec_id"))
     answers = named.join(queries.select("query_id", F.col("entry").alias("asked")), "asked").where("vec_id <> query_id")
@@ -235,18 +244,18 @@ def nearest(table: DataFrame, every: int, k: int, curves: int = CURVES, dimensio
     return answers.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
 
 
-def _window(spark, marked: DataFrame, ranked: DataFrame, n: int, k: int, recall: float) -> int:
+def _window(spark, marked: DataFrame, ranked: DataFrame, n: int, k: int, recall: float, kind: str) -> int:
     """The least width that would have found `recall` of the true neighbours of a sample of queries."""
     chosen = marked.where("asked").orderBy(F.xxhash64("entry")).limit(SAMPLE).select("entry", "vector").toArrow()
     if not chosen.num_rows:
         return 1
-    sent = spark.sparkContext.broadcast((chosen.column(0).to_numpy(), _vectors(chosen.column(1).to_pylist())))
+    sent = spark.sparkContext.broadcast((chosen.column(0).to_numpy(), _vectors(chosen.column(1).to_pylist(), kind)))
 
     def brute(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, x = sent.value
         for batch in batches:
             if batch.num_rows:
-                yield from _best(k + 1, x, names, _vectors(batch.column(1).to_pylist()), batch.column(0).to_numpy()).to_batches()
+                yield from _best(k + 1, x, names, _vectors(batch.column(1).to_pylist(), kind), batch.column(0).to_numpy()).to_batches()
 
     true = _top(marked.select("entry", "vector").mapInArrow(brute, _FOUND), k + 1).where("asked <> entry").toPandas()
     true = true.sort_values(["asked", "score", "entry"], ascending=[True, False, True]).groupby("asked").head(k)
