@@ -8,6 +8,8 @@ buffer of an Arrow column; no Python object is made per word.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zlib
@@ -158,7 +160,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only if the session names none (a single machine)."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='riskstream-')}"
+        own = tempfile.mkdtemp(prefix="riskstream-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        at = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at
 
