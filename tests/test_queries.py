@@ -60,6 +60,12 @@ def test_scan_is_pruned_and_filtered(spark):
     assert "EqualTo(event_type,purchase)" in plan
 
 
+@pytest.mark.parametrize("name, shuffles", [("high_value", 1), ("velocity_trailing", 1), ("impossible_travel", 1), ("velocity", 1), ("window_sliding", 1)])
+def test_windows_share_a_shuffle(spark, name, shuffles):
+    plan = QUERIES[name](spark, DIR)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == shuffles
+
+
 def test_entry(spark):
     import __spark_entry__
 
