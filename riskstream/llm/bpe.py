@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 VOCABULARY = "byte_bpe_50k.tiktoken"
 HOLD = 4096
 _STATES = 200_000  # states and kept words are dropped beyond these and made anew
-_KEPT = 700_000
+_KEPT = 500_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -127,7 +127,7 @@ class Transducer:
             return ok
         ok = self.pairs.get(a << 20 | b)
         if ok is None:
-            if len(self.pairs) > 10 * _STATES:
+            if len(self.pairs) > 2 * _STATES:
                 self.pairs.clear()
             left, right, rank, none = self._edge(a, 1), self._edge(b, 0), self.ranks.get, self.none
             i = j = 0

@@ -29,9 +29,9 @@ _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _WORD = ~_SPACE
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BLOCK = 1 << 20  # bytes hashed at a time
+_BLOCK = 1 << 19  # bytes hashed at a time
 #: Bytes of text worked on at a time; a longer document is a piece of its own.
-PIECE = 1 << 21
+PIECE = 1 << 20
 
 _powers: dict[int, np.ndarray] = {}
 
