@@ -16,7 +16,8 @@ under 90 words, about one for 20 words of text.
    An anchor with more than `SEGMENTS` different segments (the edge of a passage that
    very many documents share) is split by the windows themselves: what would be searched
    for is then the whole window, and the smallest owner of each is found by grouping.
-3. Decisions return to their documents, which are cut up the same way once more.
+3. Decisions return to their documents, which are cut up the same way once more; what
+   was found in one copy of a segment holds at every place where the document has it.
 
 Windows are judged on the input, so the result does not depend on order.  Words and
 sequences are known by 64-bit hashes.  Defined cases: a null or empty text has no
@@ -162,12 +163,22 @@ def _keep(window: int, anchor: int, digest: bool):
             first = np.searchsorted(s.doc, np.arange(batch.num_rows + 1))
             gone = np.zeros(len(w.start) + 1, np.int64)
             for i, cuts in enumerate(batch.column(2).to_pylist()):
-                for x in cuts or ():
-                    k = first[i] + x["place"]
-                    a = s.start[k] + (x["start"] or 0)
-                    b = s.end[k] if x["end"] is None else s.start[k] + x["end"]
-                    gone[a] += 1
-                    gone[b] -= 1
+                if not cuts:
+                    continue
+                own = range(first[i], first[i + 1])
+                held: dict[tuple[int, int], list[int]] = {}  # places by what they hold
+                for k, what in zip(own, zip(s.anchor[first[i] : first[i + 1]].tolist(), s.content[first[i] : first[i + 1]].tolist())):
+                    held.setdefault(what, []).append(k)
+                for x in cuts:
+                    k = own[x["place"]]
+                    if x["end"] is None:
+                        gone[s.start[k]] += 1
+                        gone[s.end[k]] -= 1
+                        continue
+                    # found in one copy of the segment, but it goes from all places of the document with that segment
+                    for k in held[int(s.anchor[k]), int(s.content[k])]:
+                        gone[s.start[k] + x["start"]] += 1
+                        gone[s.start[k] + x["end"]] -= 1
             kept = np.cumsum(gone)[:-1] <= 0
             removed = np.concatenate([[0], np.cumsum(~kept)])[w.first]
             out = []

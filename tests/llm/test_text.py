@@ -89,6 +89,19 @@ def test_substring_dedup(spark, texts, caps):
     assert sum(r.n_removed for r in got.values()) > 1000
 
 
+@pytest.mark.parametrize("caps", [{}, {"segments_most": 1}])
+def test_block_twice_in_its_first_document(spark, caps):
+    """A block at two places that partly repeats a smaller document goes from both."""
+    r = random.Random(6)
+    part = lambda n: " ".join(f"w{r.randrange(10**9)}" for _ in range(n))
+    for n in (50, 57, 140):
+        passage, x, y = part(n), part(30), part(30)
+        block = f"{x} {passage} {y}"
+        got = {g.doc_id: g for g in substring_dedup.deduplicated(frame(spark, [passage, f"{block} {part(5)} {block}"]), **caps).collect()}
+        assert (got[0].n_removed, got[1].n_removed) == (0, 2 * n)
+        assert passage.split()[0] not in got[1].kept.split()
+
+
 @pytest.mark.parametrize("caps", [{}, {"region": 3, "cluster": 2000}])
 @pytest.mark.parametrize("k,similar", [(3, 85), (5, 80)])
 def test_near_dedup(spark, texts, k, similar, caps):
