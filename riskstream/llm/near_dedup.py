@@ -3,13 +3,17 @@
 A document's set is its distinct word shingles.  Equal sets are one entry from the
 start, known by a fingerprint, so exact copies never meet one another.  An entry's
 signature has `DEPTH` MinHash values for each tree, and each tree orders entries by them
-from another place on, around the end.  Entries with a common prefix of `DEPTH`
+from another place on.  Entries with a common prefix of `DEPTH`
 values in some tree are a region.  There are as many trees as it takes for two sets at
 the limit to fall together in none with a probability of `MISS` or less, which is
 (1 - s**6)**n: 25 trees for 0.85, 38 for 0.8; more alike sets are missed far more seldom.  Depth adapts: entries of a
-region with more than `REGION` of them are ordered anew by prefixes `DEPTH` values
-longer, in as many more trees (75, 209, ...) as keep the same bound, until regions are
-small; what still stands together in `LEVELS` times `DEPTH` equal values is chained to its first.
+region with more than `REGION` of them get a new forest of prefixes `DEPTH` values
+longer, in as many more trees (76, 209, ... for 0.85; 162, 634, ... for 0.8) as keep the
+same bound, until regions are small.  All its MinHash values are drawn anew from the
+texts, for each tree its own, so a deeper forest misses a pair at the limit with `MISS`
+or less too, whatever the forest before found (`LEVELS` times `MISS` for a pair that goes
+through all).  What still stands together in `LEVELS` times `DEPTH` equal values is
+chained to its first.
 Regions with the same entries in several trees are looked at once.
 
 Inside a region, neighbours in the tree's order come first and then whatever is not
@@ -62,14 +66,27 @@ def values_for(similar: int) -> int:
     return n
 
 
-def tree_key(level: int, values: int) -> Column:
-    """Hash of the values that a tree's order begins with: consecutive ones at first, with other strides in deeper forests."""
-    if not level:
-        prefix = F.expr(f"substring(signature, tree * {DEPTH} + 1, {DEPTH})")
-    else:
-        at = lambda j: f"(tree * 37 + {j} * (2 + tree % {values - 2})) % {values} + 1"
-        prefix = F.concat(*(F.expr(f"substring(signature, {at(j)}, 1)") for j in range(DEPTH * (level + 1))))
-    return F.xxhash64(F.lit(level), "tree", prefix)
+def tree_key() -> Column:
+    """Hash of the values that a tree's order begins with, in the first forest."""
+    return F.xxhash64(F.lit(0), "tree", F.expr(f"substring(signature, tree * {DEPTH} + 1, {DEPTH})"))
+
+
+def deeper_keys(grams: np.ndarray, bounds: np.ndarray, level: int, similar: int) -> np.ndarray:
+    """Keys of a deeper forest, a row for each set that is not empty: every tree hashes MinHash values of its own, drawn for it alone."""
+    depth = DEPTH * (level + 1)
+    trees = trees_for(similar, depth)
+    start = bounds[:-1][np.diff(bounds) > 0]
+    seeds = np.random.Generator(np.random.PCG64([23, level])).integers(1, 1 << 63, (2, trees, depth), np.uint64)
+    mul, add = seeds[0] * np.uint64(2) + np.uint64(1), seeds[1]
+    keys = np.empty((len(start), trees), np.int64)
+    if not len(start):
+        return keys
+    for tree in range(trees):
+        key = np.full(len(start), mix(np.array([level << 32 | tree], np.uint64))[0])
+        for j in range(depth):
+            key = mix(key ^ np.minimum.reduceat(grams * mul[tree, j] + add[tree, j], start))
+        keys[:, tree] = key.view(np.int64)
+    return keys
 
 
 def _seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -224,6 +241,21 @@ def _fetch(k: int):
     return rows
 
 
+def _deeper(k: int, similar: int, level: int):
+    """entry, tree and key of every tree of a deeper forest, from the texts of entries."""
+
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+                grams, bounds = sets(part.column(1), k)
+                keys = deeper_keys(grams, bounds, level, similar)
+                entry = part.column(0).to_numpy()[np.diff(bounds) > 0]
+                tree = np.tile(np.arange(keys.shape[1], dtype=np.int32), len(keys))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(entry, keys.shape[1]), pa.int64()), pa.array(tree, pa.int32()), pa.array(keys.ravel(), pa.int64())], ["entry", "tree", "key"])
+
+    return rows
+
+
 def duplicates(docs: DataFrame, k: int = WORDS, similar: int = SIMILAR, region: int = REGION, cluster: int = CLUSTER) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document of docs(doc_id, text)."""
     text = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
@@ -231,14 +263,9 @@ def duplicates(docs: DataFrame, k: int = WORDS, similar: int = SIMILAR, region:
     entries = signed.where("n_shingles > 0 and doc_id is not null").groupBy("one", "two").agg(F.min(F.struct("doc_id", "n_shingles", "signature")).alias("e"))
     entries = written(entries.select("one", "two", F.col("e.doc_id").alias("entry"), F.col("e.n_shingles").alias("size"), F.col("e.signature").alias("signature")), "entries")
 
-    # regions of each tree; deeper forests for the entries of large ones
-    values = values_for(similar)
-
-    def ordered(some: DataFrame, level: int) -> DataFrame:
-        trees = F.explode(F.sequence(F.lit(0), F.lit(trees_for(similar, DEPTH * (level + 1)) - 1))).alias("tree")
-        return some.select("entry", "signature", trees).select("entry", "tree", tree_key(level, values).alias("key"))
-
-    stand = ordered(entries, 0)
+    # regions of each tree; deeper forests, of values drawn anew from the texts, for the entries of large ones
+    trees = F.explode(F.sequence(F.lit(0), F.lit(trees_for(similar) - 1))).alias("tree")
+    stand = entries.select("entry", "signature", trees).select("entry", "tree", tree_key().alias("key"))
     found = None
     for level in range(LEVELS):
         size = stand.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.expr("xxhash64(entry) >> 24")).alias("members"), F.min("entry").alias("first")).where("n > 1")
@@ -253,7 +280,8 @@ def duplicates(docs: DataFrame, k: int = WORDS, similar: int = SIMILAR, region:
             break
         if level + 1 < LEVELS:
             hot = written(stand.join(large, "key").select("entry").distinct(), "hot")
-            stand = ordered(entries.join(hot, "entry"), level + 1)
+            texts = sieved(text.withColumnRenamed("doc_id", "entry"), "entry", hot).join(hot, "entry").dropDuplicates(["entry", "text"])
+            stand = written(texts.select("entry", "text").mapInArrow(_deeper(k, similar, level + 1), "entry long, tree int, key long"), "stand")
     members = found.distinct().join(entries.select("entry", "signature"), "entry")
     near = members.groupBy("key").applyInArrow(_region(agreement(similar)), _EDGE)
     if large is not None:
