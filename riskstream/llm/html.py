@@ -5,13 +5,14 @@ containers open (by their path of tags and classes), and text blocks with their
 path.  For each host and token, all pages are summed up into a fingerprint of the
 occurrence vector, the counts of the token in every page; tokens whose vectors agree
 form an equivalence class.  A class is valid if it is frequent: it occurs in
-`SUPPORT` of the host's pages, and in `LEAST` of them.  Valid classes nest by their
-paths and make up the template; between its tokens are the slots, which hold what
-differs.  The fingerprints are sums, so they combine before a shuffle and a host may
+`SUPPORT` of the host's pages, and in `LEAST` of them; pages that agree in all text
+that is not left out (below) count as one.  The tokens of valid classes are the template; their order
+and nesting are not looked at.  The fingerprints are sums, so they combine before a shuffle and a host may
 hold any share of the pages.
 
-What is extracted: the slots inside article or main where a page has one, else the
-slot container that holds most free text, without text that belongs to the template.
+What is extracted: what is inside article or main where a page has one, whatever the
+template says; else what is free of the template inside the smallest container around all
+free text that is not in links.
 Containers that by tag, role, class or id are menus, headers, footers, sidebars,
 notices, adverts, forms or reader comments are left out, and so are scripts, styles
 and markup.  Character references are decoded, white space inside a block becomes one
@@ -30,6 +31,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from html import unescape
+from os.path import commonprefix
 
 import pyarrow as pa
 import xxhash
@@ -179,12 +181,11 @@ def main_text(html: str | None, template: frozenset[int] = frozenset()) -> str:
     own = [b for b in kept if b[3]]
     if not own:
         free = [b for b in kept if token(b[0], b[1]) not in template]
-        size: Counter[str] = Counter()
-        for path, text, _, _, links in free:
-            size[path] += len(text) - links
-        if not size:
+        # the smallest container around all free text; blocks of links alone do not widen it
+        paths = [b[0].split("/") for b in free if len(b[1]) > b[4]] or [b[0].split("/") for b in free]
+        if not paths:
             return ""
-        best = max(size, key=lambda p: (size[p], p))
+        best = "/".join(commonprefix(paths))
         own = [b for b in free if b[0] == best or b[0].startswith(f"{best}/")]
     return "\n\n".join(b[1] for b in own)
 
@@ -202,19 +203,22 @@ def templates(pages: DataFrame, support: float = SUPPORT, least: int = LEAST) ->
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "html"):
-            cells: list[list] = [[], [], [], []]
-            for h, page, html in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            cells: list[list] = [[], [], [], [], []]
+            for h, html in zip(*(batch.column(i).to_pylist() for i in range(2))):
                 opened, blocks = parse(html or "")
+                # pages of the same text are one, so that copies of a page make no template
+                page = xxhash.xxh3_64_intdigest("\n".join(b[1] for b in blocks if not b[2])) >> 1
                 count = Counter(map(token, opened))
                 count.update(token(b[0], b[1]) for b in blocks)
                 count[token("")] = 1  # stands for the page itself
                 for t, n in count.items():
                     vector = xxhash.xxh3_64_intdigest(f"{page}:{n}")
-                    for cell, value in zip(cells, (h, t, vector >> 33, vector & 0x7FFFFFFF)):
+                    for cell, value in zip(cells, (h, t, page, vector >> 33, vector & 0x7FFFFFFF)):
                         cell.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(cells[0], pa.string()), *(pa.array(c, pa.int64()) for c in cells[1:])], ["host", "token", "one", "two"])
+            yield pa.RecordBatch.from_arrays([pa.array(cells[0], pa.string()), *(pa.array(c, pa.int64()) for c in cells[1:])], ["host", "token", "page", "one", "two"])
 
-    seen = pages.select(host(F.col("url")).alias("host"), F.col("page_id"), "html").mapInArrow(rows, "host string, token long, one long, two long")
+    seen = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(rows, "host string, token long, page long, one long, two long")
+    seen = seen.groupBy("host", "token", "page").agg(F.max(F.struct("one", "two")).alias("v")).select("host", "token", "v.one", "v.two")
     vectors = seen.groupBy("host", "token").agg(F.sum("one").alias("one"), F.sum("two").alias("two"), F.count("*").alias("n"))
     vectors = written(vectors.where(F.col("n") >= least), "vectors")
     total = vectors.where(F.col("token") == token("")).select("host", F.col("n").alias("pages"))

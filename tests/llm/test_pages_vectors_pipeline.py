@@ -57,6 +57,17 @@ def test_template_text_goes(spark):
     assert len(classes) >= 1 and all(c.n >= html.LEAST for c in classes)
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    rows = [(i, f"http://h.example/{i}", page('<div class="b"><p>The copied story</p></div>')) for i in range(3)]
+    rows += [(i, f"http://h.example/{i}", page(f'<div class="b"><p>Story {i}</p></div>')) for i in range(3, 9)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html.extract(df).collect()} == {i: "The copied story" if i < 3 else f"Story {i}" for i in range(9)}
+
+
+def test_text_in_several_containers():
+    assert html.main_text(page('<h1>Head</h1><div class="a"><p>first part</p></div><div class="b"><p>the second part</p></div>')) == "Head\n\nfirst part\n\nthe second part"
+
+
 def brute(rows, every, k):
     good = {}
     for i, v in rows:
