@@ -17,7 +17,8 @@ fewer words is one shingle of all its words, looked for as such.  Items go to th
 executors in blocks whose size is bounded by `BLOCK_WORDS`; every block passes over
 all documents.  Hash values of 64 bits stand for shingles.
 
-Defined cases: null, empty or wordless items and documents match nothing; repeated
+Defined cases: null, empty or wordless items and documents match nothing; an item
+without id has no rows in matches(), but clean() looks for it too; repeated
 rows each give their rows; extra columns are ignored; empty tables give no rows.
 """
 
@@ -108,16 +109,16 @@ def matches(docs: DataFrame, items: DataFrame, k: int = WORDS, contained: float
     return out
 
 
-def _blocks(items: DataFrame, block_words: int) -> Iterator[tuple[list[int], list[bytes]]]:
-    """Items with text, streamed to the driver and cut by their size; at least one block, perhaps empty."""
+def _blocks(items: DataFrame, block_words: int, named: bool = True) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Items with text (and id if named; else 0 stands for a missing one), streamed to the driver and cut by their size; at least one block, perhaps empty."""
     ids: list[int] = []
     texts: list[bytes] = []
     size, any_ = 0, False
-    for item, text in items.select("item_id", F.col("text").cast("binary")).where("text is not null and item_id is not null").orderBy("item_id").toLocalIterator():
+    for item, text in items.select("item_id", F.col("text").cast("binary")).where("text is not null and item_id is not null" if named else "text is not null").orderBy("item_id").toLocalIterator():
         if ids and size + len(text) > 8 * block_words:
             yield ids, texts
             ids, texts, size, any_ = [], [], 0, True
-        ids.append(item)
+        ids.append(item or 0)
         texts.append(bytes(text))
         size += len(text)
     if ids or not any_:
@@ -127,7 +128,7 @@ def _blocks(items: DataFrame, block_words: int) -> Iterator[tuple[list[int], lis
 def clean(docs: DataFrame, items: DataFrame, k: int = WORDS, contained: float = CONTAINED, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of docs, all columns, that hold none of the items; rows without doc_id are judged by their text like others."""
     names = docs.columns
-    for ids, texts in _blocks(items, block_words):
+    for ids, texts in _blocks(items, block_words, named=False):
         sent = docs.sparkSession.sparkContext.broadcast((ids, texts))
 
         def rows(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:

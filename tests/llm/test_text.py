@@ -224,6 +224,13 @@ def test_decontamination(spark, texts):
     assert decontaminate.matches(docs, bench.limit(0)).count() == 0 and decontaminate.matches(docs.limit(0), bench).count() == 0
 
 
+def test_items_without_id_are_cleaned(spark):
+    docs = frame(spark, ["a b c d e f g h", "other words of no item at all"])
+    items = spark.createDataFrame([(None, "b c d e f g")], "item_id long, text string")
+    assert [r.doc_id for r in decontaminate.clean(docs, items).collect()] == [1]
+    assert decontaminate.matches(docs, items).count() == 0
+
+
 def test_licenses(spark, texts):
     notices = {**licenses.NOTICES, "empty": "", "short": "MIT license", "none": None}
     r = random.Random(5)
