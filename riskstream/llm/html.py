@@ -4,25 +4,42 @@ Pages of one host come from a few templates.  A page is a sequence of tokens: wh
 containers open (by their path of tags and classes), and text blocks with their
 path.  For each host and token, all pages are summed up into a fingerprint of the
 occurrence vector, the counts of the token in every page; tokens whose vectors agree
-form an equivalence class.  A class is valid if it is frequent: it occurs in
-`SUPPORT` of the host's pages, and in `LEAST` of them; pages that agree in all text
-that is not left out (below) count as one.  The tokens of valid classes are the template; their order
-and nesting are not looked at.  The fingerprints are sums, so they combine before a shuffle and a host may
-hold any share of the pages.
-
-What is extracted: what is inside article or main where a page has one, whatever the
-template says; else what is free of the template inside the smallest container around all
-free text that is not in links.
+form an equivalence class.  A class is valid if
+
+* it is frequent: it occurs in `SUPPORT` of the host's pages, and in `LEAST` of them
+  (pages that agree in all text that is not left out, below, count as one, so copies
+  of a page make no template);
+* it has markup: text that occurs in just the pages that hold certain containers is
+  theirs, while text that some pages happen to share is content;
+* it is ordered: in each page its tokens stand in one order, as often as the class
+  occurs, and in the same order in all pages;
+* it nests: all its occurrences lie in one and the same slot, the room between two
+  neighbouring tokens, of the class that occurs once in every page.
+
+The class of all pages with the valid classes nested in its slots is the template.
+Text in a template is none of a page's own.  What is left stands in slots, each
+known by the innermost container of the template around it; of these, the article is what
+pages mark so (article or main), or else the smallest container of the template that holds
+`SHARE` of all text of the host's slots, links aside.  Hosts of too few pages
+have no template; there the mark alone counts, or the smallest container around all text.
+
+The fingerprints are sums, so they combine before a shuffle and a host may hold any
+share of the pages; order, nesting and the text in slots are summed up per batch and then
+per host in the same way.
+
 Containers that by tag, role, class or id are menus, headers, footers, sidebars,
 notices, adverts, forms or reader comments are left out, and so are scripts, styles
-and markup.  Character references are decoded, white space inside a block becomes one
+and markup.  A name counts if it says that and nothing else: "share-bar" does, "related-work"
+and "has-sidebar" do not; inside an article only names of adverts, menus, sharing,
+sign-up and comments count.  Character references are decoded, white space inside a block becomes one
 space, blocks are joined by an empty line.
 
 Templates go to the executors at once if they take up to `SENT_BYTES`; beyond that they
-meet the pages by a join on the host.
+meet the pages by a join on the host and a salt, so that a host's pages spread.
 
 Defined cases: null or empty html has empty text; a null or unreadable url shares the
-host ''; repeated rows each give a row; extra columns are ignored.
+host ''; repeated rows each give a row, also of one page_id; a page of any length is parsed whole,
+in time in proportion to it; extra columns are ignored; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -30,6 +47,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from html import unescape
 from os.path import commonprefix
 
@@ -41,8 +59,10 @@ from pyspark.sql import functions as F
 from riskstream.llm.common import pieces, written
 
 SUPPORT = 0.3
-LEAST = 3
-SENT_BYTES = 32 << 20
+LEAST = 5
+SHARE = 0.6
+SENT_BYTES = 4 << 20
+SALTS = 64
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|svg|iframe|object|select)\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</\1\s*>|\Z)"""
@@ -59,9 +79,12 @@ _PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6".split())
 _ITEMS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
 _OUT_TAGS = frozenset("head nav footer aside form button dialog menu label input audio video canvas".split())
 _OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
-_OUT_NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer comment comments disqus replies respond cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget widgets toolbar pagination pager masthead copyright disclaimer skip".split()
+#: Names of what is no article wherever it stands, of what is none outside of an article, and words that say nothing beside these.
+_NEVER = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored nav navbar navigation menu breadcrumb breadcrumbs sidebar comment comments disqus reply replies respond cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login share sharing social pagination pager".split()
 )
+_OUTSIDE = frozenset("promo promotion banner aside footer header notice notices related recommended recommendations widget widgets toolbar masthead copyright disclaimer skip link links".split())
+_PLAIN = frozenset("area bar block box bottom button buttons container content desktop global group inner item items left list main mobile outer page panel primary right row secondary section site slot top unit wrap wrapper".split())
 _KEEPERS = frozenset(("html", "body", "main"))
 
 
@@ -77,11 +100,10 @@ def _left_out(tag: str, attributes: str, inside: bool) -> bool:
         if key == "role" and value in _OUT_ROLES:
             return True
         if key in ("class", "id"):
-            names = _NAME.findall(value)
-            if tag == "article" and not {"comment", "comments", "reply"} & set(names):
-                continue
-            if _OUT_NAMES.intersection(names) or (not inside and "header" in names):
-                return True
+            for name in value.split():
+                names = set(_NAME.findall(name)) - _PLAIN
+                if names and names <= ({"comment", "comments", "reply"} if tag == "article" else _NEVER if inside else _NEVER | _OUTSIDE):
+                    return True
     return False
 
 
@@ -92,10 +114,12 @@ def _label(tag: str, attributes: str) -> str:
     return tag
 
 
-def parse(html: str) -> tuple[list[str], list[tuple[str, str, bool, bool, int]]]:
-    """Opened containers by path, and text blocks (path, text, left out, inside article or main, characters in links), in page order."""
-    opened: list[str] = []
-    blocks: list[tuple[str, str, bool, bool, int]] = []
+Token = tuple[str, str | None, bool, bool, int]
+
+
+def parse(html: str) -> list[Token]:
+    """Containers that open (path, None) and text blocks (path, text), each with: left out, inside article or main, characters in links; in page order."""
+    found: list[Token] = []
     stack: list[tuple[str, bool, bool, str]] = [("", False, False, "")]  # tag, left out, inside, path
     part: list[str] = []
     links, link = 0, 0
@@ -107,7 +131,7 @@ def parse(html: str) -> tuple[list[str], list[tuple[str, str, bool, bool, int]]]
             text = " ".join(unescape("".join(part)).split())
             if text:
                 _, out, inside, path = stack[-1]
-                blocks.append((path, text, out, inside, links))
+                found.append((path, text, out, inside, links))
             part.clear()
         links = 0
 
@@ -157,8 +181,10 @@ def parse(html: str) -> tuple[list[str], list[tuple[str, str, bool, bool, int]]]
             inside = inside or tag in ("article", "main") or 'role="main"' in attributes
             if tag not in _PARAGRAPH:
                 path = f"{path}/{_label(tag, attributes)}"
-                opened.append(path)
-            stack.append((tag, out or bool(skip) or _left_out(tag, attributes, inside and tag not in ("article", "main")), inside, path))
+            out = out or bool(skip) or _left_out(tag, attributes, inside and tag not in ("article", "main"))
+            if tag not in _PARAGRAPH:
+                found.append((path, None, out, inside, 0))
+            stack.append((tag, out, inside, path))
         else:
             if tag == "a":
                 link += 1
@@ -169,81 +195,183 @@ def parse(html: str) -> tuple[list[str], list[tuple[str, str, bool, bool, int]]]
     if done < len(html) and not (skip and len(stack) >= skip[2]):
         part.append(html[done:])
     close()
-    return opened, blocks
+    return found
 
 
-def main_text(html: str | None, template: frozenset[int] = frozenset()) -> str:
-    """The blocks of the slots that hold the article. template: hashes of the host's tokens that are no slots."""
+@dataclass(frozen=True)
+class Template:
+    """tokens: of all valid classes; article: path of the container that holds the host's articles, or None."""
+
+    tokens: frozenset[int] = frozenset()
+    article: str | None = None
+
+
+def main_text(html: str | None, template: Template = Template()) -> str:
+    """The blocks of a page's slots that are its article."""
     if not html:
         return ""
-    _, blocks = parse(html)
-    kept = [b for b in blocks if not b[2]]
-    own = [b for b in kept if b[3]]
+    free = [t for t in parse(html) if t[1] is not None and not t[2] and token(t[0], t[1]) not in template.tokens]
+    own = [t for t in free if t[3]]
+    if not own and template.article:
+        own = [t for t in free if _within(t[0], template.article)]
     if not own:
-        free = [b for b in kept if token(b[0], b[1]) not in template]
         # the smallest container around all free text; blocks of links alone do not widen it
-        paths = [b[0].split("/") for b in free if len(b[1]) > b[4]] or [b[0].split("/") for b in free]
-        if not paths:
-            return ""
+        paths = [t[0].split("/") for t in free if len(t[1]) > t[4]] or [t[0].split("/") for t in free]
         best = "/".join(commonprefix(paths))
-        own = [b for b in free if b[0] == best or b[0].startswith(f"{best}/")]
-    return "\n\n".join(b[1] for b in own)
+        own = [t for t in free if _within(t[0], best)]
+    return "\n\n".join(t[1] for t in own)
+
+
+def _within(path: str, container: str) -> bool:
+    return path == container or path.startswith(f"{container}/")
 
 
 def token(path: str, text: str | None = None) -> int:
-    return xxhash.xxh3_64_intdigest(path if text is None else f"{path}\n{text}") >> 1
+    """63 bits; the last tells containers (0) from text (1)."""
+    return xxhash.xxh3_64_intdigest(path) >> 2 << 1 if text is None else xxhash.xxh3_64_intdigest(f"{path}\n{text}") >> 1 | 1
+
+
+_PAGE = token("")  # stands for the page itself
 
 
 def host(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit(""))
 
 
-def templates(pages: DataFrame, support: float = SUPPORT, least: int = LEAST) -> DataFrame:
-    """host, classes array<struct<class, tokens array<long>>>: the valid equivalence classes of each host."""
+def candidates(pages: DataFrame, support: float = SUPPORT, least: int = LEAST) -> DataFrame:
+    """host, classes array<array<long>>: the frequent equivalence classes with markup of each host; the first is that of the page itself."""
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "html"):
             cells: list[list] = [[], [], [], [], []]
             for h, html in zip(*(batch.column(i).to_pylist() for i in range(2))):
-                opened, blocks = parse(html or "")
+                found = parse(html or "")
                 # pages of the same text are one, so that copies of a page make no template
-                page = xxhash.xxh3_64_intdigest("\n".join(b[1] for b in blocks if not b[2])) >> 1
-                count = Counter(map(token, opened))
-                count.update(token(b[0], b[1]) for b in blocks)
-                count[token("")] = 1  # stands for the page itself
+                page = xxhash.xxh3_64_intdigest("\n".join(t[1] for t in found if t[1] is not None and not t[2])) >> 1
+                count = Counter(token(t[0], t[1]) for t in found)
+                count[_PAGE] = 1
                 for t, n in count.items():
                     vector = xxhash.xxh3_64_intdigest(f"{page}:{n}")
                     for cell, value in zip(cells, (h, t, page, vector >> 33, vector & 0x7FFFFFFF)):
                         cell.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(cells[0], pa.string()), *(pa.array(c, pa.int64()) for c in cells[1:])], ["host", "token", "page", "one", "two"])
 
-    seen = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(rows, "host string, token long, page long, one long, two long")
+    seen = pages.select("host", "html").mapInArrow(rows, "host string, token long, page long, one long, two long")
     seen = seen.groupBy("host", "token", "page").agg(F.max(F.struct("one", "two")).alias("v")).select("host", "token", "v.one", "v.two")
     vectors = seen.groupBy("host", "token").agg(F.sum("one").alias("one"), F.sum("two").alias("two"), F.count("*").alias("n"))
     vectors = written(vectors.where(F.col("n") >= least), "vectors")
-    total = vectors.where(F.col("token") == token("")).select("host", F.col("n").alias("pages"))
+    total = vectors.where(F.col("token") == _PAGE).select("host", F.col("n").alias("pages"))
     frequent = vectors.join(total, "host").where(F.col("n") >= F.col("pages") * support)
     # one row a host of at most (tokens of a page) / support entries, since each takes up that share of the host's pages
-    classes = frequent.groupBy("host", "one", "two", "n").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
-    return classes.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("n", "tokens"))).alias("classes"))
+    classes = frequent.groupBy("host", "one", "two", "n").agg(F.sort_array(F.collect_list("token")).alias("tokens")).where("exists(tokens, t -> t % 2 = 0)")
+    first = ~F.array_contains("tokens", _PAGE)
+    return classes.groupBy("host").agg(F.sort_array(F.collect_list(F.struct(first.alias("other"), "tokens"))).alias("classes")).select("host", F.expr("transform(classes, c -> c.tokens)").alias("classes"))
+
+
+class _Check:
+    """What pages say about the classes of their hosts: order, nesting, and text by the innermost container of a class around it."""
+
+    def __init__(self) -> None:
+        self.classes: dict[tuple[str, int], set[tuple[bool, int, int]]] = {}
+        self.texts: Counter[tuple[str, str, bool]] = Counter()
+
+    def add(self, host: str, classes: list[list[int]], found: list[Token]) -> None:
+        of = {t: k for k, c in enumerate(classes) for t in c}
+        own: dict[int, list[int]] = {}  # each class's tokens in page order
+        slots: dict[int, set[int]] = {}  # of the first class, that hold the others
+        slot, known = _PAGE, {}
+        for path, text, out, inside, links in found:
+            t = token(path, text)
+            k = of.get(t)
+            if k is not None:
+                own.setdefault(k, []).append(t)
+                if k:
+                    slots.setdefault(k, set()).add(slot)
+                else:
+                    slot = t
+                if text is None:
+                    known[path] = True
+            elif text is not None and not out:
+                while path and path not in known:
+                    path = path.rpartition("/")[0]
+                self.texts[host, path, inside] += len(text) - links
+        for k, row in own.items():
+            once = list(dict.fromkeys(row))
+            good = row == once * (len(row) // len(once)) and (k > 0 or len(row) == len(once)) and len(slots.get(k, ())) <= 1
+            say = self.classes.setdefault((host, k), set())
+            if len(say) < 2:  # two that differ make a class invalid; no more need be said
+                say.add((good, xxhash.xxh3_64_intdigest(str(once)) >> 1, min(slots.get(k, (0,)))))
+
+    def batch(self) -> pa.RecordBatch:
+        rows = [(h, k, None, *s, 0) for (h, k), says in self.classes.items() for s in says]
+        rows += [(h, None, path, inside, 0, 0, n) for (h, path, inside), n in self.texts.items()]
+        kinds = (pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["host", "class", "path", "flag", "order", "slot", "chars"])
+
+
+def _article(texts: dict[str, int], share: float) -> str | None:
+    """The smallest container that holds this share of the text, by the text of each container itself."""
+    total = sum(texts.values())
+    within: Counter[str] = Counter()
+    for path, n in texts.items():
+        while path:
+            within[path] += n
+            path = path.rpartition("/")[0]
+    return max((p for p, n in within.items() if n >= share * total), key=lambda p: (p.count("/"), p), default=None) if total else None
+
+
+def templates(pages: DataFrame, support: float = SUPPORT, least: int = LEAST, share: float = SHARE, sent_bytes: int = SENT_BYTES) -> DataFrame:
+    """host, tokens array<long> of valid classes, texts array<struct<path, chars>>, of pages(host, html)."""
+    classes = written(candidates(pages, support, least), "classes")
+
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "html"):
+            check = _Check()
+            for h, html, known in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if known:
+                    check.add(h, known, parse(html or ""))
+            yield check.batch()
+
+    with_classes = _met(pages.select("host", "html"), classes, "classes", sent_bytes)
+    said = with_classes.mapInArrow(rows, "host string, class int, path string, flag boolean, order long, slot long, chars long")
+    said = written(said.groupBy("host", "class", "path", "flag", "order", "slot").agg(F.sum("chars").alias("chars")), "checked")
+    valid = said.where("class is not null").groupBy("host", "class").agg((F.min("flag") & (F.min("order") == F.max("order")) & (F.min("slot") == F.max("slot"))).alias("valid")).where("valid")
+    # a host whose own class has no order has no template
+    valid = valid.groupBy("host").agg(F.collect_list("class").alias("valid")).where("array_contains(valid, 0)")
+    tokens = classes.join(valid, "host").select("host", F.expr("flatten(transform(valid, k -> classes[k]))").alias("tokens"))
+    texts = said.where("path is not null and chars > 0 and not flag").groupBy("host", "path").agg(F.sum("chars").alias("chars"))
+    texts = texts.groupBy("host").agg(F.collect_list(F.struct("path", "chars")).alias("texts"))
+    return tokens.join(texts, "host", "left")
+
+
+def _met(own: DataFrame, table: DataFrame, column: str, sent_bytes: int) -> DataFrame:
+    """own with a column of table(host, column) beside it: looked up in a table sent along if that is small, else joined on host and a salt."""
+    size = table.select(F.sum(F.octet_length("host") + F.octet_length(F.to_json(F.struct(column))))).first()[0] or 0
+    if size <= sent_bytes:
+        return own.join(F.broadcast(table.select("host", column)), "host", "left").select(*own.columns, column)
+    salt = F.pmod(F.xxhash64("html"), F.lit(SALTS))
+    salted = table.select("host", column, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("_salt"))
+    return own.withColumn("_salt", F.coalesce(salt, F.lit(0))).join(salted, ["host", "_salt"], "left").select(*own.columns, column)
 
 
-def extract(pages: DataFrame, support: float = SUPPORT, least: int = LEAST, sent_bytes: int = SENT_BYTES) -> DataFrame:
+def extract(pages: DataFrame, support: float = SUPPORT, least: int = LEAST, share: float = SHARE, sent_bytes: int = SENT_BYTES) -> DataFrame:
     """page_id, url, text, n_chars of every page of pages(page_id, url, html)."""
-    found = written(templates(pages, support, least), "templates")
-    size = found.select(F.sum(F.octet_length("host") + 16 + F.aggregate("classes", F.lit(0), lambda s, c: s + 8 * F.size(c.tokens)))).first()[0] or 0
     own = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
-    if size <= sent_bytes:
-        known = {r["host"]: frozenset(t for c in r["classes"] for t in c["tokens"]) for r in found.collect()}
-        sent, own = own.sparkSession.sparkContext.broadcast(known), own.withColumn("tokens", F.lit(None).cast("array<long>"))
-    else:
-        sent, own = None, own.join(found.select("host", F.expr("flatten(transform(classes, c -> c.tokens))").alias("tokens")), "host", "left").select("page_id", "url", "html", "host", "tokens")
+    found = templates(own, support, least, share, sent_bytes)
+    found = written(found.select("host", F.struct("tokens", "texts").alias("template")), "templates")
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, Template] = {}
         for batch in pieces(batches, "html"):
             texts = []
-            for html, h, tokens in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
-                texts.append(main_text(html, sent.value.get(h, frozenset()) if sent else frozenset(tokens or ())))
+            hosts = batch.column(3).to_pylist()
+            for i, (html, h) in enumerate(zip(batch.column(2).to_pylist(), hosts)):
+                if h not in known:
+                    if len(known) > 256:
+                        known.clear()
+                    t = batch.column(4)[i].as_py()
+                    known[h] = Template(frozenset(t["tokens"]), _article({x["path"]: x["chars"] for x in t["texts"] or ()}, share)) if t else Template()
+                texts.append(main_text(html, known[h]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return own.mapInArrow(rows, "page_id long, url string, text string, n_chars long")
+    return _met(own, found, "template", sent_bytes).mapInArrow(rows, "page_id long, url string, text string, n_chars long")

@@ -53,8 +53,8 @@ def test_template_text_goes(spark):
         assert sorted(g for g in got if g[0] < 10) == sorted([(i, f"Story {i} of {i}", len(f"Story {i} of {i}")) for i in range(6)] + [(0, "Story 0 of 0", 12)])
         assert sorted(g[1] for g in got if g[0] >= 10) == ["", "x"]
     assert html.extract(df.limit(0)).count() == 0
-    classes = html.templates(df).where("host = 'h.example'").first().classes
-    assert len(classes) >= 1 and all(c.n >= html.LEAST for c in classes)
+    pages = df.select("html", html.host(F.col("url")).alias("host"))
+    assert [r.host for r in html.candidates(pages).collect()] == [r.host for r in html.templates(pages).collect()] == ["h.example"]
 
 
 def test_copies_of_a_page_are_no_template(spark):
@@ -68,6 +68,105 @@ def test_text_in_several_containers():
     assert html.main_text(page('<h1>Head</h1><div class="a"><p>first part</p></div><div class="b"><p>the second part</p></div>')) == "Head\n\nfirst part\n\nthe second part"
 
 
+def plain_template(pages):
+    """Valid classes by their definition, over the pages of one host, each a list of tokens (kind, path, text) and the key of its own text."""
+    by_key = {key: tokens for tokens, key in pages}
+    keys = sorted(by_key)
+    vectors = {}
+    for k, key in enumerate(keys):
+        for t in by_key[key]:
+            vectors.setdefault(t, [0] * len(keys))[k] += 1
+    classes = {}
+    for t, v in vectors.items():
+        if sum(x > 0 for x in v) >= max(html.LEAST, html.SUPPORT * len(keys)):
+            classes.setdefault(tuple(v), set()).add(t)
+    classes = {v: c for v, c in classes.items() if any(t[1] is None for t in c)}
+    root = classes.get((1,) * len(keys), set())
+    good = set()
+    for v, c in classes.items():
+        orders, slots, fine = set(), set(), True
+        for tokens, _ in pages:
+            row = [t for t in tokens if t in c]
+            if row:
+                m = len(set(row))
+                fine &= all(row[i] == row[i % m] for i in range(len(row)))
+                orders.add(tuple(row[:m]))
+                at = None
+                for t in tokens:
+                    at = t if t in root else at
+                    if c is not root and t in c:
+                        slots.add(at)
+        if fine and len(orders) == 1 and len(slots) <= 1:
+            good |= c
+        elif c is root:
+            return set()
+    return good
+
+
+def story(r, i):
+    return f"Story {i} says " + " ".join(f"w{r.randrange(10**6)}" for _ in range(r.randrange(5, 30)))
+
+
+def generated(r, host, marked, n=12):
+    """Pages with the text that their making says is the article."""
+    out = []
+    for i in range(n):
+        blocks = [story(r, (i, j)) for j in range(r.randrange(1, 4))]
+        work, note = story(r, (i, "work")), story(r, (i, "note"))
+        inner = f'<p>Share this with your friends</p><h1>T{i} {host}</h1>' + "".join(f"<p>{b}</p>" for b in blocks) + f'<section class="related-work"><h2>Work {i}</h2><p>{work}</p></section><p class="notice">{note}</p>'
+        main = f"<article>{inner}</article>" if marked else f'<div class="story">{inner}</div>'
+        cards = "".join(f'<div class="card"><b>More</b><p>{r.random()}</p></div>' for _ in range(r.randrange(0, 3)))
+        extra = f'<div class="tip"><p>Tip {i}</p></div>' if i % 2 else ""
+        side = f'<div class="rail"><p>Popular {r.random()}</p></div>{extra}'
+        body = f'<div class="top"><p>The Daily {host}</p></div>{main}{side}<div class="has-sidebar"><p>All rights {host}</p>{cards}</div>'
+        text = [f"T{i} {host}", *blocks, f"Work {i}", work, *([note] if marked else [])]
+        out.append((f"http://{host}/{i}", page(body), "\n\n".join(text)))
+    return out
+
+
+def test_templates_decide_with_and_without_article(spark):
+    r = random.Random(12)
+    made = [p for k in range(4) for p in generated(r, f"h{k}.example", k % 2 == 0)] + generated(r, "few.example", True, 2)
+    rows = [(i, url, source) for i, (url, source, _) in enumerate(made)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for sent in (1 << 20, 0):
+        got = {x.page_id: x.text for x in html.extract(df, sent_bytes=sent).collect()}
+        for i, (url, _, text) in enumerate(made):
+            if "few" in url:
+                assert got[i] == f"Share this with your friends\n\n{text}"  # two pages make no template
+            else:
+                assert got[i] == text
+    # with no template for any host the result is another one
+    bare = {x.page_id: x.text for x in html.extract(df, least=1000).collect()}
+    assert all(bare[i] != text for i, (_, _, text) in enumerate(made))
+
+
+def test_templates_equal_plain_deduction(spark):
+    r = random.Random(13)
+    rows, expected = [], {}
+    for k in range(12):
+        name, pages = f"g{k}.example", []
+        kinds = [f'<div class="c{j}"><p>fixed {j}</p>' for j in range(6)]
+        for i in range(r.randrange(3, 14)):
+            parts = kinds[: r.randrange(3, 7)] if k % 3 else r.sample(kinds, 4)
+            parts = [p + f"<p>{r.choice(['shared', r.random()])}</p>" * r.randrange(0, 3) + "</div>" for p in parts for _ in range(r.choice([1, 1, 2]) if p is kinds[2] else 1)]
+            pages.append(f"<html><body><div class='top'></div>{''.join(parts)}<ul class='end'><li>x</ul></body></html>")
+        pages.append(pages[0])
+        rows += [(name, p) for p in pages]
+        expected[name] = plain_template([([t[:2] for t in html.parse(p)], tuple(t[1] for t in html.parse(p) if t[1] and not t[2])) for p in pages]) if len(set(pages)) else set()
+    got = {x.host: set(x.tokens) - {html._PAGE} for x in html.templates(spark.createDataFrame(rows, "host string, html string")).collect()}
+    expected = {h: {html.token(*t) for t in c} for h, c in expected.items()}
+    assert sum(map(len, expected.values())) > 50
+    assert {h: got.get(h, set()) for h in expected} == expected
+
+
+def test_long_page_and_empty_table(spark):
+    text = "\n\n".join(f"paragraph {i} of a long page" for i in range(40_000))
+    df = spark.createDataFrame([(1, "http://a/", page("<article>" + text.replace("\n\n", "<p>") + "</article>"))] * 2, "page_id long, url string, html string")
+    assert [x.text == text for x in html.extract(df).collect()] == [True, True]
+    assert html.extract(df.limit(0)).count() == 0
+
+
 def brute(rows, every, k):
     good = {}
     for i, v in rows:
