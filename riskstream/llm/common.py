@@ -151,15 +151,18 @@ def crc(value: int, n: int) -> int:
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
-    # texts are large rows: by the default number of rows, batches would take most of a small executor
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    # texts are large rows: by the default number of rows, batches would take most of a small executor; a caller's own settings stay
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only if the session names none (a single machine)."""
+    """The folder that driver and executors share. A local session that names none gets a temporary one; a cluster has to name it."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not (spark.sparkContext.master + "[").startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         own = tempfile.mkdtemp(prefix="riskstream-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         at = f"file://{own}"

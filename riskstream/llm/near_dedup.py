@@ -52,6 +52,7 @@ MISS = 1e-5
 LEVELS = 4
 REGION = 4096
 CLUSTER = 1_000_000
+_ROW = "_near_dedup_row"
 
 
 def trees_for(similar: int, depth: int = DEPTH) -> int:
@@ -311,3 +312,20 @@ def duplicates(docs: DataFrame, k: int = WORDS, similar: int = SIMILAR, region:
     out = own.join(of_set, ["one", "two"], "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def representatives(docs: DataFrame, k: int = WORDS, similar: int = SIMILAR) -> DataFrame:
+    """The rows of docs, all columns as they came, but of each group of linked rows only the one of the smallest doc_id.
+
+    Rows are judged as rows, whatever their ids: those of one id with different texts are different documents, and rows
+    without id go behind any with one.  A row without words is linked with nothing and stays.
+    """
+    rows = written(docs.withColumn(_ROW, F.monotonically_increasing_id()), "rows")
+    found = duplicates(rows.select(F.col(_ROW).alias("doc_id"), "text"), k, similar).where("component_id <> doc_id or not kept")
+    # only rows that are linked with a smaller one, and the ones they are linked with, can go or change places
+    linked = found.select(F.col("doc_id").alias(_ROW), "component_id").unionAll(found.select(F.col("component_id").alias(_ROW), "component_id").distinct())
+    linked = written(linked, "linked")
+    ranked = rows.select(_ROW, F.col("doc_id").isNull().alias("none"), "doc_id").join(linked, _ROW)
+    first = ranked.groupBy("component_id").agg(F.min(F.struct("none", "doc_id", _ROW))[_ROW].alias(_ROW)).select(_ROW)
+    gone = linked.select(_ROW).join(first, _ROW, "left_anti")
+    return rows.join(gone, _ROW, "left_anti").select(docs.columns)

@@ -5,24 +5,30 @@ identifiers of a fixed prefix, long runs of hexadecimal digits.  Weak ones (acco
 identifiers, bare high-variety strings, service endpoints) mean little alone.
 Within a scope, which is a stretch of text between blank lines, spans are joined
 by distance: a weak span is reported only if a part of a kind it completes stands
-within `reach` code points in the same scope.  The join is a search in the sorted
-starts of each kind, so its cost follows the spans and not their pairs.
+within `reach` code points in the same scope; a span belongs to the scope it starts in.
+The join is a search in the sorted starts of each kind, which carry the largest end so far,
+so its cost follows the spans and not their pairs.
 
 Spans are (kind, start, end) in code points, end exclusive, ordered by start and
-then by the order of KINDS.  Defined cases: a null or empty text has no spans;
-repeated rows each give a row; extra columns are ignored.
+then by the order of KINDS.  Defined cases: a null or empty text has no spans; a text of
+any length is searched whole, in time n log n; repeated rows and repeated or null doc_ids
+each give a row; extra columns are ignored by scan() and kept by redact(); an empty table
+gives none.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from riskstream.llm.common import pieces
+
 KINDS = ("assign", "access", "hex", "account", "bare", "endpoint")
 REACH = 240
 _ASCII = re.ASCII
@@ -58,17 +64,22 @@ def _varied(s: str) -> bool:
 
 def weak(text: str, strong: list[Span]) -> list[Span]:
     """Weak candidates that no strong span and no endpoint covers."""
-    taken = sorted((a, b) for _, a, b in strong)
-    starts = [a for a, _ in taken]
 
-    def free(a: int, b: int) -> bool:
-        i = bisect_left(starts, b)
-        return not any(y > a for _, y in taken[max(0, i - 4) : i])
+    def open_between(spans: Iterable[Span]):
+        """Whether no span reaches into [a, b): of those that start before b, none ends after a."""
+        taken = sorted((a, b) for _, a, b in spans)
+        starts, ends = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
+
+        def free(a: int, b: int) -> bool:
+            i = bisect_left(starts, b)
+            return i == 0 or ends[i - 1] <= a
+
+        return free
 
+    free = open_between(strong)
     ends = [("endpoint", m.start(), m.end()) for m in _ENDPOINT.finditer(text)]
     out = [("account", m.start(), m.end()) for m in _ACCOUNT.finditer(text) if free(m.start(), m.end())]
-    taken = sorted([*taken, *((a, b) for _, a, b in [*ends, *out])])
-    starts = [a for a, _ in taken]
+    free = open_between([*strong, *ends, *out])
     out += [("bare", m.start(), m.end()) for m in _BARE.finditer(text) if _varied(m[0]) and free(m.start(), m.end())]
     return out + ends
 
@@ -80,23 +91,18 @@ def linked(text: str, reach: int = REACH) -> tuple[list[Span], list[Span]]:
     kept: list[Span] = []
     if found and len(strong) + len(found) > 1:
         breaks = [m.start() for m in _SCOPE.finditer(text)]
-        at: dict[str, list[tuple[int, int, int]]] = {}
+        rows: dict[str, list[tuple[int, int, int]]] = {}  # scope, start and the largest end so far in the scope
         for kind, a, b in sorted([*strong, *found], key=lambda s: s[1]):
-            at.setdefault(kind, []).append((bisect_left(breaks, a), a, b))
-        longest = {k: max(b - a for _, a, b in v) for k, v in at.items()}
+            row, scope = rows.setdefault(kind, []), bisect_left(breaks, a)
+            row.append((scope, a, max(b, row[-1][2]) if row and row[-1][0] == scope else b))
         for kind, a, b in found:
             scope = bisect_left(breaks, a)
             for other in COMPLETES[kind]:
-                row = at.get(other, [])
-                i = bisect_left(row, (scope, a - reach - longest.get(other, 0), 0))
-                while i < len(row) and row[i][0] == scope and row[i][1] <= b + reach:
-                    if row[i][2] >= a - reach:
-                        kept.append((kind, a, b))
-                        break
-                    i += 1
-                else:
-                    continue
-                break
+                row = rows.get(other, [])
+                i = bisect_right(row, (scope, b + reach, len(text) + 1))
+                if i and row[i - 1][0] == scope and row[i - 1][2] >= a - reach:
+                    kept.append((kind, a, b))
+                    break
     key = lambda s: (s[1], KINDS.index(s[0]))
     return sorted(strong, key=key), sorted(kept, key=key)
 
@@ -110,7 +116,7 @@ def scan(docs: DataFrame, reach: int = REACH) -> DataFrame:
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = lambda s: (s[1], KINDS.index(s[0]))
-        for batch in batches:
+        for batch in pieces(batches, "text"):
             n: list[list[int]] = [[], [], [], []]
             digest, spans = [], []
             for text in batch.column(1):
@@ -134,7 +140,7 @@ def redact(docs: DataFrame, reach: int = REACH, mark: str = "[secret]") -> DataF
     column = names.index("text")
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, "text"):
             texts = batch.column(column).to_pylist()
             for i, text in enumerate(texts):
                 strong, more = linked(text or "", reach)
