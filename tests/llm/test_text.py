@@ -59,19 +59,30 @@ def test_words_and_grams():
 
 
 def test_fm_index_against_scan():
+    """Intervals of matching statistics of streamed texts, some of them indexed and some with words that no text has."""
     r = np.random.default_rng(1)
     texts = [r.integers(0, 4, n).astype(np.uint64) for n in r.integers(6, 40, 60)]
     owners = r.integers(0, 25, 60)
+    streamed = [*texts, *(r.integers(0, 5, n).astype(np.uint64) for n in r.integers(3, 60, 40))]
+    asker = np.concatenate([owners, r.integers(0, 30, 40)])
     window = 5
-    got = set()
-    for t, a, b in fm_index.Index(texts, owners, 80).repeats(np.arange(60), window):
-        got |= {(t, i) for i in range(a, b - window + 1)}
+    index = fm_index.Index(texts, owners, 80)
+    got = collections.defaultdict(set)
+    for t, a, b in index.matching(streamed, asker, window):
+        assert any(o < asker[t] and tuple(streamed[t][a:b]) in {tuple(x[i : i + b - a]) for i in range(len(x))} for x, o in zip(texts, owners))  # each is one match
+        got[t] |= set(range(a, b))
     grams = collections.defaultdict(lambda: 99)
     for t, o in zip(texts, owners):
         for i in range(len(t) - window + 1):
             k = tuple(t[i : i + window])
             grams[k] = min(grams[k], o)
-    assert got == {(n, i) for n, (t, o) in enumerate(zip(texts, owners)) for i in range(len(t) - window + 1) if grams[tuple(t[i : i + window])] < o}
+    for n, (t, o) in enumerate(zip(streamed, asker)):
+        assert got[n] == {j for i in range(len(t) - window + 1) if grams[tuple(t[i : i + window])] < o for j in range(i, i + window)}
+    # the index is smaller than its texts' hashes, suffix tables included in neither
+    many = [r.integers(0, 5000, 60).astype(np.uint64) for _ in range(2000)]
+    index = fm_index.Index(many, np.arange(2000), 100)
+    size = sum(v.words.nbytes + v.before.nbytes for tree in (index.tree, index.owner) for v in tree.levels)
+    assert size < 0.6 * sum(t.nbytes for t in many)
 
 
 @pytest.mark.parametrize("caps", [{}, {"segments_most": 1, "shard_words": 200}, {"segments_most": 10**9, "shard_words": 200}])
@@ -102,6 +113,18 @@ def test_block_twice_in_its_first_document(spark, caps):
         assert passage.split()[0] not in got[1].kept.split()
 
 
+@pytest.mark.parametrize("caps", [{}, {"segments_most": 1}])
+def test_rows_of_one_id_and_no_id(spark, caps):
+    r = random.Random(16)
+    part = lambda n: " ".join(f"w{r.randrange(10**9)}" for _ in range(n))
+    a, b, c = part(60), part(900), part(70)
+    rows = [(1, f"{part(100)} {a}"), (5, f"{a} {part(20)}"), (5, b), (5, f"{c} {c}"), (6, f"{c} {part(5)} {b} {part(7)}"), (6, f"{c} {part(9)} {a}"), (6, f"{c} {part(9)} {a}"[:0]), (7, None), (None, a), (None, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("anchor", F.lit("clash"))
+    got = collections.Counter((x.doc_id, x.n_words, x.n_removed) for x in substring_dedup.deduplicated(df, **caps).collect())
+    assert got == collections.Counter([(1, 160, 0), (5, 80, 60), (5, 900, 0), (5, 140, 0), (6, 982, 970), (6, 139, 130), (6, 0, 0), (7, 0, 0), (None, 60, 0), (None, 60, 0)])
+    assert substring_dedup.deduplicated(df.limit(0), **caps).count() == 0
+
+
 @pytest.mark.parametrize("caps", [{}, {"region": 3, "cluster": 2000}])
 @pytest.mark.parametrize("k,similar", [(3, 85), (5, 80)])
 def test_near_dedup(spark, texts, k, similar, caps):
