@@ -339,31 +339,71 @@ def test_licenses(spark, texts):
     assert "Python" not in plan and "Arrow" not in plan
 
 
-def test_language_model(spark, texts):
-    prior = 7.0
-    got = {r.doc_id: r for r in language_model.scores(frame(spark, texts), prior=prior, block_bytes=20_000, buckets=3).collect()}
+@pytest.mark.parametrize("caps", [{"block_bytes": 20_000}, {"block_bytes": 20_000, "route": 1, "stretch": 7}, {"block_bytes": 3_000, "route": 2, "stretch": 2}])
+def test_language_model(spark, texts, caps):
+    m, k = 7.0, 3.0
+    repeated = [(3, texts[3]), (None, texts[4]), (None, None)]
+    rows = [*enumerate(texts), *repeated]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"held": F.lit("clash"), "block": F.lit(1)})
+    got = collections.defaultdict(list)
+    for x in language_model.scores(df, priors=(m, k), **caps).collect():
+        got[x.doc_id].append(x)
     tokens = lambda t: [w.lower() for w in words(t)] + [None]
-    one, two, history = collections.Counter(), collections.Counter(), collections.Counter()
+    one, two, three, history = collections.Counter(), collections.Counter(), collections.Counter(), collections.Counter()
     held = {i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 7 == 2}
-    for i, t in enumerate(texts):
+    for i, t in rows:
         if i not in held:
             w = tokens(t)
+            h = ["^", *w]
             one.update(w)
-            two.update(zip(["^", *w], w))
-            history.update(["^", *w[:-1]])
+            two.update(zip(h, w))
+            three.update(zip(h, w, w[1:]))
+            history.update(h[:-1])
     n, v = sum(one.values()), len(one)
     root = lambda w: (one[w] + 1) / (n + v + 1)
-    for i, t in enumerate(texts):
+    after = lambda a, w: (two[a, w] + m * root(w)) / (history[a] + m)
+    after2 = lambda u, a, w: (three[u, a, w] + k * after(a, w)) / (two[u, a] + k)
+    for i, t in rows:
         w = tokens(t)
+        h = ["^", *w]
         base = sum(math.log10(root(x)) for x in w)
-        score = sum(math.log10((two[a, b] + prior * root(b)) / (history[a] + prior)) for a, b in zip(["^", *w], w))
-        r = got[i]
+        score = math.log10(after("^", w[0])) + sum(math.log10(after2(*x)) for x in zip(h, w, w[1:]))
+        r = next(x for x in got[i] if x.n_tokens == len(w) and abs(x.score - score) < 1e-6)
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (i in held, len(w), sum(one[x] > 0 for x in w), n)
-        assert abs(r.base_score - base) < 1e-6 and abs(r.score - score) < 1e-6
+        assert abs(r.base_score - base) < 1e-6
+    assert sum(map(len, got.values())) == len(rows) and len(got[3]) == len(got[None]) == 2
     # probabilities after a state add up to one with the unknown word
-    a = tokens(texts[0])[0]
-    assert abs(sum((two[a, b] + prior * root(b)) / (history[a] + prior) for b in one) + prior / (n + v + 1) / (history[a] + prior) - 1) < 1e-9
-    assert language_model.scores(frame(spark, texts).limit(0)).count() == 0
+    u, a = tokens(texts[0])[:2]
+    unknown = 1 / (n + v + 1)
+    assert abs(sum(after2(u, a, w) for w in one) + k * m * unknown / (history[a] + m) / (two[u, a] + k) - 1) < 1e-9
+    assert language_model.scores(df.limit(0)).count() == 0
+    # a repeated text of training scores above one seen by its words alone
+    assert sum(x[0].score > x[0].base_score for i, x in got.items() if i is not None and x[0].n_tokens > 60) > 10
+
+
+def test_automaton_follows_failure_arcs():
+    block = language_model.Block(np.array([1, 2, 3, int(language_model._END)], np.uint64), np.array([0, 1, 2, 3, 0, 1, 0, 3]), np.array([0, 4, 8]), np.array([False, False]))
+    keys = block.keys(64)
+    counts = [c[place].astype(float) for c, (_, place) in zip(block.counts(keys), keys)]
+    model = language_model.Automaton(block, *counts, 8, 4, (2.0, 2.0))
+    pair = lambda a, b: 6 + int(np.searchsorted(block.pairs, a * 5 + b))
+    go = lambda s, w: model.step(np.array([s]), np.array([w]))[0][0]
+    assert go(model.start, 0) == pair(4, 0) and go(pair(4, 0), 1) == pair(0, 1) and go(pair(0, 1), 2) == pair(1, 2)
+    assert go(pair(1, 2), 1) == 2  # neither pair nor word has an arc for it: by two failure arcs to the root, and on to the word
+    assert list(model.fail[[0, 1, 5, pair(0, 1)]]) == [0, 0, 0, 2]
+
+
+def test_rows_for_each_block_do_not_grow(spark):
+    assert [language_model.rounds_for(n) for n in (1, 2, 128, 129, 20_000, 3_000_000)] == [[1], [1], [7], [4, 4], [5, 5, 5], [6, 6, 5, 5]]
+    docs = spark.range(400).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(1, 40), i -> cast(pmod(xxhash64(id, i), 50) as string))) as text")
+    rows = {}
+    for size in (2000, 500):
+        table = language_model.blocks(docs.coalesce(1), 2, 7, size).cache()
+        n = table.count()
+        rounds = language_model.rounds_for(n, 2)
+        cells = table.select("block", "vocabulary", "tokens", "lengths", "held").mapInArrow(language_model._asked(sum(rounds), 40, rounds[0]), language_model._CELL)
+        rows[n] = cells.count() / n
+    assert len(rows) == 2 and max(rows) > 3 * min(rows) and all(r <= 4 for r in rows.values())
 
 
 def test_toxicity(spark):
