@@ -170,8 +170,8 @@ def test_long_page_and_empty_table(spark):
 def brute(rows, every, k):
     good = {}
     for i, v in rows:
-        if i is not None and v and all(c is not None and np.isfinite(c) for c in v) and any(v) and len(v) == 16:
-            good[i] = np.array(v, float)
+        if i is not None and v and all(c is not None and np.isfinite(c) for c in v) and any(v):
+            good[i] = np.array([*v, *[0.0] * (16 - len(v))], float)
     out = {}
     for q in sorted(i for i in good if i % every == 0):
         a = good[q]
@@ -207,6 +207,32 @@ def test_neighbours(spark):
     assert [v for _, v, _ in got[1000]] == [3, 1001, 1002, 1003, 1004]
 
 
+def test_each_candidate_is_scored_once_inside_its_window(spark, monkeypatch):
+    """Clustered vectors: windows are a small share of the table, and every pair is on one curve only."""
+    r = np.random.default_rng(5)
+    centres = r.normal(size=(150, 16))
+    rows = [(i, [float(np.float32(x)) for x in centres[i % 150] + 0.05 * r.normal(size=16)]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    widths = []
+    fit = neighbours._window
+    monkeypatch.setattr(neighbours, "_window", lambda *a: widths.append(fit(*a)) or widths[-1])
+    got = {}
+    for x in neighbours.nearest(df, 50, 5, curves=8, block=256).collect():
+        got.setdefault(x.query_id, []).append(x.vec_id)
+    want = brute(rows, 50, 5)
+    assert sum(len(set(got[q]) & {v for v, _ in want[q]}) for q in want) >= 0.9 * sum(map(len, want.values()))
+    assert 2 * widths[0] * 8 < 0.6 * len(rows) and all(len(set(v)) == 5 for v in got.values())
+
+
+def test_vectors_of_any_size_and_length(spark):
+    big = [[1e200, 1e200], [1e200, 0.0], [1e-200, 1e-200], [3.0], [5e-324, 0.0, 1.0]]
+    rows = list(enumerate(big))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(x.query_id, x.rank, x.vec_id, round(x.score, 12)) for x in neighbours.nearest(df, 50, 4).orderBy("rank").collect()]
+    half = round(0.5**0.5, 12)
+    assert got == [(0, 1, 2, 1.0), (0, 2, 1, half), (0, 3, 3, half), (0, 4, 4, 0.0)]
+
+
 def test_few_or_no_vectors(spark):
     assert found(spark, [(0, [1.0, 0.0]), (1, [0.0, 2.0]), (2, [1.0, 1.0])]) == {0: [(1, 2, pytest.approx(0.5**0.5)), (2, 1, 0.0)]}
     assert found(spark, [(0, [1.0, 0.0])]) == {}
