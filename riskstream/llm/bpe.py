@@ -5,18 +5,18 @@ make that a left-to-right machine.  A sequence is the one of its bytes exactly
 if every pair of neighbours is (their joined bytes encode to just these two), and
 so the encoding of each prefix ends in one token, which is the prefix's own encoding
 continued.  The nondeterministic machine has a thread for every place where a token
-may have begun, each at a node of the trie of tokens.  Its subset construction is
-made as texts reach it: a state is the set of nodes of the live threads, and a step
-on a byte has the tokens that may end there as its candidates.  The one whose pair
-with the token before it is sound ends the prefix.  A token is certain once every
-live thread descends from it, no later than the longest token reaches; those are
-emitted and forgotten whenever `HOLD` bytes are pending, so memory stays bounded.
+may have begun: its node in the trie of tokens, and the chain of tokens before it from the last that is out.  Its subset construction is made as texts reach it: a state is the tuple of live
+threads, which settles all that can follow.  On a byte, of the tokens that end there the one that is sound behind
+its thread's token ends the prefix, and begins a new thread; what all live threads have in common at the front of
+their chains goes out with the step.  So a token is emitted when no live thread began
+inside it or before it, at most the longest token's length later, and a step is one look-up of (state, byte).
 
 Decoding looks bytes up and feeds a UTF-8 state machine, whose steps are kept for
 each pair of state and token, so that a stream may be cut at any token.
 
-Defined cases: a null or empty text has no tokens and decodes to no bytes; extra
-columns are ignored; repeated rows each give a row; an empty table gives none.
+Defined cases: a null or empty text has no tokens and decodes to no bytes; a text of any length is one
+run of the machine for each match of the pattern, with no more pending than the longest token; extra
+columns are ignored; repeated rows and ids each give a row; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -30,9 +30,9 @@ import regex
 from pyspark.sql import DataFrame
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-HOLD = 4096
-_STATES = 200_000  # states and kept words are dropped beyond these and made anew
-_KEPT = 500_000
+_STATES = 200_000  # states are dropped beyond this and made anew
+_KEPT = 500_000  # and so are words, of this many bytes at most
+_KEPT_BYTES = 64
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -83,23 +83,21 @@ class Transducer:
             self.token[node] = rank
         self.none = max(ranks.values()) + 1
         self.pairs: dict[int, bool] = {}
-        self.longest = max(map(len, ranks))
         self.edges: tuple[dict, dict] = ({}, {})
         self.sound: dict[int, bool] = {}
         self._reset()
 
     def _reset(self) -> None:
-        self.states: list[tuple[int, ...]] = []  # trie nodes of the live threads, oldest thread first; each is as deep as it is old
-        self.known: dict[tuple[int, ...], int] = {}
-        self.step: list[dict[int, tuple[int, tuple]]] = []
-        self._state((0,))
+        self.states: list[tuple[tuple[int, tuple[int, ...]], ...]] = []  # live threads (node, chain), oldest first
+        self.known: dict[tuple, int] = {}
+        self.step: dict[int, tuple[int, tuple[int, ...]]] = {}  # by state << 8 | byte
+        self._state(((0, (-1,)),))
 
-    def _state(self, key: tuple[int, ...]) -> int:
+    def _state(self, key: tuple) -> int:
         at = self.known.get(key)
         if at is None:
             at = self.known[key] = len(self.states)
             self.states.append(key)
-            self.step.append({})
         return at
 
     def _edge(self, token: int, side: int) -> list[tuple[bytes, int]]:
@@ -124,6 +122,7 @@ class Transducer:
         if ok is None:
             ok = self.sound[b] = merge(self.bytes[b], self.ranks) == [b]
         if not ok or a < 0:
+            self.pairs[a << 20 | b] = ok
             return ok
         ok = self.pairs.get(a << 20 | b)
         if ok is None:
@@ -148,73 +147,56 @@ class Transducer:
             self.pairs[a << 20 | b] = ok
         return ok
 
-    def _move(self, at: int, byte: int) -> tuple[int, tuple]:
-        """The next state, and the tokens that may end there with their lengths, longest first."""
-        live, ended = [], []
-        for node in self.states[at]:
-            to = self.child[node].get(byte)
+    def _move(self, at: int, byte: int) -> tuple[int, tuple[int, ...]]:
+        """The next state and the tokens that go out on the way."""
+        child, tokens, pairs = self.child, self.token, self.pairs
+        live, ended = [], None
+        for node, chain in self.states[at]:
+            to = child[node].get(byte)
             if to is None:
                 continue
-            if self.child[to]:
-                live.append(to)
-            token = self.token[to]
-            if token >= 0 and self._follows(-1, token):
-                ended.append((token, len(self.bytes[token])))
+            if child[to]:
+                live.append((to, chain))
+            token = tokens[to]
+            if ended is None and token >= 0:
+                before = chain[-1]
+                ok = pairs.get(before << 20 | token)
+                if ok is None:
+                    ok = self._follows(before, token)
+                if ok:
+                    ended = (*chain, token)
         assert ended, "the vocabulary lacks a byte"
-        return self._state((*live, 0)), tuple(ended)
-
-    def encode(self, data: bytes) -> tuple[int, ...]:
-        whole = self.ranks.get(data)
-        if whole is not None:
-            return (whole,)
-        if len(self.states) > _STATES:
-            self._reset()
+        if not live:
+            return self._state(((0, ended[-1:]),)), ended[1:]
+        live.append((0, ended))
+        least, most = min(t[1] for t in live), max(t[1] for t in live)
+        n = 1  # all begin with the last token that is out
+        for a, b in zip(least[1:], most[1:]):
+            if a != b:
+                break
+            n += 1
+        if len(least) > n:
+            live = [(node, (-1, *chain[n:])) for node, chain in live]  # no thread stands right behind the last token that is out
+        elif n > 1:
+            live = [(node, chain[n - 1 :]) for node, chain in live]
+        return self._state(tuple(live)), least[1:n]
+
+    def encode(self, data: bytes) -> list[int]:
         out: list[int] = []
-        last = [-1]  # the token that each pending prefix ends in
-        at, i, step, sound = 0, 0, self.step, self.pairs.get
+        at, step, add = 0, self.step, out.extend
         for byte in data:
-            to = step[at].get(byte)
+            to = step.get(at << 8 | byte)
             if to is None:
-                to = step[at][byte] = self._move(at, byte)
-            at, ended = to
-            i += 1
-            if len(ended) > 1:
-                for token, n in ended:
-                    before = last[i - n]
-                    if before < 0:
-                        break
-                    ok = sound(before << 20 | token)
-                    if ok is None:
-                        ok = self._follows(before, token)
-                    if ok:
-                        break
-                else:
-                    raise AssertionError("no token ends here")
-                last.append(token)
-            else:
-                last.append(ended[0][0])
-            if i > HOLD:
-                last = self._emit(last, self.longest, out)
-                i = len(last) - 1
-        size, back = self.bytes, []
-        while i > 0:
-            back.append(last[i])
-            i -= len(size[last[i]])
-        return (*out, *back[::-1])
-
-    def _emit(self, last: list[int], open_: int, out: list[int]) -> list[int]:
-        """Emits what every prefix of the last open_ bytes agrees on; returns what is pending after it."""
-        size, end = self.bytes, len(last) - 1
-        common = None
-        for i in range(max(0, end - open_), end + 1):
-            chain = {}
-            while i > 0:
-                chain[i] = last[i]
-                i -= len(size[last[i]])
-            common = chain if common is None else {k: v for k, v in chain.items() if k in common}
-        sure = max(common, default=0)
-        out.extend(common[k] for k in sorted(common))
-        return [last[sure] if sure else last[0], *last[sure + 1 :]]
+                if len(self.states) > _STATES:
+                    now = self.states[at]
+                    self._reset()
+                    at, step = self._state(now), self.step
+                to = step[at << 8 | byte] = self._move(at, byte)
+            at, emitted = to
+            if emitted:
+                add(emitted)
+        add(self.states[at][-1][1][1:])  # the thread that begins here has all tokens behind it
+        return out
 
 
 #: UTF-8 states: 0 between characters; 1 to 3 that many continuation bytes missing; then the four whose next byte is bounded; the last is an error.
@@ -265,19 +247,23 @@ class Decoder:
 class Codec:
     def __init__(self, path: str, split: str):
         self.machine = Transducer(load(path))
-        self.find = regex.compile(split).findall
-        self.kept: dict[str, tuple[int, ...]] = {}
+        self.find = regex.compile(split).finditer
+        self.kept: dict[str, list[int]] = {}
         self.digits = {i: str(i) for i in self.machine.bytes}
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
         kept, add = self.kept, out.extend
-        for piece in self.find(text):
+        for match in self.find(text):
+            piece = match[0]
             ids = kept.get(piece)
             if ids is None:
-                if len(kept) > _KEPT:
-                    kept.clear()
-                ids = kept[piece] = self.machine.encode(piece.encode())
+                data = piece.encode()
+                ids = self.machine.encode(data)
+                if len(data) <= _KEPT_BYTES:
+                    if len(kept) > _KEPT:
+                        kept.clear()
+                    kept[piece] = ids
             add(ids)
         return out
 
