@@ -1,17 +1,17 @@
 """Near-duplicate documents by an LSH forest over MinHash signatures.
 
 A document's set is its distinct word shingles.  Equal sets are one entry from the
-start, known by a fingerprint, so exact copies never meet one another.  An entry's
-signature has `DEPTH` MinHash values for each tree, and each tree orders entries by them
-from another place on.  Entries with a common prefix of `DEPTH`
-values in some tree are a region.  There are as many trees as it takes for two sets at
+start, known by a fingerprint, so exact copies never meet one another.  A tree orders entries by
+MinHash values of its own; the forest is the sorted orders of all trees, range-partitioned, where
+neighbours with the longest common prefixes stand side by side.  Runs in which neighbours have the
+first `DEPTH` values in common are regions; all entries that share them with no neighbour, almost all,
+are gone after that one pass.  There are as many trees as it takes for two sets at
 the limit to fall together in none with a probability of `MISS` or less, which is
 (1 - s**6)**n: 25 trees for 0.85, 38 for 0.8; more alike sets are missed far more seldom.  Depth adapts: entries of a
-region with more than `REGION` of them get a new forest of prefixes `DEPTH` values
-longer, in as many more trees (76, 209, ... for 0.85; 162, 634, ... for 0.8) as keep the
-same bound, until regions are small.  All its MinHash values are drawn anew from the
-texts, for each tree its own, so a deeper forest misses a pair at the limit with `MISS`
-or less too, whatever the forest before found (`LEVELS` times `MISS` for a pair that goes
+region with more than `REGION` of them stand in the same orders once more, lengthened by `DEPTH`
+values, and in as many more trees (76, 209, ... in all for 0.85; 162, 634, ... for 0.8) as keep the
+same bound at that depth, until regions are small.  No two trees share a value, so
+each depth by itself misses a pair at the limit with `MISS` or less (`LEVELS` times `MISS` for a pair that goes
 through all).  What still stands together in `LEVELS` times `DEPTH` equal values is
 chained to its first.
 Regions with the same entries in several trees are looked at once.
@@ -22,13 +22,15 @@ deviations below the expectation at the limit) connect, and a region emits a
 spanning forest of at most its size, never all pairs.  The connected components of
 that are clusters of which only the sets are fetched.  Within a cluster, sets are
 compared exactly, by counts of common shingles, until every pair of different
-components is known to have no link; clusters above `CLUSTER` shingles are cut into
-blocks and compared block by block.  Exact links make the components of the result.
+components is known to have no link.  Clusters above `CLUSTER` shingles are compared region by region instead, so
+that a set is fetched as often as it has regions and not once for every other part of its cluster; a region above that, or a
+cluster around a region that stayed too large, is cut into blocks and compared block by block.  Exact links make the components of the result.
 
 Shingles are known by 64-bit hashes and sets by 128 bits.  Defined cases: a document
 without words or text has an empty set and is linked with nothing; with fewer words
 than a shingle has, its whole sequence is one shingle; a null doc_id is linked with nothing, has no
-component and is kept; repeated rows each give a row; extra columns are ignored.
+component and is kept; repeated rows each give a row, and rows of one id with different texts are different sets under
+one id; a text of any length is worked on whole; extra columns are ignored; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskstream.llm.common import mix, pieces, sieved, spans_hash, words, written
@@ -67,27 +69,29 @@ def values_for(similar: int) -> int:
     return n
 
 
-def tree_key() -> Column:
-    """Hash of the values that a tree's order begins with, in the first forest."""
-    return F.xxhash64(F.lit(0), "tree", F.expr(f"substring(signature, tree * {DEPTH} + 1, {DEPTH})"))
+def _orders(similar: int) -> tuple[np.ndarray, np.ndarray]:
+    """Seeds of each tree's values, trees x values: the first forest's are those of signatures, and the same orders go on at every depth."""
+    trees, depth = trees_for(similar, DEPTH * LEVELS), DEPTH * LEVELS
+    seeds = np.random.Generator(np.random.PCG64(29)).integers(1, 1 << 63, (2, trees, depth), np.uint64)
+    mul, add = seeds[0] * np.uint64(2) + np.uint64(1), seeds[1]
+    first = trees_for(similar)
+    for out, own in zip((mul, add), _seeds(values_for(similar))):
+        out[:first, :DEPTH] = own[: first * DEPTH].reshape(first, DEPTH)
+    return mul, add
 
 
-def deeper_keys(grams: np.ndarray, bounds: np.ndarray, level: int, similar: int) -> np.ndarray:
-    """Keys of a deeper forest, a row for each set that is not empty: every tree hashes MinHash values of its own, drawn for it alone."""
+def paths(grams: np.ndarray, bounds: np.ndarray, level: int, similar: int) -> np.ndarray:
+    """Bytes of the values by which the trees of a forest order sets that are not empty: sets x trees x values."""
     depth = DEPTH * (level + 1)
     trees = trees_for(similar, depth)
     start = bounds[:-1][np.diff(bounds) > 0]
-    seeds = np.random.Generator(np.random.PCG64([23, level])).integers(1, 1 << 63, (2, trees, depth), np.uint64)
-    mul, add = seeds[0] * np.uint64(2) + np.uint64(1), seeds[1]
-    keys = np.empty((len(start), trees), np.int64)
-    if not len(start):
-        return keys
-    for tree in range(trees):
-        key = np.full(len(start), mix(np.array([level << 32 | tree], np.uint64))[0])
-        for j in range(depth):
-            key = mix(key ^ np.minimum.reduceat(grams * mul[tree, j] + add[tree, j], start))
-        keys[:, tree] = key.view(np.int64)
-    return keys
+    mul, add = _orders(similar)
+    out = np.empty((len(start), trees, depth), np.uint8)
+    if len(start):
+        for tree in range(trees):
+            for j in range(depth):
+                out[:, tree, j] = mix(np.minimum.reduceat(grams * mul[tree, j] + add[tree, j], start)) & np.uint64(255)
+    return out
 
 
 def _seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -136,8 +140,8 @@ def _signed(k: int, similar: int):
                 for j in range(values):
                     signature[some, j] = (mix(np.minimum.reduceat(grams * mul[j] + add[j], start)) & np.uint64(255)).astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(one), pa.array(two), pa.array([r.tobytes() for r in signature], pa.binary())],
-                ["doc_id", "n_shingles", "one", "two", "signature"],
+                [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(one), pa.array(two), pa.array([r.tobytes() for r in signature], pa.binary())],
+                ["doc_id", "row", "n_shingles", "one", "two", "signature"],
             )
 
     return rows
@@ -207,6 +211,8 @@ def _linked(similar: int):
         """Exact links among sets, as a star for each component."""
         table = table.sort_by("entry")
         ids = table.column("entry").to_numpy()
+        own = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))  # a repeated row is fetched as often as it stands
+        ids, table = ids[own], table.take(pa.array(own))
         each = [np.cumsum(unpack(x, np.uint64)) for x in table.column("shingles").to_pylist()]
         n, size = len(ids), np.array([len(x) for x in each])
         _, flat = np.unique(np.concatenate(each), return_inverse=True)
@@ -243,69 +249,98 @@ def _fetch(k: int):
 
 
 def _deeper(k: int, similar: int, level: int):
-    """entry, tree and key of every tree of a deeper forest, from the texts of entries."""
+    """entry, tree and path of every tree of a deeper forest, from the texts of entries."""
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
                 grams, bounds = sets(part.column(1), k)
-                keys = deeper_keys(grams, bounds, level, similar)
+                found = paths(grams, bounds, level, similar)
                 entry = part.column(0).to_numpy()[np.diff(bounds) > 0]
-                tree = np.tile(np.arange(keys.shape[1], dtype=np.int32), len(keys))
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(entry, keys.shape[1]), pa.int64()), pa.array(tree, pa.int32()), pa.array(keys.ravel(), pa.int64())], ["entry", "tree", "key"])
+                n, trees, depth = found.shape
+                cells = pa.Array.from_buffers(pa.binary(depth), n * trees, [None, pa.py_buffer(found.tobytes())]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(entry, trees), pa.int64()), pa.array(np.tile(np.arange(trees, dtype=np.int32), n)), cells], ["entry", "tree", "path"])
 
     return rows
 
 
+def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a sorted order, the places whose path a neighbour has in common, and those whose neighbour is not in sight."""
+    for batch in batches:
+        if batch.num_rows:
+            tree, path = batch.column(1).to_numpy(), np.array(batch.column(2).to_pylist(), object)
+            same = np.concatenate([[True], (tree[1:] == tree[:-1]) & (path[1:] == path[:-1]), [True]])
+            yield batch.filter(pa.array(same[1:] | same[:-1]))
+
+
+def _regions(stand: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
+    """stand(entry, tree, path) in sorted order: entry, tree and key of the places in runs; and of each run of two or more its key, size, and what its members add up to."""
+    ordered = stand.repartitionByRange("tree", "path", "entry").sortWithinPartitions("tree", "path", "entry")
+    runs = written(ordered.select("entry", "tree", "path").mapInArrow(_runs, "entry long, tree int, path binary").select("entry", "tree", F.xxhash64(F.lit(level), "tree", "path").alias("key")), "runs")
+    members = [F.sum(F.expr(f"xxhash64(entry, {seed}) >> 24")).alias(name) for seed, name in ((1, "members"), (2, "others"))]
+    return runs, written(runs.groupBy("key").agg(F.count("*").alias("n"), F.min("entry").alias("first"), *members).where("n > 1"), "regions")
+
+
 def duplicates(docs: DataFrame, k: int = WORDS, similar: int = SIMILAR, region: int = REGION, cluster: int = CLUSTER) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document of docs(doc_id, text)."""
-    text = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    signed = written(text.mapInArrow(_signed(k, similar), "doc_id long, n_shingles long, one long, two long, signature binary"), "signed")
-    entries = signed.where("n_shingles > 0 and doc_id is not null").groupBy("one", "two").agg(F.min(F.struct("doc_id", "n_shingles", "signature")).alias("e"))
-    entries = written(entries.select("one", "two", F.col("e.doc_id").alias("entry"), F.col("e.n_shingles").alias("size"), F.col("e.signature").alias("signature")), "entries")
-
-    # regions of each tree; deeper forests, of values drawn anew from the texts, for the entries of large ones
+    text = docs.select("doc_id", F.col("text").cast("binary").alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
+    signed = written(text.select("doc_id", "text", "row").mapInArrow(_signed(k, similar), "doc_id long, row long, n_shingles long, one long, two long, signature binary"), "signed")
+    # an entry is a set, with a number of its own and one of the rows that have it, which its text is fetched from
+    entries = signed.where("n_shingles > 0 and doc_id is not null").groupBy("one", "two").agg(F.min(F.struct("doc_id", "row", "n_shingles", "signature")).alias("e"))
+    entries = entries.select(F.monotonically_increasing_id().alias("entry"), "one", "two", "e.doc_id", "e.row", F.col("e.n_shingles").alias("size"), "e.signature")
+    entries = written(entries, "entries")
+
+    # the first forest's values are those of signatures; deeper ones are made from texts, for the entries of large regions
     trees = F.explode(F.sequence(F.lit(0), F.lit(trees_for(similar) - 1))).alias("tree")
-    stand = entries.select("entry", "signature", trees).select("entry", "tree", tree_key().alias("key"))
+    stand = entries.select("entry", "signature", trees).select("entry", "tree", F.expr(f"substring(signature, tree * {DEPTH} + 1, {DEPTH})").alias("path"))
     found = None
     for level in range(LEVELS):
-        size = stand.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.expr("xxhash64(entry) >> 24")).alias("members"), F.min("entry").alias("first")).where("n > 1")
-        size = written(size, "regions")
+        runs, size = _regions(stand, level)
         # regions of the same members are one, whatever trees and depths they come from
-        same = size.where(F.col("n") <= region).groupBy("n", "members", "first").agg(F.min("key").alias("key"))
-        small = stand.join(same.select("key"), "key").select("entry", "tree", "key")
+        same = size.where(F.col("n") <= region).groupBy("n", "members", "others", "first").agg(F.min("key").alias("key"))
+        small = runs.join(same.select("key"), "key").select("entry", "tree", "key")
         found = small if found is None else found.unionAll(small)
         large = size.where(F.col("n") > region).select("key")
         if not large.limit(1).count():
             large = None
             break
         if level + 1 < LEVELS:
-            hot = written(stand.join(large, "key").select("entry").distinct(), "hot")
-            texts = sieved(text.withColumnRenamed("doc_id", "entry"), "entry", hot).join(hot, "entry").dropDuplicates(["entry", "text"])
-            stand = written(texts.select("entry", "text").mapInArrow(_deeper(k, similar, level + 1), "entry long, tree int, key long"), "stand")
-    members = found.distinct().join(entries.select("entry", "signature"), "entry")
-    near = members.groupBy("key").applyInArrow(_region(agreement(similar)), _EDGE)
+            hot = written(runs.join(large, "key").select("entry").distinct().join(entries.select("entry", "row"), "entry"), "hot")
+            texts = sieved(text, "row", hot).join(hot, "row").dropDuplicates(["row", "entry"])
+            stand = written(texts.select("entry", "text").mapInArrow(_deeper(k, similar, level + 1), "entry long, tree int, path binary"), "stand")
+    found = written(found.distinct(), "members")
+    near = found.join(entries.select("entry", "signature"), "entry").groupBy("key").applyInArrow(_region(agreement(similar)), _EDGE)
     if large is not None:
         # a cluster may hold too much, since exact comparison follows
-        near = near.unionAll(size.select("key", F.col("first").alias("b")).join(large, "key").join(stand, "key").select(F.col("entry").alias("a"), "b"))
-    clusters = components(near)
+        chained = written(size.select("key", F.col("first").alias("b")).join(large, "key").join(runs, "key").select(F.col("entry").alias("a"), "b"), "chained")
+        near = near.unionAll(chained)
+    clusters = written(components(near), "clusters")
 
-    # sets of clusters, each fetched once; blocks of large clusters
+    # sets are compared within small clusters, and within the regions of large ones
     sized = clusters.join(entries.select(F.col("entry").alias("node"), "size"), "node")
     total = sized.groupBy("component").agg(F.sum("size").alias("total"))
+    sized = sized.join(total.withColumn("large", F.col("total") > cluster).drop("total"), "component")
+    if large is not None:
+        kept_whole = clusters.join(chained.select(F.col("b").alias("node")).distinct(), "node").select("component", F.lit(True).alias("whole")).distinct()
+        sized = sized.join(kept_whole, "component", "left").withColumn("large", F.col("large") & F.col("whole").isNull())
+    groups = sized.where("not large").select("node", "size", F.xxhash64("component", F.lit("cluster")).alias("group"))
+    by_region = sized.where("large").select("node", "size").join(found.select(F.col("entry").alias("node"), F.col("key").alias("group")).distinct(), "node")
+    groups = written(groups.unionAll(by_region.select("node", "size", "group")), "groups")
     blocks = F.ceil(F.col("total") / cluster)
-    placed = sized.join(total, "component").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
-    paired = F.expr("if(blocks = 1, array(xxhash64(component)), transform(sequence(cast(0 as bigint), blocks - 1), j -> xxhash64(component, least(j, block), greatest(j, block))))")
-    placed = placed.select("node", F.explode(paired).alias("group"))
-    placed = written(placed, "placed")
+    placed = groups.join(groups.groupBy("group").agg(F.sum("size").alias("total"), F.count("*").alias("n")).where("n > 1"), "group")
+    placed = placed.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    paired = F.expr("if(blocks = 1, array(group), transform(sequence(cast(0 as bigint), blocks - 1), j -> xxhash64(group, least(j, block), greatest(j, block))))")
+    placed = placed.select("node", F.explode(paired).alias("group")).groupBy("node").agg(F.collect_list("group").alias("groups"))
+    placed = written(placed.join(entries.select(F.col("entry").alias("node"), "row"), "node"), "placed")
     # a sieve of fixed size spares most other documents the shuffle
-    near_text = sieved(docs.select(F.col("doc_id").alias("node"), "text"), "node", placed)
-    fetched = near_text.select("node", F.col("text").cast("binary").alias("text")).join(placed.groupBy("node").agg(F.collect_list("group").alias("groups")), "node")
+    fetched = sieved(text, "row", placed).select("row", "text").join(placed, "row")
     shingles = fetched.select("text", "node", "groups").mapInArrow(_fetch(k), "entry long, group long, shingles binary")
     links = shingles.groupBy("group").applyInArrow(_linked(similar), _EDGE)
-    linked = components(links)
+    linked = components(links).withColumnRenamed("node", "entry")
 
-    of_set = entries.select("one", "two", "entry").join(linked.select(F.col("node").alias("entry"), "component"), "entry", "left").select("one", "two", F.coalesce("component", "entry").alias("component_id"))
+    named = linked.join(entries.select("entry", "doc_id"), "entry")
+    named = named.join(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select("entry", "component_id")
+    of_set = entries.select("one", "two", "entry", "doc_id").join(named, "entry", "left").select("one", "two", F.coalesce("component_id", "doc_id").alias("component_id"))
     some = F.col("n_shingles") > 0
     # an empty set meets no entry: its keys are nulled, so that such rows spread by their doc_id
     own = signed.select("doc_id", "n_shingles", F.when(some, F.col("one")).alias("one"), F.when(some, F.col("two")).alias("two"))

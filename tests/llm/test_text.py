@@ -125,7 +125,7 @@ def test_rows_of_one_id_and_no_id(spark, caps):
     assert substring_dedup.deduplicated(df.limit(0), **caps).count() == 0
 
 
-@pytest.mark.parametrize("caps", [{}, {"region": 3, "cluster": 2000}])
+@pytest.mark.parametrize("caps", [{}, {"cluster": 600}, {"region": 3, "cluster": 2000}])
 @pytest.mark.parametrize("k,similar", [(3, 85), (5, 80)])
 def test_near_dedup(spark, texts, k, similar, caps):
     sets = []
@@ -155,10 +155,31 @@ def test_deeper_forests_keep_the_miss_bound():
     """Pairs exactly at 0.85 (17 of 20 shingles): values shared among a forest's trees lost about 8 in 1,000 here."""
     sets = np.random.default_rng(7).integers(1, 1 << 63, (1000, 20), np.uint64)
     pair = [np.sort(np.concatenate([sets[:, :17], part], 1)) for part in (sets[:, 17:18], sets[:, 18:])]
-    for level in (1, 2):
-        a, b = (near_dedup.deeper_keys(s.ravel(), np.arange(len(s) + 1) * s.shape[1], level, 85) for s in pair)
-        assert a.shape == (1000, near_dedup.trees_for(85, near_dedup.DEPTH * (level + 1)))
-        assert (a == b).any(1).all()
+    before = None
+    for level in (0, 1, 2):
+        a, b = (near_dedup.paths(s.ravel(), np.arange(len(s) + 1) * s.shape[1], level, 85) for s in pair)
+        assert a.shape == (1000, near_dedup.trees_for(85, near_dedup.DEPTH * (level + 1)), near_dedup.DEPTH * (level + 1))
+        assert (a == b).all(2).any(1).all()
+        if before is not None:
+            assert (a[:, : before.shape[1], : before.shape[2]] == before).all()  # the same orders, lengthened
+        before = a
+
+
+def test_regions_are_runs_of_sorted_orders(spark):
+    r = np.random.default_rng(9)
+    rows = [(i, t, bytes(r.integers(0, 2, 6).astype(np.uint8))) for t in range(3) for i in range(60)]
+    runs, size = near_dedup._regions(spark.createDataFrame(rows, "entry long, tree int, path binary"), 0)
+    want = collections.Counter(collections.Counter((t, p) for _, t, p in rows).values())
+    want.pop(1, None)
+    assert collections.Counter(x.n for x in size.collect()) == want
+    assert runs.count() <= len(rows)
+
+
+def test_rows_of_one_id_are_sets_of_their_own(spark):
+    one, two = "a b c d e f g h i j", "q r s t u v w x y z"
+    df = spark.createDataFrame([(5, one), (5, two), (7, one), (3, two), (5, one), (9, "k l m n o p")], "doc_id long, text string")
+    got = sorted((x.doc_id, x.component_id, x.kept) for x in near_dedup.duplicates(df).collect())
+    assert got == [(3, 3, True), (5, 3, False), (5, 5, True), (5, 5, True), (7, 5, False), (9, 9, True)]
 
 
 def test_near_dedup_of_nothing_and_null_ids(spark):
