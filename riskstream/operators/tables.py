@@ -11,6 +11,10 @@ from pyspark.sql.types import StructType
 from riskstream.schemas import UNIFIED
 
 
+#: Over how many parts rows without a key are spread.
+_SPREAD = 256
+
+
 def first_of(df: DataFrame, id_col: str, order: Sequence[str]) -> DataFrame:
     """One row of each id: the first by order and then by all other columns, so that the choice does not depend on chance."""
     rest = [F.col(f"`{c}`").cast("string") for c in sorted(df.columns) if c not in (id_col, *order)]
@@ -24,8 +28,13 @@ def deduplicated_stream(events: DataFrame, id_col: str, seconds: int, ts: str =
 
 
 def enriched(events: DataFrame, dimension: DataFrame, on: str, columns: dict[str, str]) -> DataFrame:
-    """events with columns of a dimension under new names; events that match nothing stay. A small dimension is broadcast by the planner's own size rule."""
-    return events.join(dimension.select(on, *(F.col(old).alias(new) for old, new in columns.items())), on, "left")
+    """events with columns of a dimension under new names; events that match nothing stay. A small dimension is broadcast by the planner's own size rule.
+
+    Events without a key match nothing and would all meet in one partition of a shuffle: they are spread by what else they hold.
+    """
+    spread = F.when(F.col(on).isNull(), F.pmod(F.xxhash64(*events.columns), F.lit(_SPREAD))).otherwise(F.lit(0))
+    own = dimension.select(on, *(F.col(old).alias(new) for old, new in columns.items()), F.lit(0).cast("long").alias("_spread"))
+    return events.withColumn("_spread", spread).join(own, [on, "_spread"], "left").drop("_spread")
 
 
 def conformed(df: DataFrame, to: StructType = UNIFIED, instead: dict[str, str] | None = None) -> DataFrame:

@@ -144,6 +144,23 @@ def test_customers_without_events_stay(spark):
     assert got["a"].n_transactions == 1
 
 
+def test_rows_without_key_are_spread(spark):
+    events = spark.range(1000).selectExpr("id", "if(id % 2 = 0, null, cast(id % 4 as string)) as m")
+    shops = spark.createDataFrame([("1", "one"), (None, "none")], "m string, name string")
+    got = tables.enriched(events, shops.hint("merge"), "m", {"name": "shop"})
+    assert {(r.m, r.shop): r["count"] for r in got.groupBy("m", "shop").count().collect()} == {(None, None): 500, ("1", "one"): 250, ("3", None): 250}
+    assert sorted(got.columns) == ["id", "m", "shop"]
+
+
+def test_merchants_and_empty_alerts(spark):
+    events = tables.conformed(events_frame(spark, [("1", "transactions", "a", at(0), 10.0, "OK", 0.0, 0.0, "d", "m", "CARD"), ("2", "payments", "b", at(0), 5.0, "OK", 0.0, 0.0, "d", None, "CARD")])).fillna(1, ["fraud_label"])
+    shops = spark.createDataFrame([("m", "M", "c", "x", "t"), ("n", "N", "c", "x", "t")], "merchant_id string, merchant_name string, category string, country string, city string")
+    got = {r.merchant_id: (r.n_events, r.total_amount, r.n_customers, r.fraud_rate) for r in gold.merchant_summary(events, shops).collect()}
+    assert got == {"m": (1, 10.0, 1, got["m"][3]), "n": (0, 0.0, 0, 0.0)}
+    none = gold.fraud_events(events.where("false"))
+    assert gold.kpis(none).collect()[0].fraud_alerts == 0 and gold.alerts_by_type(none).count() == 0
+
+
 def test_settings_are_immutable():
     assert Settings() == DEFAULT
     assert DEFAULT.velocity.points + DEFAULT.travel.points == 55
