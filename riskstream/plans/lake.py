@@ -69,7 +69,9 @@ def check(store: TableStore, raw: str, labels: DataFrame) -> DataFrame:
     parts = [quality.counted(store.read(f"bronze/{kind}"), f"bronze_{kind}", readers.lines(spark, f"{raw}/{kind}.jsonl")) for kind in FEEDS]
     parts += [quality.counted(store.read(f"bronze/{name}"), f"bronze_{name}", readers.lines(spark, f"{raw}/{name}.csv", header=True)) for name in ("customers", "merchants")]
     events = store.read("silver/events")
-    parts.append(quality.events_checks(events, labels=labels.count()))
+    # by what the labels say of themselves, one row for each feed
+    said = {r["event_type"]: r["count"] for r in labels.groupBy("event_type").count().collect()} if "event_type" in labels.columns else {}
+    parts.append(quality.events_checks(events, labels=labels.count(), by_type={kind: said.get(kind, 0) for kind in FEEDS} if said else None))
     parts.append(quality.conserved(events.where("fraud_label = 1"), store.read("gold/customer_risk_summary"), "fraud_conserved"))
     parts.append(quality.counted(store.read("gold/fraud_events"), "gold_fraud_events", events.where("fraud_label = 1").count()))
     return quality.report(*parts)
@@ -88,7 +90,7 @@ def rebuild(store: TableStore, raw: str, labels_path: str, scores: DataFrame | N
     """All layers, checked; the manifest says what there is and whether every check holds."""
     labels = readers.labels(store.spark, labels_path)
     bronze(store, raw)
-    silver(store, labels, scores)
+    silver(store, labels.drop("event_type"), scores)
     build_gold(store)
     found = check(store, raw, labels).toPandas()
     manifest = {"ok": bool(found["ok"].all()), "checks": dict(zip(found["check"], map(bool, found["ok"]))), "rows": {name: store.count(name) for name in ("silver/events", "gold/customer_risk_summary", "gold/merchant_fraud_summary", "gold/fraud_events")}}

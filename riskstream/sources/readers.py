@@ -24,12 +24,13 @@ def csv_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
 
 
 def labels(spark: SparkSession, path: str) -> DataFrame:
-    """Labels by event_id under the names of the unified envelope."""
-    return renamed_labels(spark.read.schema(LABELS).json(path))
+    """Labels by event_id under the names of the unified envelope, and the type of event that each is for."""
+    raw = spark.read.schema(LABELS).json(path)
+    return renamed_labels(raw, "event_type")
 
 
-def renamed_labels(raw: DataFrame) -> DataFrame:
-    return raw.select("event_id", F.col("scenario").alias("fraud_scenario"), "alert_type", "risk_points", F.col("label").alias("fraud_label"))
+def renamed_labels(raw: DataFrame, *more: str) -> DataFrame:
+    return raw.select("event_id", *more, F.col("scenario").alias("fraud_scenario"), "alert_type", "risk_points", F.col("label").alias("fraud_label"))
 
 
 def lines(spark: SparkSession, path: str, header: bool = False) -> int:
@@ -54,6 +55,12 @@ def _keyed(text: DataFrame, key_field: str) -> DataFrame:
     return text.select(F.get_json_object("value", f"$.{key_field}").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"))
 
 
+def published(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+    """(key, value) of a folder topic that sinks.publish fills, as a table or as a stream."""
+    reader = (spark.readStream if stream else spark.read).schema("key binary, value binary")
+    return reader.parquet(f"{path}/batch-*")
+
+
 def broker(spark: SparkSession, servers: str, topic: str, starting: str = "earliest") -> DataFrame:
     """A stream of (key, value, topic, partition, offset). Needs the Kafka connector; raises the planner's error without it."""
     options = {"kafka.bootstrap.servers": servers, "subscribe": topic, "startingOffsets": starting}

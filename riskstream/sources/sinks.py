@@ -3,78 +3,150 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.types import StringType, StructField, StructType
 
-from riskstream.operators.tables import merged
+_WRITE = "__write"
 
 
 class TableStore:
-    """Parquet tables in versioned folders under a root that Spark can reach, with a pointer to the current version.
+    """Parquet tables under a root that Spark can reach; a version is a list of files and the schema.
 
-    A version is written whole before the pointer moves, so a reader sees one version or
-    the next, and writing a layer again replaces it instead of doubling its rows.
+    Files are never changed.  A write adds files in a folder of its own and then a version that names
+    them, by renaming a finished version file to a number that must not be there yet: a reader sees
+    one version or the next, and of two writers one has to look again at what the other wrote.
+    Appending writes the new rows only, merging rewrites just the files that hold a key of the
+    source.  Writing a layer again replaces it instead of doubling its rows.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self._jvm = spark.sparkContext._jvm
+        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
 
     def _path(self, *parts: str):
         return self._jvm.org.apache.hadoop.fs.Path("/".join([self.root, *parts]))
 
     def _fs(self):
-        return self._path("x").getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return self._path("x").getFileSystem(self._conf)
 
     def history(self, name: str) -> list[int]:
-        at = self._path(name)
+        at = self._path(name, "_versions")
         if not self._fs().exists(at):
             return []
         found = [s.getPath().getName() for s in self._fs().listStatus(at)]
-        return sorted(int(n[2:]) for n in found if n.startswith("v=") and self._fs().exists(self._path(name, n, "_SUCCESS")))
+        return sorted(int(n.removesuffix(".json")) for n in found if n.endswith(".json") and not n.startswith("."))
 
     def current(self, name: str) -> int | None:
-        at = self._path(name, "_current")
-        if not self._fs().exists(at):
-            return None
-        stream = self._fs().open(at)
+        return max(self.history(name), default=None)
+
+    def _version(self, name: str, version: int | None = None) -> tuple[list[str], StructType]:
+        version = self.current(name) if version is None else version
+        if version is None or version not in self.history(name):
+            raise ValueError(f"there is no table {name}" if version is None else f"{name} has no version {version}")
+        stream = self._fs().open(self._path(name, "_versions", f"{version:010}.json"))
         try:
-            return int(stream.readLine())
+            said = json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
+        return said["files"], StructType.fromJson(said["schema"])
+
+    def _commit(self, name: str, version: int, files: list[str], schema: StructType) -> bool:
+        """Whether this is now the version of that number."""
+        part = self._path(name, "_versions", f".{uuid.uuid4().hex}")
+        out = self._fs().create(part, False)
+        out.write(bytearray(json.dumps({"files": sorted(files), "schema": schema.jsonValue()}).encode()))
+        out.close()
+        kind = getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename")
+        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(part.toUri(), self._conf)
+        try:
+            context.rename(part, self._path(name, "_versions", f"{version:010}.json"), self.spark.sparkContext._gateway.new_array(kind, 0))
+            return True
+        except Exception as error:
+            if "FileAlreadyExistsException" not in str(error):
+                raise
+            self._fs().delete(part, False)
+            return False
+
+    def _added(self, name: str, df: DataFrame, partition_by: list[str] | None = None) -> list[str]:
+        """df's rows as files of the table that no version names yet."""
+        folder = f"{_WRITE}={uuid.uuid4().hex}"
+        writer = df.write
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.root}/{name}/{folder}")
+        files = self._fs().listFiles(self._path(name, folder), True)
+        found = []
+        while files.hasNext():
+            found.append(files.next().getPath().toString())
+        return [f[f.index(folder) :] for f in found if f.endswith(".parquet")]
+
+    def _changed(self, name: str, change: Callable[[int | None], tuple[list[str], StructType]]) -> int:
+        """Commits what change makes of the current version; if another writer was first, of that one's."""
+        while True:
+            now = self.current(name)
+            files, schema = change(now)
+            version = -1 if now is None else now
+            if self._commit(name, version + 1, files, schema):
+                return version + 1
 
     def write(self, name: str, df: DataFrame, partition_by: list[str] | None = None) -> int:
-        """df as the table's next version, which becomes the current one."""
-        version = max(self.history(name), default=-1) + 1
-        writer = df.write.mode("overwrite")
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.root}/{name}/v={version}")
-        self._point(name, version)
-        return version
+        """df as the table's next version."""
+        files = self._added(name, df, partition_by)
+        return self._changed(name, lambda now: (files, df.schema))
 
     def append(self, name: str, df: DataFrame) -> int:
-        """df's rows added to the current version, as a next one."""
-        return self.write(name, self.read(name).unionByName(df) if self.current(name) is not None else df)
+        """df's rows added to the current version, whose files stay as they are."""
+        now = self.current(name)
+        by = self._partitions(self._version(name, now)[0]) if now is not None else None
+        files = self._added(name, df if now is None else df.select(self._version(name, now)[1].names), by)
 
-    def upsert(self, name: str, source: DataFrame, key: str) -> int:
-        return self.write(name, merged(self.read(name), source, key))
+        def change(now: int | None) -> tuple[list[str], StructType]:
+            old, schema = self._version(name, now) if now is not None else ([], df.schema)
+            return old + files, schema
 
-    def restore(self, name: str, version: int) -> None:
-        if version not in self.history(name):
-            raise ValueError(f"{name} has no version {version}")
-        self._point(name, version)
+        return self._changed(name, change)
 
-    def _point(self, name: str, version: int) -> None:
-        out = self._fs().create(self._path(name, "_current"), True)
-        out.writeBytes(f"{version}\n")
-        out.close()
+    def upsert(self, name: str, source: DataFrame, key: str) -> int:
+        """Rows of source replace those of the same key or are added; only files that hold such a key are written again."""
+
+        def change(now: int | None) -> tuple[list[str], StructType]:
+            old, schema = self._version(name, now)
+            by = self._partitions(old)
+            held = self._read(name, old, schema, file=True).join(source.select(key).distinct(), key, "left_semi").select("_file").distinct().collect()
+            touched = {self._relative(r["_file"]) for r in held}
+            rest = self._read(name, [f for f in old if unquote(f) in touched], schema).join(source.select(key), key, "left_anti")
+            return [f for f in old if unquote(f) not in touched] + self._added(name, rest.unionByName(source.select(schema.names)), by), schema
+
+        return self._changed(name, change)
+
+    def restore(self, name: str, version: int) -> int:
+        """An older version once more, as the next one."""
+        files, schema = self._version(name, version)
+        return self._changed(name, lambda now: (files, schema))
+
+    @staticmethod
+    def _relative(uri: str) -> str:
+        return unquote(uri[uri.rindex(f"{_WRITE}=") :])
+
+    @staticmethod
+    def _partitions(files: list[str]) -> list[str]:
+        return [part.partition("=")[0] for part in files[0].split("/")[1:-1]] if files else []
+
+    def _read(self, name: str, files: list[str], schema: StructType, file: bool = False) -> DataFrame:
+        if not files:
+            return self.spark.createDataFrame([], schema)
+        base = f"{self.root}/{name}"
+        found = self.spark.read.option("basePath", base).schema(StructType([*schema.fields, StructField(_WRITE, StringType())])).parquet(*(f"{base}/{f}" for f in files))
+        columns = [F.col(f"`{c}`") for c in schema.names]
+        return found.select(*columns, F.input_file_name().alias("_file")) if file else found.select(*columns)
 
     def read(self, name: str, version: int | None = None) -> DataFrame:
-        version = self.current(name) if version is None else version
-        if version is None:
-            raise ValueError(f"there is no table {name}")
-        return self.spark.read.parquet(f"{self.root}/{name}/v={version}")
+        return self._read(name, *self._version(name, version))
 
     def count(self, name: str) -> int:
         return self.read(name).count()
@@ -89,23 +161,43 @@ class TableStore:
 
 
 def single_csv(spark: SparkSession, df: DataFrame, folder: str, name: str) -> int:
-    """A small presentation table as folder/name.csv; returns its rows. It is one file by intent, so it is for results of dashboard size."""
-    rows = df.count()
+    """A presentation table as folder/name.csv, rows in df's order; returns their number. Parts are written by all tasks and then put together as bytes."""
     part = f"{folder}/.{name}"
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(part)
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs = path(part).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    file = next(s.getPath() for s in fs.listStatus(path(part)) if s.getPath().getName().startswith("part-"))
-    target = path(f"{folder}/{name}.csv")
-    fs.delete(target, False)
-    fs.rename(file, target)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").option("header", False).csv(part)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(part).getFileSystem(conf)
+    files = sorted((s.getPath().getName(), s.getPath()) for s in fs.listStatus(path(part)) if s.getPath().getName().startswith("part-"))
+    out = fs.create(path(f"{folder}/{name}.csv"), True)
+    out.write(bytearray((",".join(df.columns) + "\n").encode()))
+    for _, file in files:
+        stream = fs.open(file)
+        jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, conf, False)
+        stream.close()
+    out.close()
     fs.delete(path(part), True)
-    return rows
+    return int(seen.get["n"])
+
 
+class DeliveryError(RuntimeError):
+    """Records that did not arrive."""
 
-def publish(df: DataFrame, path: str) -> None:
-    """A keyed table (key, value) as files that a folder source picks up: the counterpart of a producer."""
-    df.selectExpr("cast(value as string) as value").write.mode("append").text(path)
+
+def publish(df: DataFrame, path: str) -> int:
+    """A keyed table (key, value) as Parquet files of a folder topic, key and all: the counterpart of a producer.
+
+    Returns how many records were delivered; raises DeliveryError if they are not all there.
+    """
+    spark, seen, folder = df.sparkSession, Observation(), f"{path}/batch-{uuid.uuid4().hex}"
+    try:
+        df.selectExpr("cast(key as binary) as key", "cast(value as binary) as value").observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(folder)
+    except Exception as error:
+        raise DeliveryError(f"nothing was delivered to {path}: {error}") from error
+    sent, there = int(seen.get["n"]), spark.read.schema("key binary, value binary").parquet(folder).count()
+    if there != sent:
+        raise DeliveryError(f"{sent - there} of {sent} records were not delivered to {path}")
+    return sent
 
 
 def to_broker(records: DataFrame, servers: str, topic: str) -> DataStreamWriter:

@@ -64,6 +64,16 @@ def lag(progress) -> int | None:
     return total
 
 
+def partition_lag(latest: dict, committed: dict | None) -> list[dict]:
+    """topic, partition, end, committed and lag of each partition of latest offsets; committed and lag are null where nothing was ever committed."""
+    out = []
+    for topic, parts in sorted(latest.items()):
+        for part, end in sorted(parts.items(), key=lambda p: int(p[0])):
+            at = ((committed or {}).get(topic) or {}).get(part)
+            out.append({"topic": topic, "partition": int(part), "end": end, "committed": at, "lag": None if at is None else max(0, end - at)})
+    return out
+
+
 class BatchListener(StreamingQueryListener):
     """Calls on_batch(query id, progress) after each batch; add it with spark.streams.addListener."""
 

@@ -8,7 +8,7 @@ from riskstream import ml
 from riskstream.operators.features import FEATURES
 from riskstream.plans import lake
 from riskstream.sources import readers
-from riskstream.sources.sinks import TableStore
+from riskstream.sources.sinks import TableStore, single_csv
 
 
 @pytest.fixture
@@ -35,7 +35,7 @@ def test_rebuild_twice(spark, raw, tmp_path):
     scores = spark.createDataFrame([("T1", 0.1), ("T2", 0.9), ("P1", 0.2)], "event_id string, fraud_probability double")
     for _ in range(2):
         manifest = lake.rebuild(store, raw, f"{raw}/labels.jsonl", scores)
-        assert manifest["ok"], manifest
+        assert manifest["ok"] and {"labelled_transactions", "labelled_logins"} <= set(manifest["checks"]), manifest
         assert manifest["rows"] == {"silver/events": 5, "gold/customer_risk_summary": 3, "gold/merchant_fraud_summary": 1, "gold/fraud_events": 1}
     assert store.history("silver/events") == [0, 1]
     seen = {r.event_id: r for r in store.read("silver/events").collect()}
@@ -58,7 +58,52 @@ def test_versions_and_upsert(spark, tmp_path):
     store.restore("x", 0)
     assert store.count("x") == 2
     store.append("x", spark.createDataFrame([(9, "z")], "id int, v string"))
-    assert store.count("x") == 3
+    assert store.count("x") == 3 and store.history("x") == [0, 1, 2, 3]
+    with pytest.raises(ValueError):
+        store.restore("x", 7)
+
+
+def test_append_and_merge_write_what_changes(spark, tmp_path):
+    store = TableStore(spark, f"file://{tmp_path}/t")
+    rows = spark.createDataFrame([(i, "a", f"k{i % 2}") for i in range(8)], "id int, v string, kind string").repartitionByRange(4, "id")
+    store.write("x", rows, ["kind"])
+    files = lambda: set(store._version("x")[0])
+    first = files()
+    store.append("x", spark.createDataFrame([("k0", 100, "new")], "kind string, id int, v string"))
+    assert first < files() and len(files() - first) == 1  # old files stay as they are
+    second = files()
+    store.upsert("x", spark.createDataFrame([(1, "B", "k1"), (200, "c", "k9")], "id int, v string, kind string"), "id")
+    held = {f for f in second if f not in files()}
+    assert len(held) == 1 and next(iter(held)) in first  # one file held the key
+    assert {r.id: (r.v, r.kind) for r in store.read("x").collect()} == {i: ("a", f"k{i % 2}") for i in range(8)} | {1: ("B", "k1"), 100: ("new", "k0"), 200: ("c", "k9")}
+    assert store.count("x") == 10 and store.read("x", 0).count() == 8 and store.read("x").columns == ["id", "v", "kind"]
+    store.write("x", rows.limit(0))
+    assert store.count("x") == 0 and store.read("x").columns == ["id", "v", "kind"]
+
+
+def test_two_writers(spark, tmp_path):
+    """The second writer of a version finds it taken and goes on from it; no row is lost."""
+    store = TableStore(spark, f"file://{tmp_path}/t")
+    row = lambda i: spark.createDataFrame([(i,)], "id int")
+    store.write("x", row(0))
+    once, commit = [], store._commit
+
+    def late(name, version, files, schema):
+        if not once:
+            once.append(TableStore(spark, store.root).append("x", row(1)))
+        return commit(name, version, files, schema)
+
+    store._commit = late
+    assert store.append("x", row(2)) == 2
+    assert sorted(r.id for r in store.read("x").collect()) == [0, 1, 2]
+
+
+def test_csv_in_order(spark, tmp_path):
+    df = spark.range(5000).selectExpr("id", "concat('a,', id) as text").repartition(7).orderBy("id")
+    assert single_csv(spark, df, f"file://{tmp_path}", "out") == 5000
+    lines = (tmp_path / "out.csv").read_text().splitlines()
+    assert lines[0] == "id,text" and lines[1:] == [f'{i},"a,{i}"' for i in range(5000)]
+    assert single_csv(spark, df.limit(0), f"file://{tmp_path}", "out") == 0 and (tmp_path / "out.csv").read_text() == "id,text\n"
 
 
 def test_split_train_score_gate(spark, tmp_path):
@@ -67,7 +112,7 @@ def test_split_train_score_gate(spark, tmp_path):
     own = ml.split(df)
     sizes = {(r.label, r.is_test): r["count"] for r in own.groupBy("label", "is_test").count().collect()}
     assert sizes == {(0, True): 64, (0, False): 256, (1, True): 16, (1, False): 64}
-    model = ml.train(own.where("not is_test"), ml.Params(trees=5, depth=3, rate=0.3))
+    model = ml.train(own.where("not is_test"), ml.Params(trees=30, rate=0.3))
     found = ml.evaluate(ml.score(model, own.where("is_test")))
     assert ml.passes(found) and not ml.passes(found | {"f1": 0.8})
     store = TableStore(spark, f"file://{tmp_path}/m")
