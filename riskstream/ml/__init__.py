@@ -22,10 +22,12 @@ MISSING = -1.0
 
 @dataclass(frozen=True)
 class Params:
-    trees: int = 100
+    # The settings that published figures come from.
+    trees: int = 400
     depth: int = 6
     rate: float = 0.05
     rows: float = 0.9
+    columns: float = 0.9
     seed: int = 42
 
 
@@ -54,7 +56,7 @@ def train(df: DataFrame, p: Params = Params(), label: str = "label") -> Pipeline
     weight = balance(df, label).first()["positive_weight"]
     own = prepared(df).withColumn("_weight", F.when(F.col(label) == 1, F.lit(float(weight))).otherwise(F.lit(1.0))).withColumn(label, F.col(label).cast("double"))
     assembler = VectorAssembler(inputCols=[*FEATURES, *(f"{f}_missing" for f in MAY_MISS)], outputCol="_features")
-    trees = GBTClassifier(featuresCol="_features", labelCol=label, weightCol="_weight", maxIter=p.trees, maxDepth=p.depth, stepSize=p.rate, subsamplingRate=p.rows, seed=p.seed)
+    trees = GBTClassifier(featuresCol="_features", labelCol=label, weightCol="_weight", maxIter=p.trees, maxDepth=p.depth, stepSize=p.rate, subsamplingRate=p.rows, featureSubsetStrategy=str(p.columns), seed=p.seed)
     return Pipeline(stages=[assembler, trees]).fit(own)
 
 

@@ -436,12 +436,15 @@ def passthrough_bad_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flattened(records, "transactions").agg(F.count("*").alias("n_rows"), F.count_if(F.col("event_ts").isNull()).alias("bad_rows"))
 
 
-@query('SELECT "partition", count AS n, first FROM (SELECT user_id % 3 AS "partition", count(*) AS count, min(event_id) AS first FROM events GROUP BY ALL)')
+@query(
+    """WITH s AS (SELECT user_id % 3 AS "partition", event_id AS "offset" FROM events), c AS (SELECT "partition", count(*) AS n FROM s GROUP BY ALL)
+    SELECT "partition", "offset", n FROM (SELECT * FROM s ORDER BY "partition", "offset" LIMIT 5) JOIN c USING ("partition")"""
+)
 def source_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A keyed source by partition: how many records, and the first sampled one of each."""
+    """The first five records of a keyed source, by partition and offset, and how many their partitions hold."""
     own = t.table(spark, sf_dir, "events").select(F.pmod("user_id", F.lit(3)).alias("partition"), F.col("event_id").alias("offset"))
-    counts, _ = sampled(own)
-    return counts.join(own.groupBy("partition").agg(F.min("offset").alias("first")), "partition").select("partition", F.col("count").alias("n"), "first")
+    counts, first = sampled(own)
+    return first.join(counts, "partition").select("partition", "offset", F.col("count").alias("n"))
 
 
 @query(

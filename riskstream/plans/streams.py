@@ -1,51 +1,93 @@
-"""Streaming operators as queries: the events table read as a stream to its end, into a memory table.
+"""Streaming operators as queries: the events table read as a stream to its end, into files.
 
-They give what their batch twins give, and so have the same SQL.
+They give what their batch twins give, and so have the same SQL.  Results and checkpoints are in the
+folder that `spark.checkpoint.dir` names.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from riskstream.operators import detectors, windows
+from riskstream.operators import detectors, risk, windows
 from riskstream.operators.tables import deduplicated_stream
 from riskstream.plans import stand_ins as t
-from riskstream.plans.queries import DAY, SCALED, SQL, out, query
+from riskstream.plans.queries import DAY, EV, SCALED, SQL, out, query
 from riskstream.sources import sinks
 from riskstream.streaming import runner, state
-from riskstream.streaming.session import STATE_STORE
+from riskstream.streaming.session import STATE_STORE, shared_dir
 
 
-def _run(df: DataFrame, mode: str) -> DataFrame:
-    """The rows that a stream emits over all there is now."""
-    name = f"stream_{uuid.uuid4().hex}"
+def _run(df: DataFrame, mode: str, keys: Sequence[str] = (), path: str | None = None) -> DataFrame:
+    """What a stream emits over all there is now. In update mode, of the rows that a key had one after another the last."""
     spark = df.sparkSession
-    before = {k: spark.conf.get(k, None) for k in ("spark.sql.streaming.stateStore.providerClass",)}
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    home = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    path = path or f"{home}/rows"
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, STATE_STORE)
     try:
-        runner.drain(sinks.memory(df, name, mode), seconds=600)
+        runner.drain(sinks.each_batch(df, sinks.batch_folders(path), f"{home}/checkpoint", mode), seconds=600)
     finally:
-        for k, v in before.items():
-            spark.conf.set(k, v) if v else spark.conf.unset(k)
-    return spark.table(name)
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+    found = spark.read.schema(df.schema.add("batch", "long")).parquet(path)
+    if keys:
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("batch")))
+        found = found.withColumn("_place", place).where("_place = 1").drop("_place")
+    return found.drop("batch")
+
+
+_WINDOW = ["window_start", "window_end"]
 
 
 @query(SQL["window_tumbling"])
 def stream_window_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return out(_run(windows.totals(t.events(spark, sf_dir, stream=True), 3600, id_col="event_id"), "complete"))
+    return out(_run(windows.totals(t.events(spark, sf_dir, stream=True), 3600, id_col="event_id"), "update", _WINDOW))
 
 
 @query(SQL["window_sliding"])
 def stream_window_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return out(_run(windows.totals(t.events(spark, sf_dir, stream=True), DAY, DAY // 4, id_col="event_id"), "complete"))
+    return out(_run(windows.totals(t.events(spark, sf_dir, stream=True), DAY, DAY // 4, id_col="event_id"), "update", _WINDOW))
+
+
+@query(f"SELECT * FROM ({SQL['window_tumbling']}) WHERE window_end <= (SELECT max(ts) - INTERVAL 60 SECOND FROM events)")
+def stream_window_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows as they close: those that the watermark of a minute has passed, each once, with no state kept of them."""
+    return out(_run(windows.totals(t.events(spark, sf_dir, stream=True), 3600, id_col="event_id", watermark=60), "append"))
 
 
 @query(SQL["velocity"])
 def stream_velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = t.events(spark, sf_dir, stream=True).withColumnRenamed("event_id", "transaction_id")
-    return out(_run(detectors.velocity(own, SCALED), "complete"))
+    return out(_run(detectors.velocity(own, SCALED), "update", ["customer_id", *_WINDOW]))
+
+
+@query(SQL["card_testing"])
+def stream_card_testing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return out(_run(detectors.card_testing(t.payments(spark, sf_dir, stream=True), SCALED), "update", ["customer_id", *_WINDOW]))
+
+
+@query(SQL["risk_engine"])
+def stream_risk_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All detectors as streams, their alerts put into one folder topic, and the engine as a stream over that."""
+    tx = t.transactions(spark, sf_dir, stream=True)
+    all_ = t.events(spark, sf_dir, stream=True).withColumnRenamed("event_id", "transaction_id")
+    pairs = detectors.login_transactions(t.logins(spark, sf_dir, stream=True), tx, SCALED).withColumn("pair", F.concat_ws("+", "login_id", "transaction_id"))
+    alerts = {
+        "velocity": (detectors.envelope(detectors.velocity(all_, SCALED), "window_start", "window_start"), "update"),
+        "card_testing": (detectors.envelope(detectors.card_testing(t.payments(spark, sf_dir, stream=True), SCALED), "window_start", "window_start"), "update"),
+        "travel": (detectors.envelope(state.travel_stream(_text_ids(tx), SCALED), "transaction_id", "event_ts", "transaction_id"), "update"),
+        "high_value": (detectors.envelope(state.high_value_stream(_text_ids(all_), SCALED), "transaction_id", "event_ts", "transaction_id"), "update"),
+        "login": (detectors.envelope(pairs, "pair", "tx_ts", "transaction_id"), "append"),
+    }
+    topic = f"{shared_dir(spark)}/alerts-{uuid.uuid4().hex}"
+    for name, (df, mode) in alerts.items():
+        _run(df, mode, path=f"{topic}/detector={name}")
+    read = spark.readStream.schema(alerts["login"][0].schema).parquet(f"{topic}/*/*")
+    return out(_run(risk.risk(read, SCALED), "update", ["customer_id", *_WINDOW]))
 
 
 def _text_ids(df: DataFrame) -> DataFrame:

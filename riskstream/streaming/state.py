@@ -1,12 +1,14 @@
 """Stateful operators for streams whose batch twins are window expressions.
 
-Rows of a micro-batch go in the order of time and id.  State is bounded: histories
+Rows of a micro-batch go in the order of time and id.  Histories
 keep only what a later row could look at, and a row that arrives behind the latest one
-seen does not become the latest.
+seen does not become the latest.  What "new device" and "new merchant" mean needs all that a customer ever
+used: that state grows with a customer's distinct devices and merchants, not with events.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row
@@ -74,19 +76,23 @@ class HighValue(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         s = self.s
-        history = sorted((h[0], h[1]) for h in self.history.get()) if self.history.exists() else []
+        times, amounts = [], []  # in order of time, so that a window is a slice
+        for us, amount in sorted((h[0], h[1]) for h in self.history.get()) if self.history.exists() else ():
+            times.append(us)
+            amounts.append(amount)
         for r in sorted(rows, key=lambda r: (r.us, r.transaction_id)):
-            month = [(t, a) for t, a in history if r.us - s.high_value_long * 1_000_000 <= t <= r.us]
-            week = [a for t, a in month if t >= r.us - s.high_value_short * 1_000_000]
-            long_ = sum(a for _, a in month) / len(month) if month else 0.0
+            end = bisect_right(times, r.us)
+            month, week = (amounts[bisect_left(times, r.us - seconds * 1_000_000) : end] for seconds in (s.high_value_long, s.high_value_short))
+            long_ = sum(month) / len(month) if month else 0.0
             short = sum(week) / len(week) if week else 0.0
             baseline = max(long_, short)
             if len(month) >= s.high_value_history and baseline > 0 and r.amount > s.high_value_times * baseline:
                 yield _row(self.OUT, r.transaction_id, key[0], r.amount, short, long_, baseline, r.amount / baseline, r.us, s.high_value.alert_type, s.high_value.points)
-            history.append((r.us, r.amount))
-        if history:
-            least = max(t for t, _ in history) - s.high_value_long * 1_000_000
-            self.history.put([h for h in history if h[0] >= least])
+            times.insert(end, r.us)
+            amounts.insert(end, r.amount)
+        if times:
+            first = bisect_left(times, times[-1] - s.high_value_long * 1_000_000)
+            self.history.put(list(zip(times[first:], amounts[first:])))
 
     def close(self) -> None:
         pass

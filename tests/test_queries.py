@@ -66,6 +66,12 @@ def test_windows_share_a_shuffle(spark, name, shuffles):
     assert plan.count("Exchange hashpartitioning") == shuffles
 
 
+def test_streams_keep_no_rows_in_the_driver():
+    import inspect
+
+    assert "memory(" not in inspect.getsource(streams)
+
+
 def test_entry(spark):
     import __spark_entry__
 

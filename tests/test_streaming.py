@@ -138,11 +138,41 @@ def test_progress_and_lag():
 
 def test_publish_and_read_back(spark, tmp_path):
     folder = str(tmp_path / "topic")
-    records = spark.createDataFrame([(b"a", bytearray(record(1, 0).encode())), (b"b", bytearray(b"garbage"))], "key binary, value binary")
-    sinks.publish(records, folder)
-    got = readers.keyed_batch(spark, folder).collect()
-    assert sorted(str(r.key and bytes(r.key)) for r in got) == ["None", str(b"a")]  # the key is the customer, where there is one
-    assert readers.event_stream(readers.keyed_batch(spark, folder), "topic", "transactions").where("event_ts is null").count() == 1
+    records = spark.createDataFrame([(b"k1", bytearray(record(1, 0).encode())), (None, bytearray(b"garbage"))], "key binary, value binary")
+    assert sinks.publish(records, folder) == 2 and sinks.publish(records.limit(1), folder) == 1
+    got = readers.published(spark, folder)
+    assert sorted(str(r.key and bytes(r.key)) for r in got.collect()) == ["None", "b'k1'", "b'k1'"]
+    assert readers.event_stream(got, "topic", "transactions").where("event_ts is null").count() == 1
+    assert run(spark, readers.event_stream(readers.published(spark, folder, stream=True), "transactions"), "published", tmp_path).count() == 3
+    (tmp_path / "blocked").write_text("a file where the topic should be")
+    with pytest.raises(sinks.DeliveryError):
+        sinks.publish(records, str(tmp_path / "blocked"))
+
+
+def test_lag_by_partition():
+    got = runner.partition_lag({"t": {"0": 9, "10": 3, "2": 4}}, {"t": {"0": 4, "2": 4}})
+    assert [(r["partition"], r["end"], r["committed"], r["lag"]) for r in got] == [(0, 9, 4, 5), (2, 4, 4, 0), (10, 3, None, None)]
+    assert [r["lag"] for r in runner.partition_lag({"t": {"0": 9}}, None)] == [None]
+
+
+def test_console_sink(spark, tmp_path):
+    drop(tmp_path / "in", 0, [record(1, 0)])
+    runner.drain(sinks.console(stream(spark, tmp_path / "in")).option("checkpointLocation", str(tmp_path / "console")))
+
+
+def test_broker_is_planned_or_refused(spark):
+    """Without the connector on the classpath Spark says so, for the source and for the sink."""
+    from pyspark.errors import PySparkException
+
+    for make in (lambda: readers.broker(spark, "host:1", "t"), lambda: sinks.to_broker(spark.readStream.format("rate").load().selectExpr("cast(value as string) as value"), "host:1", "t").option("checkpointLocation", "/tmp/none").start()):
+        with pytest.raises((PySparkException, Exception), match="(?i)kafka"):
+            make()
+
+
+def test_sampled(spark):
+    df = spark.createDataFrame([(p, o) for p in (1, 0) for o in (5, 3, 4)], "partition int, offset long")
+    counts, first = readers.sampled(df, 4)
+    assert [tuple(r) for r in first.collect()] == [(0, 3), (0, 4), (0, 5), (1, 3)] and {r["count"] for r in counts.collect()} == {3}
 
 
 def test_live_run_and_listener(spark, tmp_path):
