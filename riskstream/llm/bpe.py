@@ -247,19 +247,18 @@ class Decoder:
 class Codec:
     def __init__(self, path: str, split: str):
         self.machine = Transducer(load(path))
-        self.find = regex.compile(split).finditer
-        self.kept: dict[str, list[int]] = {}
+        self.find = regex.compile(split).findall
+        self.kept: dict[str, tuple[int, ...]] = {}  # tuples of numbers, which the garbage collector does not follow
         self.digits = {i: str(i) for i in self.machine.bytes}
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
         kept, add = self.kept, out.extend
-        for match in self.find(text):
-            piece = match[0]
+        for piece in self.find(text):
             ids = kept.get(piece)
             if ids is None:
                 data = piece.encode()
-                ids = self.machine.encode(data)
+                ids = tuple(self.machine.encode(data))
                 if len(data) <= _KEPT_BYTES:
                     if len(kept) > _KEPT:
                         kept.clear()
