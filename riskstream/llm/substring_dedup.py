@@ -132,7 +132,7 @@ def _fetch(window: int, anchor: int):
 
 
 #: later: of documents after the first one that holds the segment. end: null for all of it.
-_FOUND = "anchor long, content long, later boolean, start int, end int"
+_FOUND = "anchor long, content long, owner long, later boolean, start int, end int"
 
 
 def _search(window: int, shard_words: int):
@@ -152,15 +152,15 @@ def _search(window: int, shard_words: int):
             least = np.full(group.max() + 1, np.iinfo(np.int64).max)
             np.minimum.at(least, group, owner)
             own, later = np.flatnonzero(owner > least[group]), np.flatnonzero(repeated)
-            asked = np.concatenate([own, later])
+            asked = np.concatenate([own, later]).astype(np.int64)
             found = Index(texts, owner, 2 * window).matching([texts[i] for i in asked], np.concatenate([owner[own], owner[later] + 1]), window)
-            which = [asked[x[0]] for x in found]
+            which = asked[np.array([x[0] for x in found], np.int64)]
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array([keys[i][0] for i in which], pa.int64()), pa.array([keys[i][1] for i in which], pa.int64()), pa.array([x[0] >= len(own) for x in found], pa.bool_()),
+                    pa.array([keys[i][0] for i in which], pa.int64()), pa.array([keys[i][1] for i in which], pa.int64()), pa.array(owner[which], pa.int64()), pa.array([x[0] >= len(own) for x in found], pa.bool_()),
                     pa.array([x[1] for x in found], pa.int32()), pa.array([x[2] for x in found], pa.int32()),
                 ],
-                ["anchor", "content", "later", "start", "end"],
+                ["anchor", "content", "owner", "later", "start", "end"],
             )
 
         for batch in batches:
@@ -226,11 +226,11 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, sh
     found = sharded.mapInArrow(_search(window, shard_words), _FOUND)
     hot = fetched.where("words is null")
     least = hot.groupBy("window").agg(F.min("owner").alias("least"), F.max("owner").alias("most")).where("least < most").select("window", "least")
-    own = hot.join(least, "window").where("owner > least").select("anchor", "content", F.lit(False).alias("later"), F.col("at").alias("start"), (F.col("at") + window).alias("end"))
-    later = hot.where("repeated and at = 0").select("anchor", "content", F.lit(True).alias("later"), F.lit(0).alias("start"), F.lit(None).cast("int").alias("end"))
+    own = hot.join(least, "window").where("owner > least").select("anchor", "content", "owner", F.lit(False).alias("later"), F.col("at").alias("start"), (F.col("at") + window).alias("end"))
+    later = hot.where("repeated and at = 0").select("anchor", "content", "owner", F.lit(True).alias("later"), F.lit(0).alias("start"), F.lit(None).cast("int").alias("end"))
     found = written(found.unionAll(own).unionAll(later), "found")
 
-    found = found.join(same.select("anchor", "content", "owner"), ["anchor", "content"])
+    # both sides come from their own shuffles, so the adaptive plan can split a segment that very many documents hold
     cuts = cut.join(found, ["anchor", "content"]).where("if(later, doc_id > owner, doc_id = owner)")
     cuts = cuts.groupBy("doc_id").agg(F.collect_set(F.struct("anchor", "content", "start", "end")).alias("cuts"))
     return docs.join(cuts, "doc_id", "left").select("doc_id", "text", "cuts").mapInArrow(_keep(window, anchor, digest), "doc_id long, n_words long, n_removed long, kept string")
