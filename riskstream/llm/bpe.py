@@ -169,6 +169,8 @@ class Transducer:
         if not live:
             return self._state(((0, ended[-1:]),)), ended[1:]
         live.append((0, ended))
+        if len(live[0][1]) == 1:  # that thread stands right behind the last token that is out, so nothing goes out
+            return self._state(tuple(live)), ()
         least, most = min(t[1] for t in live), max(t[1] for t in live)
         n = 1  # all begin with the last token that is out
         for a, b in zip(least[1:], most[1:]):
