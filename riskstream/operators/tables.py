@@ -16,10 +16,14 @@ _SPREAD = 256
 
 
 def first_of(df: DataFrame, id_col: str, order: Sequence[str]) -> DataFrame:
-    """One row of each id: the first by order and then by all other columns, so that the choice does not depend on chance."""
-    rest = [F.col(f"`{c}`").cast("string") for c in sorted(df.columns) if c not in (id_col, *order)]
-    place = F.row_number().over(Window.partitionBy(id_col).orderBy(*order, *rest))
-    return df.withColumn("_place", place).where("_place = 1").drop("_place")
+    """One row of each id: the first by order and then by all other columns, so that the choice does not depend on chance.
+
+    Rows of one id are combined before the shuffle, so an id may have any share of them.
+    """
+    of = lambda c: F.col(f"`{c}`")
+    rest = [of(c).cast("string") for c in sorted(df.columns) if c not in (id_col, *order)]
+    place = F.struct(*(of(c) for c in order), *rest) if order or rest else F.lit(0)
+    return df.groupBy(of(id_col).alias("_id")).agg(F.min_by(F.struct(*(of(c) for c in df.columns)), place).alias("_row")).select("_row.*")
 
 
 def deduplicated_stream(events: DataFrame, id_col: str, seconds: int, ts: str = "event_ts") -> DataFrame:

@@ -94,6 +94,15 @@ def events_frame(spark, rows):
     return spark.createDataFrame(rows, "event_id string, event_type string, customer_id string, event_ts timestamp, amount double, status string, lat double, lon double, device_id string, merchant_id string, payment_method string")
 
 
+def test_first_of_combines_before_the_shuffle(spark):
+    df = spark.createDataFrame([(1, None, "b", 0), (1, 2, "a", 0), (None, 4, "x", 1), (None, 4, "x", 1), (2, 3, "q", 2), (2, 3, "p", 3)], "id int, ts int, `a b` string, _row int")
+    found = tables.first_of(df, "id", ["ts"])
+    assert found.schema == df.schema
+    assert sorted(map(tuple, found.collect()), key=str) == [(1, None, "b", 0), (2, 3, "q", 2), (None, 4, "x", 1)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("partial_min_by") > plan.index("Exchange hashpartitioning")  # plans are printed from the top
+
+
 def test_features_at_window_edges(spark):
     row = lambda i, kind, s, status="OK", lat=0.0, device="d", merchant="m": (i, kind, "a", at(s), 10.0, status, lat, None if lat is None else 0.0, device, merchant, "CARD")
     rows = [row("1", "transactions", 0, "FAILED"), row("2", "payments", 60, lat=None, device=None), row("3", "transactions", 120), row("4", "transactions", 300, merchant=None), row("5", "transactions", 601), row("6", "payments", 601, merchant="n")]
