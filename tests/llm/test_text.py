@@ -501,3 +501,29 @@ def test_toxicity_of_repeated_ids_empty_tables_and_clashes(spark):
     assert toxicity.score(docs, model).count() == 1201
     assert toxicity.score(docs.limit(0), model).count() == toxicity.clean(docs.limit(0), model).count() == 0
     assert toxicity.fit(docs.limit(0), spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")).constant == 0.0
+
+
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    """Long texts, and all texts of an id; each row counts in the cut as well, and shards are trained on together."""
+    r = random.Random(21)
+    texts = [f"{'vexing' if i % 3 == 0 else 'good'} {prose(r, 2600, 60)}" for i in range(120)]
+    assert min(map(len, texts)) > 8_000 and sum(len(t) > 12_000 for t in texts) == 0
+    texts = [f"{t} {t}" for t in texts]
+    assert min(map(len, texts)) > 12_000
+    rows = [(i, t, "en") for i, t in enumerate(texts)] + [(0, f"vexing {i}", None) for i in range(7)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(120)], "doc_id int, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen, cuts = sum(common.crc(i, 3) != 1 for i, _, _ in rows), []
+    counted = toxicity._counted
+    monkeypatch.setattr(toxicity, "_counted", lambda *a: cuts.append(counted(*a)) or cuts[-1])
+    for size in (1 << 30, 300_000):
+        model = toxicity.fit(docs, labels, size)
+        assert model.constant is None and cuts[-1].agg(F.sum("n")).first()[0] == seen
+    short = spark.createDataFrame([(1, "vexing w1 w2"), (2, "good w1 w2")], "doc_id long, text string")
+    bad, good = (x.score for x in toxicity.score(short, model).orderBy("doc_id").collect())
+    assert bad > good
+
+
+def test_best_cut_of_counts():
+    z, toxic, n = (np.array(x) for x in ([3.0, 1.0, -1.0, -4.0], [5, 2, 0, 0], [5, 2, 9, 30]))
+    assert toxicity._best_cut(z, toxic, n) == 0
