@@ -11,22 +11,31 @@ from riskstream.llm.common import drop, written
 def components(edges: DataFrame) -> DataFrame:
     """node, component (the smallest node reachable) of every node of edges(a, b).
 
-    Each round takes the least label of the neighbours and then that label's own label,
-    so rounds grow with the logarithm of a component's width.  A node with very many
+    Each round takes the least of a node and its neighbours, then that one's own least, and puts
+    these in the places of the edges' ends; what then joins a node with itself is gone, and so are edges that have become equal.
+    So rounds grow with the logarithm of a component's width, and a star is gone after one.  A node with very many
     neighbours is combined before its messages are shuffled, and its join is split by
     the adaptive plan.  Loops and repeated edges do no harm; an empty table gives none.
     """
-    both = written(edges.select("a", "b").unionAll(edges.select("b", "a").toDF("a", "b")).where("a <> b").distinct(), "edges")
-    labels = written(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("component")), "labels")
+    spark = edges.sparkSession
+    left = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    labels = None
     while True:
-        heard = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("component").alias("heard"))
-        least = labels.join(heard, labels.node == heard.a).select("node", "component", F.least("component", "heard").alias("next"))
-        least = written(least, "labels")
-        jump = least.select(F.col("node").alias("at"), F.col("next").alias("further"))
-        following = written(least.join(jump, least.next == jump["at"]).select("node", F.col("further").alias("component"), (F.col("component") != F.col("further")).alias("moved")), "labels")
-        moved = following.where("moved").limit(1).count()
-        drop(both.sparkSession, labels, least)
-        labels = following.select("node", "component")
-        if not moved:
-            drop(both.sparkSession, both)
+        ends = left.select(F.explode(F.array(F.struct(F.col("a").alias("node"), "a"), F.struct(F.col("b").alias("node"), "a"))).alias("e")).select("e.node", F.col("e.a").alias("least"))
+        least = written(ends.groupBy("node").agg(F.min("least").alias("least")), "labels")
+        jump = least.select(F.col("node").alias("at"), F.col("least").alias("further"))
+        step = written(least.join(jump, least.least == jump["at"]).select("node", F.col("further").alias("component")), "labels")
+        if labels is None:
+            following = step
+        else:
+            onward = step.select(F.col("node").alias("at"), F.col("component").alias("further"))
+            following = written(labels.join(onward, labels.component == onward["at"], "left").select("node", F.coalesce("further", "component").alias("component")), "labels")
+        a, b = (step.select(F.col("node").alias(end), F.col("component").alias(f"{end}_to")) for end in "ab")
+        to = left.join(a, "a").join(b, "b").where("a_to <> b_to")
+        fewer = written(to.select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).distinct(), "edges")
+        more = fewer.limit(1).count()
+        drop(spark, left, least, *([labels] if labels is not None else []), *([step] if labels is not None else []))
+        labels, left = following, fewer
+        if not more:
+            drop(spark, left)
             return labels

@@ -170,9 +170,11 @@ _EDGE = "a long, b long"
 
 
 def _edges(ids: np.ndarray, root: np.ndarray) -> pa.Table:
-    """Each element with its root: a star for each set."""
-    own = np.flatnonzero(root != np.arange(len(root)))
-    return pa.table({"a": pa.array(ids[own], pa.int64()), "b": pa.array(ids[root[own]], pa.int64())})
+    """Each element with the smallest id of its set: a star, mostly the same one in whatever order and company a set is found again."""
+    least = np.full(len(root), np.iinfo(np.int64).max)
+    np.minimum.at(least, root, ids)
+    own = np.flatnonzero(least[root] != ids)
+    return pa.table({"a": pa.array(ids[own], pa.int64()), "b": pa.array(least[root[own]], pa.int64())})
 
 
 def _region(least: int):

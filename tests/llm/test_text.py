@@ -206,6 +206,35 @@ def test_components(spark):
     assert got == {i: 0 for i in range(41)} | {90: 90, 100: 90, 200: 200, 201: 200}
 
 
+def test_components_put_labels_in_the_places_of_edges(spark, monkeypatch):
+    """Edges are written once and again only as far as they still join different labels; a star is gone after one round."""
+    edges, kept = [], components.written
+    monkeypatch.setattr(components, "written", lambda df, what: (out := kept(df, what), edges.append(out.count()) if what == "edges" else None)[0])
+    r = random.Random(4)
+    pairs = [(r.randrange(400), r.randrange(400)) for _ in range(330)]
+    got = dict(map(tuple, components.components(spark.createDataFrame(pairs, "a long, b long")).collect()))
+    parent = near_dedup._roots(400, np.array([a for a, _ in pairs]), np.array([b for _, b in pairs]))
+    assert got == {i: parent[i] for i in {x for a, b in pairs if a != b for x in (a, b)}}
+    assert edges[-1] == 0 and all(b < a / 2 for a, b in zip(edges, edges[1:]))
+    edges.clear()
+    star = spark.range(1, 500).selectExpr("id as a", "0L as b")
+    assert components.components(star).where("component <> 0").count() == 0 and edges == [499, 0]
+
+
+def test_regions_give_one_star_whatever_the_order():
+    """Trees order the same entries differently; their edges are the same, so edges of a group are no more than its entries."""
+    r = np.random.default_rng(5)
+    values = near_dedup.values_for(85)
+    sig = np.tile(r.integers(0, 256, values).astype(np.uint8), (40, 1))
+    sig[np.arange(40), r.integers(0, values, 40)] ^= 1
+    ids = r.permutation(40) + 100
+    found = set()
+    for tree in range(8):
+        table = pa.table({"entry": ids, "tree": pa.array([tree] * 40, pa.int32()), "signature": [x.tobytes() for x in sig]})
+        found |= {(e["a"], e["b"]) for e in near_dedup._region(near_dedup.agreement(85))(table).to_pylist()}
+    assert found == {(i, 100) for i in range(101, 140)}
+
+
 def test_bpe_equals_tiktoken(spark):
     tiktoken = pytest.importorskip("tiktoken")
     ranks = bpe.load(bpe.vocabulary_path())
