@@ -69,6 +69,16 @@ def unpack(b: bytes, dtype: type) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(size, -1).T).view(dtype).ravel()
 
 
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.unique(values, return_inverse=True) with places of four bytes; a block has fewer than 2**31 tokens."""
+    order = np.argsort(values).astype(np.int32)
+    values = values[order]
+    new = np.append(True, values[1:] != values[:-1])[: len(values)]
+    place = np.empty(len(values), np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return values[new], place
+
+
 @dataclass
 class Block:
     vocabulary: np.ndarray  # sorted hashes
@@ -82,14 +92,18 @@ class Block:
         self.before = np.empty(len(self.tokens), np.int64)
         self.before[1:] = self.tokens[:-1]
         self.before[self.bounds[:-1]] = n
-        self.pairs, self.at2 = np.unique(self.before * (n + 1) + self.tokens, return_inverse=True)
+        self.pairs, self.at2 = _distinct(self.before * (n + 1) + self.tokens)
         inner = np.ones(len(self.tokens), bool)
         inner[self.bounds[:-1]] = False
         later = np.flatnonzero(inner)
-        self.triples, place = np.unique(self.at2[later - 1] * (n + 1) + self.tokens[later], return_inverse=True)
-        self.at3 = np.full(len(self.tokens), -1, np.int64)
+        self.triples, place = _distinct(self.at2[later - 1].astype(np.int64) * (n + 1) + self.tokens[later])
+        self.at3 = np.full(len(self.tokens), -1, np.int32)
         self.at3[later] = place
 
+    def release(self) -> None:
+        """Lets the n-grams go; tokens, bounds and words stay."""
+        del self.before, self.pairs, self.at2, self.triples, self.at3
+
     def keys(self, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each order the sorted keys, and the place among them of each word, pair and triple."""
         n = len(self.vocabulary)
@@ -97,7 +111,9 @@ class Block:
         two = mix(history[self.pairs // (n + 1)] * _A + mix(history[self.pairs % (n + 1)] * _B))
         three = mix(two[self.triples // (n + 1)] * _B + mix(history[self.triples % (n + 1)] * _A))
         mask = np.uint64((1 << 64) - (1 << (64 - bits)))
-        return [(self.vocabulary, np.arange(n)), *(np.unique(h & mask, return_inverse=True) for h in (two, three))]
+        two &= mask
+        three &= mask
+        return [(self.vocabulary, np.arange(n)), _distinct(two), _distinct(three)]
 
     def counts(self, keys: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
         """Training counts of the keys of each order."""
@@ -259,15 +275,28 @@ def scores(docs: DataFrame, held: int = 2, folds: int = 7, priors: tuple[float,
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                block = _read(row)
-                keys = block.keys(key_bits)
-                counts = [own + np.concatenate([unpack(m[k], np.uint64) for m in row["more"]]) for k, own in enumerate(block.counts(keys))]
-                yield _scored(row["doc_ids"], block, [c[place].astype(np.float64) for c, (_, place) in zip(counts, keys)], total, seen, priors, stretch)
+                block, more, ids = _read(row), row["more"], row["doc_ids"]
+                del row
+                counts = _known(block, more, key_bits)
+                del more
+                yield _scored(ids, block, counts, total, seen, priors, stretch)
+                del block, counts
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return table.drop("size").join(ordered, "block").mapInArrow(rows, schema)
 
 
+def _known(block: Block, more: list[list[bytes]], key_bits: int) -> list[np.ndarray]:
+    """Training counts of each word, pair and triple of a block; nothing of the keys is kept beside them."""
+    keys = block.keys(key_bits)
+    counts = block.counts(keys)
+    out = []
+    while keys:
+        k, (_, place) = len(out), keys.pop(0)
+        out.append((counts.pop(0) + np.concatenate([unpack(m[k], np.uint64) for m in more]))[place].astype(np.float64))
+    return out
+
+
 class Automaton:
     """The part of the model that a block can reach. States: 0 the root, then each word and the start, then each pair."""
 
@@ -276,21 +305,36 @@ class Automaton:
         self.width = n + 1
         end = int(np.searchsorted(block.vocabulary, _END))
         history = np.append(one, one[end])  # the start has been seen as often as the end
-        first, last = block.pairs // (n + 1), block.pairs % (n + 1)
-        pair, word = block.triples // (n + 1), block.triples % (n + 1)
         m, k = priors
         root = (one + 1) / (total + seen + 1)
+        # large arrays are made when they are asked for and let go at once: a block has as many arcs as tokens, twice
+        some2, some3 = np.flatnonzero(two > 0), np.flatnonzero(three > 0)
+        size2, size3 = len(some2), len(some3)
+        self.arcs, self.weight, self.to = np.empty(size2 + size3 + 1, np.int64), np.empty(size2 + size3 + 1), np.empty(size2 + size3 + 1, np.int32)
+        self.arcs[-1], self.weight[-1], self.to[-1] = np.iinfo(np.int64).max, 1.0, 0
+        first, last = block.pairs // (n + 1), block.pairs % (n + 1)
+        self.arcs[:size2] = (1 + first[some2]) * self.width + last[some2]
+        self.to[:size2] = n + 2 + some2
         p2 = (two + m * root[last]) / (history[first] + m)
+        self.weight[:size2] = p2[some2]
+        del first, some2
+        pair, word = block.triples // (n + 1), block.triples % (n + 1)
+        self.arcs[size2:-1] = (n + 2 + pair[some3]) * self.width + word[some3]
         # the pair that a triple ends in, where there is one: the state its arc leads to
         ending = np.searchsorted(block.pairs, last[pair] * (n + 1) + word)
-        p3 = (three + k * p2[ending]) / (two[pair] + k)
+        self.to[size2:-1] = n + 2 + ending[some3]
+        del word
+        p2 = p2[ending]
+        p2 *= k
+        p2 += three
+        del ending
+        p2 /= two[pair] + k
+        self.weight[size2:-1] = p2[some3]
+        del p2, pair, some3
+        np.log10(self.weight, out=self.weight)
         self.root = np.log10(root)
         self.root_to = np.where((one > 0) & (np.arange(n) != end), 1 + np.arange(n), 0)
-        some2, some3 = np.flatnonzero(two > 0), np.flatnonzero(three > 0)
-        self.arcs = np.concatenate([(1 + first[some2]) * self.width + last[some2], (n + 2 + pair[some3]) * self.width + word[some3], [np.iinfo(np.int64).max]])
-        self.weight = np.log10(np.concatenate([p2[some2], p3[some3], [1.0]]))
-        self.to = np.concatenate([n + 2 + some2, n + 2 + ending[some3], [0]])
-        self.fail = np.concatenate([[0], np.zeros(n + 1, np.int64), 1 + last])
+        self.fail = np.concatenate([[0], np.zeros(n + 1, np.int32), (1 + last).astype(np.int32)])
         self.fail_weight = np.log10(np.concatenate([[1.0], m / (history + m), k / (two + k)]))
         self.start = n + 1 if history[n] > 0 else 0
 
@@ -336,6 +380,8 @@ class Automaton:
 
 def _scored(doc_ids: list, block: Block, counts: list[np.ndarray], total: int, seen: int, priors: tuple[float, float], stretch: int) -> pa.RecordBatch:
     model = Automaton(block, *counts, total, seen, priors)
+    block.release()
+    del counts[1:]
     add = lambda x: np.add.reduceat(x, block.bounds[:-1])  # noqa: E731  every document has a token
     known, n = counts[0][block.tokens] > 0, len(doc_ids)
     return pa.RecordBatch.from_arrays(

@@ -463,6 +463,26 @@ def test_automaton_follows_failure_arcs():
     assert list(model.fail[[0, 1, 5, pair(0, 1)]]) == [0, 0, 0, 2]
 
 
+def test_memory_of_a_scored_block():
+    """What scoring holds at once, by the token: keys and n-grams are let go, and places take four bytes."""
+    import tracemalloc
+
+    r = np.random.default_rng(3)
+    n, docs = 400_000, 200
+    vocabulary = np.unique(np.append(r.integers(1, 1 << 63, 30_000, np.uint64), language_model._END))
+    tokens = (len(vocabulary) * r.random(n) ** 3).astype(np.uint32)
+    bounds = np.arange(docs + 1) * (n // docs)
+    make = lambda: language_model.Block(vocabulary, tokens.astype(np.int64), bounds, np.zeros(docs, bool))
+    more = [[language_model.pack(np.ones(len(k), np.uint64)) for k, _ in make().keys(40)]]
+    tracemalloc.start()
+    block = make()
+    out = language_model._scored(list(range(docs)), block, language_model._known(block, more, 40), n, len(vocabulary), language_model.PRIORS, 1024)
+    peak = tracemalloc.get_traced_memory()[1] / n
+    tracemalloc.stop()
+    assert out.num_rows == docs and not hasattr(block, "triples")
+    assert peak < 200
+
+
 def test_rows_for_each_block_do_not_grow(spark):
     assert [language_model.rounds_for(n) for n in (1, 2, 128, 129, 20_000, 3_000_000)] == [[1], [1], [7], [4, 4], [5, 5, 5], [6, 6, 5, 5]]
     docs = spark.range(400).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(1, 40), i -> cast(pmod(xxhash64(id, i), 50) as string))) as text")
