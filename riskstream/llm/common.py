@@ -198,4 +198,6 @@ def drop(spark: SparkSession, *tables: DataFrame) -> None:
         for file in table.inputFiles()[:1]:
             jvm = spark.sparkContext._jvm
             folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
+            while "=" in folder.getName():  # a part of a table by some column
+                folder = folder.getParent()
             folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskstream.llm import bpe, decontaminate, html, language_model, licenses, near_dedup, neighbours, secrets, substring_dedup, toxicity
+from riskstream.llm import bpe, centroids, decontaminate, html, language_model, languages, licenses, near_dedup, neighbours, resample, secrets, substring_dedup, toxicity
 from riskstream.llm.common import crc_remainder, documents
 from riskstream.llm.sql import SQL
 
@@ -58,6 +58,21 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters(documents(spark, sf_dir, "embeddings"))
+
+
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held = F.coalesce(crc_remainder(F.col("doc_id"), 4) == 2, F.lit(False))
+    found = languages.predict(docs, languages.learn(docs.where(~held)))
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -70,6 +85,9 @@ def queries() -> dict[str, Query]:
         "op8_language_model": op8_language_model,
         "op9_html": op9_html,
         "op10_decontaminate": op10_decontaminate,
+        "op11_centroids": op11_centroids,
+        "op12_language": op12_language,
+        "op13_resample": op13_resample,
     }
 
 

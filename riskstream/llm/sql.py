@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from riskstream.llm import centroids, resample
 from riskstream.llm.licenses import NOTICES
 
 _SPLIT = r"'[^\x20\x09-\x0D]+'"
@@ -57,4 +58,48 @@ WITH t AS (SELECT license_id, {_RUNS} AS ws FROM (VALUES {_NOTICES}) v(license_i
 SELECT doc_id, license_id, max(containment) AS containment, count(*) AS n_windows, min(first_word) AS first_word FROM shares WHERE containment >= 0.8 GROUP BY ALL
 """
 
-SQL = {"op2_substring_dedup": SUBSTRING, "op3_near_dedup": NEAR, "op6_licenses": NOTICE, "op10_decontaminate": LEAKS}
+_VECTORS = f"""v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor({centroids.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+    FROM embeddings WHERE len(embedding) = {centroids.COMPONENTS} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)"""
+
+
+def _rounds() -> str:
+    """Every vector against every centroid, once a round and once more."""
+    gap = "list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    out = [_VECTORS, f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{centroids.SEED}:' || vec_id)) - 1 AS cluster, x FROM v ORDER BY cluster LIMIT {centroids.CENTROIDS})"]
+    for i in range(centroids.ROUNDS + 1):
+        out.append(f"""a{i} AS MATERIALIZED (SELECT vec_id, any_value(x) AS x, min(struct_pack(distance := d, cluster := cluster)) AS best
+            FROM (SELECT vec_id, v.x, cluster, CAST({gap} AS BIGINT) AS d FROM v, c{i} c) GROUP BY vec_id)""")
+        if i < centroids.ROUNDS:
+            out.append(f"""n{i} AS (SELECT cluster, list(m ORDER BY place) AS x FROM (SELECT best.cluster AS cluster, place, CAST(floor(sum(x[place]) / count(*)) AS BIGINT) AS m
+                FROM a{i}, range(1, {centroids.COMPONENTS + 1}) r(place) GROUP BY ALL) GROUP BY cluster)""")
+            out.append(f"c{i + 1} AS MATERIALIZED (SELECT c.cluster, coalesce(n.x, c.x) AS x FROM c{i} c LEFT JOIN n{i} n ON c.cluster = n.cluster)")
+    return ", ".join(out)
+
+
+CENTROIDS = f"""
+WITH {_rounds()},
+  last AS (SELECT vec_id, best.cluster AS cluster, best.distance AS distance FROM a{centroids.ROUNDS})
+SELECT vec_id, CAST(l.cluster AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY l.cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c.x, ',')) AS centroid_sha256 FROM last l JOIN c{centroids.ROUNDS} c ON l.cluster = c.cluster
+"""
+
+_TABLE = "list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END))"
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(0, octet_length(encode(word))), lambda i: CAST(('0x' || substr(hex(encode(word)), CAST(2 * i + 1 AS INTEGER), 2)) AS BIGINT))),
+    lambda c, b: xor(c // 256, crcs[CAST(xor(c % 256, b) + 1 AS INTEGER)])))"""
+_RUN = f"unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{resample.WORD}'))"
+_B = resample.BUCKETS
+
+RESAMPLE = f"""
+WITH tokens AS MATERIALIZED (SELECT doc_id, {_RUN} AS word FROM documents), aims AS MATERIALIZED (SELECT {_RUN} AS word FROM benchmark),
+  k AS MATERIALIZED (SELECT {_TABLE} AS crcs), names AS (SELECT word FROM tokens UNION SELECT word FROM aims),
+  hashed AS MATERIALIZED (SELECT word, {_CRC} % {_B} AS bucket FROM names, k),
+  s AS (SELECT bucket, count(*) AS s FROM tokens JOIN hashed USING (word) GROUP BY bucket), t AS (SELECT bucket, count(*) AS t FROM aims JOIN hashed USING (word) GROUP BY bucket),
+  gains AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(s), 0) FROM s) + {_B})::DOUBLE / ((s + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM t) + {_B})::DOUBLE))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (bucket)),
+  weights AS (SELECT doc_id, count(*) AS n, CAST(sum(gain) AS BIGINT) AS weight FROM tokens JOIN hashed USING (word) JOIN gains USING (bucket) GROUP BY doc_id),
+  scored AS (SELECT d.doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('{resample.SEED}:' || d.doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM documents d LEFT JOIN weights w ON d.doc_id = w.doc_id),
+  placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM scored WHERE n_features >= {resample.LEAST_WORDS})
+SELECT s.doc_id, n_features, weight, score, CASE WHEN place <= {resample.PERCENT} * n // 100 THEN place END AS rank FROM scored s LEFT JOIN placed p ON s.doc_id = p.doc_id
+"""
+
+SQL = {"op2_substring_dedup": SUBSTRING, "op3_near_dedup": NEAR, "op6_licenses": NOTICE, "op10_decontaminate": LEAKS, "op11_centroids": CENTROIDS, "op13_resample": RESAMPLE}
