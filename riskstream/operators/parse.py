@@ -28,8 +28,16 @@ def sound(kind: str, of: str = "e") -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
+def judged(records: DataFrame, kind: str) -> DataFrame:
+    """Each record parsed once: key and value, its event e, and whether it is sound."""
+    return records.select("key", "value", parsed(kind, F.col("value")).alias("e")).withColumn("sound", sound(kind))
+
+
+def events_of(judged: DataFrame, *more: str) -> DataFrame:
+    return judged.where("sound").select("e.*", *more).withColumn("event_ts", event_time(F.col("event_time")))
+
+
 def split(records: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
     """(events with event_ts, rejected records with key and value as they came), which together are all records."""
-    with_event = records.withColumn("e", parsed(kind, F.col("value")))
-    good = with_event.where(sound(kind)).select("e.*").withColumn("event_ts", event_time(F.col("event_time")))
-    return good, with_event.where(~sound(kind)).select("key", "value")
+    own = judged(records, kind)
+    return events_of(own), own.where("not sound").select("key", "value")

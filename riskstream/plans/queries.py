@@ -58,18 +58,20 @@ def parse_props_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {EV} SELECT event_id, k % 10 > 3 AS ok FROM ev")
 def malformed_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as JSON records, some without JSON, amount, customer or a readable time, split into sound ones and dead letters."""
-    own = t.events(spark, sf_dir)
+    good, rejected = split(malformed_records(t.events(spark, sf_dir)), "transactions")
+    ids = good.select(F.col("transaction_id").cast("long").alias("event_id"), F.lit(True).alias("ok"))
+    return ids.unionByName(rejected.select(F.col("key").cast("string").cast("long").alias("event_id"), F.lit(False).alias("ok")))
+
+
+def malformed_records(own: DataFrame) -> DataFrame:
+    """Events as JSON records (key, value), some without JSON, amount, customer or a readable time."""
     k, bad = F.col("k") % 10, F.lit(None)
     time = F.date_format("event_ts", "yyyy-MM-dd'T'HH:mm:ss")
     record = F.struct(
         F.col("event_id").cast("string").alias("transaction_id"), F.when(k != 2, F.col("customer_id").cast("string")).alias("customer_id"), F.when(k != 3, time).otherwise("soon").alias("event_time"),
         F.when(k != 1, F.col("amount")).otherwise(bad).alias("amount"), "lat", "lon",
     )
-    records = own.select(F.col("event_id").cast("string").cast("binary").alias("key"), F.when(k == 0, "garbage").otherwise(F.to_json(record)).cast("binary").alias("value"))
-    good, rejected = split(records, "transactions")
-    ids = good.select(F.col("transaction_id").cast("long").alias("event_id"), F.lit(True).alias("ok"))
-    return ids.unionByName(rejected.select(F.col("key").cast("string").cast("long").alias("event_id"), F.lit(False).alias("ok")))
+    return own.select(F.col("event_id").cast("string").cast("binary").alias("key"), F.when(k == 0, "garbage").otherwise(F.to_json(record)).cast("binary").alias("value"))
 
 
 _TOTALS = "count(*) AS tx_count, round(sum(amount), 9) AS amount_sum, round(avg(amount), 9) AS amount_avg"
@@ -108,7 +110,7 @@ def velocity_trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_burst_sql("kind = 'error'", "failure_count", 2, DEFAULT.failures))
 def card_testing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return out(detectors.card_testing(t.payments(spark, sf_dir), SCALED))
+    return out(detectors.card_testing(t.payments(t.events(spark, sf_dir)), SCALED))
 
 
 _TRAVEL = f"""{EV}, p AS (SELECT event_id AS transaction_id, customer_id, event_ts, us, lat AS cur_lat, lon AS cur_lon, lag(lat) OVER w AS prev_lat, lag(lon) OVER w AS prev_lon, lag(us) OVER w AS prev_us
@@ -123,7 +125,7 @@ _TRAVEL = f"""{EV}, p AS (SELECT event_id AS transaction_id, customer_id, event_
     round(time_gap_seconds, 9) AS time_gap_seconds, event_ts, round(distance_km, 9) AS distance_km, round(speed_kmh, 9) AS speed_kmh, 'IMPOSSIBLE_TRAVEL' AS alert_type, 30 AS risk_points FROM travel"""
 )
 def impossible_travel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return out(detectors.impossible_travel(t.transactions(spark, sf_dir), SCALED))
+    return out(detectors.impossible_travel(t.transactions(t.events(spark, sf_dir)), SCALED))
 
 
 _HIGH = f"""{EV}, h AS (SELECT event_id AS transaction_id, customer_id, amount, event_ts, count(*) OVER m AS n, coalesce(avg(amount) OVER w, 0) AS avg_7d, coalesce(avg(amount) OVER m, 0) AS avg_30d FROM ev
@@ -145,18 +147,18 @@ _LOGIN = """login AS (SELECT x.event_id AS transaction_id, x.customer_id, l.even
 
 @query(f"WITH {EV}, {_LOGIN} SELECT transaction_id, customer_id, login_id, login_ts, tx_ts, round(gap_seconds, 9) AS gap_seconds, 'LOGIN_TRANSACTION_CORRELATION' AS alert_type, 20 AS risk_points FROM login")
 def login_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return out(detectors.login_transactions(t.logins(spark, sf_dir), t.transactions(spark, sf_dir), SCALED))
+    return out(detectors.login_transactions(t.logins(t.events(spark, sf_dir)), t.transactions(t.events(spark, sf_dir)), SCALED))
 
 
 def _alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tx = t.transactions(spark, sf_dir)
+    tx = t.transactions(t.events(spark, sf_dir))
     all_ = t.events(spark, sf_dir).withColumnRenamed("event_id", "transaction_id")
     return risk.united(
         detectors.envelope(detectors.velocity(all_, SCALED), "window_start", "window_start"),
-        detectors.envelope(detectors.card_testing(t.payments(spark, sf_dir), SCALED), "window_start", "window_start"),
+        detectors.envelope(detectors.card_testing(t.payments(t.events(spark, sf_dir)), SCALED), "window_start", "window_start"),
         detectors.envelope(detectors.impossible_travel(tx, SCALED), "transaction_id", "event_ts", "transaction_id"),
         detectors.envelope(detectors.high_value(all_, SCALED), "transaction_id", "event_ts", "transaction_id"),
-        detectors.envelope(detectors.login_transactions(t.logins(spark, sf_dir), tx, SCALED).withColumn("pair", F.concat_ws("+", "login_id", "transaction_id")), "pair", "tx_ts", "transaction_id"),
+        detectors.envelope(detectors.login_transactions(t.logins(t.events(spark, sf_dir)), tx, SCALED).withColumn("pair", F.concat_ws("+", "login_id", "transaction_id")), "pair", "tx_ts", "transaction_id"),
     )
 
 

@@ -17,28 +17,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def events(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
-    """event_id, customer_id, event_ts, kind, amount, k, lat, lon; as a table or as a stream."""
-    # times of the tables have no zone; the session's zone decides what instants they are, and UTC is what windows are aligned to
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+def shaped(raw: DataFrame) -> DataFrame:
+    """event_id, customer_id, event_ts, kind, amount, k, lat, lon of rows of the events table."""
     k = F.from_json("props", "k int")["k"]
-    # a pattern, since the stream source takes a plain path for a folder and the table may be one file
-    raw = spark.readStream.schema(EVENTS).parquet(f"{sf_dir}/events.parque[t]") if stream else table(spark, sf_dir, "events")
     own = raw.select("event_id", F.col("user_id").alias("customer_id"), F.col("ts").cast("timestamp").alias("event_ts"), F.col("event_type").alias("kind"), F.col("value").alias("amount"), k.alias("k"))
     return own.withColumns({"lat": F.col("k") * 1.8 - 90.0, "lon": F.col("k") * 3.6 - 180.0})
 
 
-def transactions(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
-    return events(spark, sf_dir, stream).where("kind = 'purchase'").withColumnRenamed("event_id", "transaction_id")
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # times of the tables have no zone; the session's zone decides what instants they are, and UTC is what windows are aligned to
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return shaped(table(spark, sf_dir, "events"))
+
+
+def transactions(own: DataFrame) -> DataFrame:
+    return own.where("kind = 'purchase'").withColumnRenamed("event_id", "transaction_id")
 
 
-def payments(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
-    own = events(spark, sf_dir, stream).where("kind in ('error', 'click')").withColumnRenamed("event_id", "payment_id")
+def payments(own: DataFrame) -> DataFrame:
+    own = own.where("kind in ('error', 'click')").withColumnRenamed("event_id", "payment_id")
     return own.withColumn("status", F.when(F.col("kind") == "error", "FAILED").otherwise("SUCCESS"))
 
 
-def logins(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
-    return events(spark, sf_dir, stream).where("kind = 'signup'").withColumnRenamed("event_id", "login_id").withColumn("success", F.col("k") < 90)
+def logins(own: DataFrame) -> DataFrame:
+    return own.where("kind = 'signup'").withColumnRenamed("event_id", "login_id").withColumn("success", F.col("k") < 90)
 
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.types import StringType, StructField, StructType
 
+from riskstream.operators import parse
+
 _WRITE = "__write"
 
 
@@ -223,8 +225,32 @@ def each_batch(df: DataFrame, write: Callable[[DataFrame, int], None], checkpoin
     return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode(mode)
 
 
-def batch_folders(path: str) -> Callable[[DataFrame, int], None]:
-    """A batch writer that is idempotent: each batch overwrites its own folder."""
-    return lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/batch={n}")
+def batch_folders(path: str, stamp: str | None = None, run: int | None = None) -> Callable[[DataFrame, int], None]:
+    """A batch writer that is idempotent: each batch overwrites its own folder. stamp: a column for its id; run: a number of the run to keep with the rows."""
+
+    def write(batch: DataFrame, n: int) -> None:
+        more = ({stamp: F.lit(n).cast("long")} if stamp else {}) | ({"run": F.lit(run)} if run is not None else {})
+        batch.withColumns(more).write.mode("overwrite").parquet(f"{path}/batch={n}")
+
+    return write
+
+
+def sound_folders(path: str) -> Callable[[DataFrame, int], None]:
+    """Writes judged records, sound and not, in one job to the batch's folder: it is there with both parts or, without its mark of success, not at all."""
+    return lambda batch, n: batch.write.mode("overwrite").partitionBy("sound").parquet(f"{path}/batch={n}")
+
+
+def sound_and_dead(spark: SparkSession, path: str, schema: StructType) -> tuple[DataFrame, DataFrame]:
+    """Events and dead letters, with their batch, of the batches that were written whole."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = sorted(f.getPath().getName() for f in fs.listStatus(at)) if fs.exists(at) else []
+    whole = [f"{path}/{n}" for n in names if n.startswith("batch=") and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+    schema = StructType([*schema.fields]).add("batch", "long")
+    own = spark.read.schema(schema).option("basePath", path).parquet(*whole) if whole else spark.createDataFrame([], schema)
+    return parse.events_of(own, "batch"), own.where("not sound").select("key", "value", "batch")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+import threading
+import uuid
+from collections.abc import Callable, Iterable
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery, StreamingQueryListener
 
 
@@ -91,3 +95,53 @@ class BatchListener(StreamingQueryListener):
 
     def onQueryTerminated(self, event) -> None:
         pass
+
+
+PROGRESS = "query string, batch_id long, num_input_rows long, watermark timestamp"
+
+
+class ProgressLog(StreamingQueryListener):
+    """Writes each batch's normalized progress, a small file each, to a folder that may be read as a table; use it as a context."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self.ended, self.changed = spark, path, set(), threading.Condition()
+
+    def __enter__(self) -> ProgressLog:
+        self.spark.streams.addListener(self)
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.spark.streams.removeListener(self)
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = normalized(event.progress)
+        row = {"query": str(event.progress.runId), "batch_id": p["batch_id"], "num_input_rows": p["num_input_rows"], "watermark": p["watermark"]}
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{uuid.uuid4().hex}.json")
+        out = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
+        out.write(bytearray(json.dumps(row).encode()))
+        out.close()
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        with self.changed:
+            self.ended.add(str(event.runId))
+            self.changed.notify_all()
+
+    def wait(self, queries: Iterable[StreamingQuery], seconds: float = 60) -> None:
+        """Until all that these queries reported is written: reports come after the batches, and a query's end after its last report."""
+        runs = {str(q.runId) for q in queries}
+        with self.changed:
+            if not self.changed.wait_for(lambda: runs <= self.ended, seconds):
+                raise TimeoutError("progress reports did not arrive")
+
+
+def progress_table(spark: SparkSession, path: str) -> DataFrame:
+    """The reports of a folder, one row a query and batch, with the rows and batches that its query took in after it."""
+    own = spark.read.schema(PROGRESS).json(path).where("num_input_rows > 0").dropDuplicates(["query", "batch_id"])
+    after = Window.partitionBy("query").orderBy("batch_id").rowsBetween(1, Window.unboundedFollowing)
+    return own.withColumns({"rows_left": F.coalesce(F.sum("num_input_rows").over(after), F.lit(0)), "batches_left": F.count("*").over(after)})

@@ -1,14 +1,15 @@
 """Stateful operators for streams whose batch twins are window expressions.
 
-Rows of a micro-batch go in the order of time and id.  Histories
-keep only what a later row could look at, and a row that arrives behind the latest one
-seen does not become the latest.  What "new device" and "new merchant" mean needs all that a customer ever
-used: that state grows with a customer's distinct devices and merchants, not with events.
+With a watermark, rows wait until it has passed them and are then handed on in the order of time and ties, so that rows out of
+order, but not later than the watermark, give what the batch twin gives.  Without one, rows of a micro-batch go in that
+order as they come, and a row that arrives behind the latest one seen does not become the latest.  Histories
+keep only what a later row could look at.  What "new device" and "new merchant" mean needs all that a customer ever
+used, unless what was not used for some time counts as new again: then that state is dropped as well.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row
@@ -17,7 +18,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from riskstream import ml
 from riskstream.config import DEFAULT, Settings
-from riskstream.functions import DETECTOR_RADIUS_KM, micros
+from riskstream.functions import DETECTOR_RADIUS_KM, band, micros
 from riskstream.operators.features import FEATURES, of_itself
 
 
@@ -32,21 +33,76 @@ def distance_km(lat1: float, lon1: float, lat2: float, lon2: float, radius: floa
     return 2 * radius * asin(min(1.0, sqrt(a)))
 
 
-class Travel(StatefulProcessor):
+def _names(ddl: str) -> list[str]:
+    return [f.split()[0] for f in ddl.split(",")]
+
+
+class InOrder(StatefulProcessor):
+    """A customer's rows in the order of time and ties; subclasses say what they read (IN), give (OUT), keep (`open`) and do (`step`)."""
+
+    IN = OUT = ""
+    #: Whether rows wait for the watermark.
+    ordered = False
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.make = handle, Row(*_names(self.IN))
+        if self.ordered:
+            self.waiting = handle.getListState("waiting", self.IN)
+        self.open(handle)
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        raise NotImplementedError
+
+    def place(self, r) -> tuple:
+        return r.us, r.transaction_id
+
+    def step(self, key, rows: list, watermark: int | None) -> Iterator[Row]:
+        """What rows, in order, give after all rows before; watermark in microseconds."""
+        raise NotImplementedError
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        if not self.ordered:
+            yield from self.step(key, sorted(rows, key=self.place), None)
+            return
+        own = [tuple(r[name] for name in self.make) for r in rows]
+        self.waiting.appendList(own)
+        self._wake(min(r[0] for r in own))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        watermark = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = sorted((self.make(*r) for r in self.waiting.get()), key=self.place) if self.waiting.exists() else []
+        ready = [r for r in rows if r.us <= watermark]
+        if len(ready) < len(rows):
+            self.waiting.put([tuple(r) for r in rows[len(ready) :]])
+            self._wake(rows[len(ready)].us)
+        else:
+            self.waiting.clear()
+        if ready:
+            yield from self.step(key, ready, watermark)
+
+    def _wake(self, us: int) -> None:
+        self.handle.registerTimer(-(-us // 1000))
+
+    def close(self) -> None:
+        pass
+
+
+class Travel(InOrder):
     """Compares a transaction with the latest before it, by event time."""
 
+    IN = "us long, transaction_id string, lat double, lon double"
     OUT = """transaction_id string, customer_id string, prev_lat double, prev_lon double, cur_lat double, cur_lon double, distance_km double,
     time_gap_seconds double, speed_kmh double, us long, alert_type string, risk_points int"""
 
     def __init__(self, s: Settings = DEFAULT, zero_gap: str = "inf"):
         self.s, self.zero_gap = s, zero_gap
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    def open(self, handle: StatefulProcessorHandle) -> None:
         self.latest = handle.getValueState("latest", "lat double, lon double, us long")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+    def step(self, key, rows, watermark) -> Iterator[Row]:
         latest = self.latest.get() if self.latest.exists() else None
-        for r in sorted(rows, key=lambda r: (r.us, r.transaction_id)):
+        for r in rows:
             if latest is not None:
                 gap = (r.us - latest[2]) / 1e6
                 far = distance_km(latest[0], latest[1], r.lat, r.lon)
@@ -58,29 +114,27 @@ class Travel(StatefulProcessor):
         if latest is not None:
             self.latest.update(latest)
 
-    def close(self) -> None:
-        pass
 
-
-class HighValue(StatefulProcessor):
+class HighValue(InOrder):
     """Compares an amount with the averages of a week and a month before; the history is a list of (time, amount)."""
 
+    IN = "us long, transaction_id string, amount double"
     OUT = """transaction_id string, customer_id string, amount double, avg_7d double, avg_30d double, baseline double, ratio double, us long,
     alert_type string, risk_points int"""
 
     def __init__(self, s: Settings = DEFAULT):
         self.s = s
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    def open(self, handle: StatefulProcessorHandle) -> None:
         self.history = handle.getListState("history", "us long, amount double")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+    def step(self, key, rows, watermark) -> Iterator[Row]:
         s = self.s
         times, amounts = [], []  # in order of time, so that a window is a slice
         for us, amount in sorted((h[0], h[1]) for h in self.history.get()) if self.history.exists() else ():
             times.append(us)
             amounts.append(amount)
-        for r in sorted(rows, key=lambda r: (r.us, r.transaction_id)):
+        for r in rows:
             end = bisect_right(times, r.us)
             month, week = (amounts[bisect_left(times, r.us - seconds * 1_000_000) : end] for seconds in (s.high_value_long, s.high_value_short))
             long_ = sum(month) / len(month) if month else 0.0
@@ -94,80 +148,149 @@ class HighValue(StatefulProcessor):
             first = bisect_left(times, times[-1] - s.high_value_long * 1_000_000)
             self.history.put(list(zip(times[first:], amounts[first:])))
 
-    def close(self) -> None:
-        pass
 
+class OnlineFeatures(InOrder):
+    """The window features of one customer's events, from the events before: short histories, and when devices and merchants were used last.
 
-class OnlineFeatures(StatefulProcessor):
-    """The window features of one customer's events, from the events before: short histories, and what has been seen of devices and merchants."""
+    With `ttl`, a device or merchant not used for more than so many seconds is new again, and forgotten once the watermark says so.
+    """
 
+    IN = """us long, event_id string, event_type string, amount double, status string, lat double, lon double, device_id string, merchant_id string,
+    payment_method string"""
     OUT = """event_id string, customer_id string, event_type string, us long, amount double, status string, lat double, lon double, device_id string,
     merchant_id string, payment_method string, tx_count_120s long, failed_pay_count_60s long, event_count_300s long,
     seconds_since_prev_event double, is_new_device int, is_new_merchant int"""
 
-    def __init__(self, tx: int = 120, fail: int = 60, event: int = 300):
-        self.tx, self.fail, self.event = tx, fail, event
+    def __init__(self, tx: int = 120, fail: int = 60, event: int = 300, ttl: int | None = None):
+        self.tx, self.fail, self.event, self.ttl = tx, fail, event, ttl
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    def open(self, handle: StatefulProcessorHandle) -> None:
         self.recent = handle.getListState("recent", "us long, tx boolean, failed boolean")
-        self.devices = handle.getMapState("devices", "id string", "seen boolean")
-        self.merchants = handle.getMapState("merchants", "id string", "seen boolean")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        recent = [tuple(r) for r in self.recent.get()] if self.recent.exists() else []
-        order = lambda r: (r.us, r.event_type == "payments", r.event_id)
-        for r in sorted(rows, key=order):
-            since = lambda seconds: [x for x in recent if r.us - seconds * 1_000_000 <= x[0] <= r.us]  # noqa: B023, E731
-            near = since(self.event)
-            gap = (r.us - max(x[0] for x in near)) / 1e6 if near else None
-            new_device = None
-            if r.device_id is not None:
-                new_device = 0 if self.devices.containsKey((r.device_id,)) else 1
-                self.devices.updateValue((r.device_id,), (True,))
-            new_merchant = 1
-            if r.merchant_id is not None:
-                new_merchant = 0 if self.merchants.containsKey((r.merchant_id,)) else 1
-                self.merchants.updateValue((r.merchant_id,), (True,))
+        self.devices = handle.getMapState("devices", "id string", "us long")
+        self.merchants = handle.getMapState("merchants", "id string", "us long")
+
+    def place(self, r) -> tuple:
+        return r.us, r.event_type == "payments", r.event_id
+
+    def _new(self, seen, name: str, us: int) -> int:
+        last = seen.getValue((name,)) if seen.containsKey((name,)) else None
+        seen.updateValue((name,), (us if last is None else max(us, last[0]),))
+        return int(last is None or (self.ttl is not None and us - last[0] > self.ttl * 1_000_000))
+
+    def step(self, key, rows, watermark) -> Iterator[Row]:
+        recent = sorted(tuple(r) for r in self.recent.get()) if self.recent.exists() else []
+        # times of all events, of transactions and of failures, each in order, so that a count is two searches
+        every, bought, failed = [r[0] for r in recent], [r[0] for r in recent if r[1]], [r[0] for r in recent if r[2]]
+        within = lambda times, us, seconds: bisect_right(times, us) - bisect_left(times, us - seconds * 1_000_000)
+        for r in rows:
+            near = within(every, r.us, self.event)
+            gap = (r.us - every[bisect_right(every, r.us) - 1]) / 1e6 if near else None
             yield _row(
                 self.OUT, r.event_id, key[0], r.event_type, r.us, r.amount, r.status, r.lat, r.lon, r.device_id, r.merchant_id, r.payment_method,
-                sum(x[1] for x in since(self.tx)), sum(x[2] for x in since(self.fail)), len(near), gap, new_device, new_merchant,
+                within(bought, r.us, self.tx), within(failed, r.us, self.fail), near, gap,
+                None if r.device_id is None else self._new(self.devices, r.device_id, r.us), 1 if r.merchant_id is None else self._new(self.merchants, r.merchant_id, r.us),
             )
-            recent.append((r.us, r.event_type == "transactions", r.status == "FAILED"))
+            flags = (r.event_type == "transactions", r.status == "FAILED")
+            recent.append((r.us, *flags))
+            for times, on in ((every, True), (bought, flags[0]), (failed, flags[1])):
+                if on:
+                    insort(times, r.us)
         if recent:
             least = max(x[0] for x in recent) - max(self.tx, self.fail, self.event) * 1_000_000
             self.recent.put([x for x in recent if x[0] >= least])
+        if self.ttl is not None and watermark is not None:
+            for seen in (self.devices, self.merchants):
+                for name in [k for k, v in seen.iterator() if v[0] < watermark - self.ttl * 1_000_000] if seen.exists() else ():
+                    seen.removeKey(name)
+
+
+class RiskLog(StatefulProcessor):
+    """The points of a customer's alerts in one window, kept by alert: a later version of an alert takes the place of the earlier, and one without points takes it back."""
+
+    OUT = "customer_id string, window_us long, alert_count long, alert_types string, total_points long"
+
+    def __init__(self, seconds: int, ends: bool):
+        self.seconds, self.ends = seconds, ends
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.alerts = handle.getMapState("alerts", "alert_id string", "alert_type string, risk_points int, version long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        latest: dict[str, tuple] = {}
+        for r in rows:
+            if r.alert_id not in latest or latest[r.alert_id][2] <= r.version:
+                latest[r.alert_id] = (r.alert_type, r.risk_points, r.version)
+        for name, value in latest.items():
+            if not self.alerts.containsKey((name,)) or self.alerts.getValue((name,))[2] <= value[2]:
+                # what was taken back stays known, so that an older version that comes later does not bring it back
+                self.alerts.updateValue((name,), value)
+        held = [v for _, v in self.alerts.iterator() if v[1] is not None]
+        if self.ends:
+            self.handle.registerTimer(key[1] // 1000 + self.seconds * 1000)
+        yield _row(self.OUT, key[0], key[1], len(held), "+".join(sorted({v[0] for v in held})), sum(v[1] for v in held))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.alerts.clear()
+        return iter(())
 
     def close(self) -> None:
         pass
 
 
-def _stateful(events: DataFrame, columns: list[str], processor: StatefulProcessor) -> DataFrame:
-    # columns are chosen here since the planner cannot see into a processor; no timers, so that availableNow ends
-    own = events.select("customer_id", *columns, micros(F.col("event_ts")).alias("us"))
-    out = own.groupBy("customer_id").transformWithState(statefulProcessor=processor, outputStructType=processor.OUT, outputMode="update", timeMode="None")
+def _stateful(events: DataFrame, processor: InOrder, watermark: int | None) -> DataFrame:
+    # columns are chosen here since the planner cannot see into a processor
+    own = events.select("customer_id", "event_ts", *(c for c in _names(processor.IN) if c != "us"), micros(F.col("event_ts")).alias("us"))
+    processor.ordered = watermark is not None
+    if watermark is None:
+        own = own.drop("event_ts")
+    else:
+        own = own.withWatermark("event_ts", f"{watermark} seconds")
+    mode = ("None", "update") if watermark is None else ("EventTime", "append")
+    out = own.groupBy("customer_id").transformWithState(statefulProcessor=processor, outputStructType=processor.OUT, outputMode=mode[1], timeMode=mode[0])
     return out.withColumn("event_ts", F.timestamp_micros("us")).drop("us")
 
 
-def travel_stream(transactions: DataFrame, s: Settings = DEFAULT, zero_gap: str = "inf") -> DataFrame:
-    return _stateful(transactions, ["transaction_id", "lat", "lon"], Travel(s, zero_gap))
+def travel_stream(transactions: DataFrame, s: Settings = DEFAULT, zero_gap: str = "inf", watermark: int | None = None) -> DataFrame:
+    return _stateful(transactions, Travel(s, zero_gap), watermark)
+
 
+def high_value_stream(transactions: DataFrame, s: Settings = DEFAULT, watermark: int | None = None) -> DataFrame:
+    return _stateful(transactions, HighValue(s), watermark)
 
-def high_value_stream(transactions: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    return _stateful(transactions, ["transaction_id", "amount"], HighValue(s))
 
+def feature_stream(events: DataFrame, watermark: int | None = None, ttl: int | None = None) -> DataFrame:
+    return _stateful(events, OnlineFeatures(ttl=ttl), watermark)
 
-def feature_stream(events: DataFrame) -> DataFrame:
-    return _stateful(events, ["event_id", "event_type", "amount", "status", "lat", "lon", "device_id", "merchant_id", "payment_method"], OnlineFeatures())
 
+def risk_stream(alerts: DataFrame, s: Settings = DEFAULT, watermark: int | None = None) -> DataFrame:
+    """Risk of a customer and window, given anew whenever one of its alerts changes; alerts(alert_id, customer_id, event_ts, alert_type, risk_points, version).
 
-def scored_stream(model, events: DataFrame, customers: DataFrame, threshold: float = 0.5) -> DataFrame:
+    The last row of a customer and window is its state; one whose alerts were all taken back has a count of 0.
+    With a watermark a window's alerts are let go once it has passed the window's end.
+    """
+    width = s.risk_window * 1_000_000
+    if watermark is not None:
+        alerts = alerts.withWatermark("event_ts", f"{watermark} seconds")
+    own = alerts.withColumn("window_us", (micros(F.col("event_ts")) / width).cast("long") * width)
+    mode = "None" if watermark is None else "EventTime"
+    out = own.groupBy("customer_id", "window_us").transformWithState(statefulProcessor=RiskLog(s.risk_window, watermark is not None), outputStructType=RiskLog.OUT, outputMode="update", timeMode=mode)
+    start = F.timestamp_micros("window_us")
+    return out.select("customer_id", start.alias("window_start"), F.timestamp_micros(F.col("window_us") + width).alias("window_end"), "alert_count", "alert_types", "total_points", band(F.col("total_points"), s.levels).alias("risk_level"), start.alias("event_time"))
+
+
+def with_own_features(online: DataFrame, customers: DataFrame) -> DataFrame:
+    """Online features with those that need only the event and its customer."""
+    known = customers.select("customer_id", "avg_transaction", "home_lat", "home_lon")
+    return online.join(known, "customer_id", "left").withColumns(of_itself()).select("event_id", "customer_id", "event_type", "event_ts", "amount", *FEATURES)
+
+
+def scored_stream(model, events: DataFrame, customers: DataFrame, threshold: float = 0.5, watermark: int | None = None) -> DataFrame:
     """Every event once, with all model features from the events before it, and its probability.
 
     State, and so the features after a restart, are in the query's checkpoint; customers are joined as a static table.
     """
-    known = customers.select("customer_id", "avg_transaction", "home_lat", "home_lon")
-    own = feature_stream(events).join(known, "customer_id", "left").withColumns(of_itself())
-    return ml.score(model, own.select("event_id", "customer_id", "event_type", "event_ts", "amount", *FEATURES), threshold)
+    return ml.score(model, with_own_features(feature_stream(events, watermark), customers), threshold)
 
 
 def event_union(transactions: DataFrame, payments: DataFrame) -> DataFrame:

@@ -6,12 +6,15 @@ import os
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from riskstream import ml
 from riskstream.operators import detectors, windows
 from riskstream.operators.features import features
+from riskstream.operators import parse
 from riskstream.operators.parse import split
 from riskstream.operators.tables import deduplicated_stream
-from riskstream.sources import readers, sinks
+from riskstream.sources import readers, replay, sinks
 from riskstream.streaming import runner, state
 
 T0 = dt.datetime(2026, 1, 1)
@@ -197,3 +200,72 @@ def test_append_mode_under_a_watermark_drops_late_rows(spark, tmp_path):
     got = run(spark, windows.totals(stream(spark, tmp_path / "in"), 120, watermark=60), "late", tmp_path).collect()
     assert {(r.window_start.minute, r.tx_count) for r in got} >= {(0, 2), (6, 1), (10, 1)}
     assert sum(r.tx_count for r in got if r.window_start.minute == 0) == 2
+
+
+def test_rows_out_of_order_wait_for_the_watermark(spark, tmp_path):
+    lines = [record(i, 600 * i, "ab"[i % 2], lat=float(i % 4 * 20)) for i in range(30)]
+    late = [8, 9, 17]
+    for n in range(3):
+        drop(tmp_path / "in", n, [lines[i] for i in range(10 * n, 10 * n + 10) if i not in late] + [lines[i] for i in late if i // 10 == n - 1])
+    expected = {(r.transaction_id, r.time_gap_seconds) for r in detectors.impossible_travel(batch(spark, tmp_path / "in")).collect()}
+    drop(tmp_path / "in", 9, [record(99, 10_000_000, "z")])
+    got = {(r.transaction_id, r.time_gap_seconds) for r in run(spark, state.travel_stream(stream(spark, tmp_path / "in"), watermark=9000), "waiting", tmp_path).collect()}
+    assert got == expected and len(got) > 10
+    # without waiting, late rows are compared with what came before them, not with what happened before them
+    at_once = {(r.transaction_id, r.time_gap_seconds) for r in run(spark, state.travel_stream(stream(spark, tmp_path / "in")), "at_once", tmp_path, "update").collect()}
+    assert at_once != expected
+
+
+def test_alert_versions_replace_and_take_back(spark, tmp_path):
+    def alert(i, kind, points, version, s=0):
+        return json.dumps({"alert_id": i, "customer_id": "a", "event_ts": (T0 + dt.timedelta(seconds=s)).isoformat(), "alert_type": kind, "risk_points": points, "version": version})
+
+    drop(tmp_path / "in", 0, [alert("x", "V", 20, 0), alert("y", "T", 30, 0)])
+    drop(tmp_path / "in", 1, [alert("x", "V", 25, 1), alert("z", "V", 5, 1, 400)])
+    drop(tmp_path / "in", 2, [alert("y", "T", None, 2), alert("x", "V", 20, 0)])  # taken back; an old version that comes late
+    alerts = spark.readStream.schema("alert_id string, customer_id string, event_ts timestamp, alert_type string, risk_points int, version long").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    runner.drain(sinks.each_batch(state.risk_stream(alerts), sinks.batch_folders(out), str(tmp_path / "check"), "update"))
+    got = {(r.batch, r.window_start.minute): (r.alert_count, r.alert_types, r.total_points, r.risk_level) for r in spark.read.parquet(out).collect()}
+    assert got == {(0, 0): (2, "T+V", 50, "MEDIUM"), (1, 0): (2, "T+V", 55, "HIGH"), (1, 5): (1, "V", 5, "LOW"), (2, 0): (1, "V", 25, "LOW")}
+
+
+def test_both_parts_of_a_batch_or_none(spark, tmp_path):
+    out, check = str(tmp_path / "out"), str(tmp_path / "check")
+    for n in range(2):
+        drop(tmp_path / "in", n, [record(n, 0), f"garbage {n}"])
+    write, fail = sinks.sound_folders(out), [True]
+
+    def crashing(batch, n):
+        write(batch, n)
+        if n == 1 and fail:
+            # as if the job had ended between its two parts: one is there, the mark of success is not
+            fail.clear()
+            for name in ("_SUCCESS", "._SUCCESS.crc", "sound=false"):
+                sinks.remove(spark, f"{out}/batch=1/{name}")
+            raise RuntimeError("lost")
+
+    df = parse.judged(readers.keyed_folder(spark, str(tmp_path / "in"), 1), "transactions")
+    writer = lambda: sinks.each_batch(df, crashing, check)
+    with pytest.raises(Exception, match="lost"):
+        runner.drain(writer())
+    read = lambda: [sorted((r.batch, r.transaction_id if k == 0 else bytes(r.value).decode()) for r in part.collect()) for k, part in enumerate(sinks.sound_and_dead(spark, out, df.schema))]
+    assert read() == [[(0, "000")], [(0, "garbage 0")]]
+    runner.drain(writer())
+    assert read() == [[(0, "000"), (1, "001")], [(0, "garbage 0"), (1, "garbage 1")]]
+    assert [part.count() for part in sinks.sound_and_dead(spark, str(tmp_path / "none"), df.schema)] == [0, 0]
+
+
+def test_replay_deals_in_order(spark, tmp_path):
+    rows = spark.createDataFrame([(i, T0 + dt.timedelta(seconds=i)) for i in range(60)], "id long, ts timestamp")
+    own = replay.dealt(rows, "ts", F.col("id") == 3)
+    path = f"file://{tmp_path}/played"
+    replay.play(own, path, (0, 3))
+    seen = []
+    collect = lambda batch, n: seen.append(sorted(r.id for r in batch.collect()))
+    once = lambda: runner.drain(sinks.each_batch(replay.replayed(spark, path, rows.schema), collect, str(tmp_path / "check")))
+    once()
+    replay.play(own, path, (4, 9))
+    once()
+    assert seen == [[0, 1, 2, 4, 5, 6, 7, 8, 9], list(range(10, 20)), [3, *range(20, 30)], list(range(30, 40)), list(range(40, 50)), list(range(50, 60))]
+    assert replay.dealt(rows.limit(0), "ts").count() == 0
