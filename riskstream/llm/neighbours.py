@@ -13,8 +13,7 @@ go on to be merged.
 The window is fitted: for up to `SAMPLE` queries the true neighbours are found
 by brute force, and it is the least at which `RECALL` of them lie in some
 curve's window.  On clustered vectors that is a few ranks; on vectors without structure
-it is a share of the table, and where the windows of all curves together would look at
-more candidates than there are, one curve with a window over the whole of it is left: one exact pass.
+it is a share of the table.  The way is the same at every size.
 Centre and scale of projections come from `SAMPLE` times 32 vectors. Every vector is
 indexed and every query searched.
 
@@ -228,9 +227,6 @@ def nearest(table: DataFrame, every: int, k: int, curves: int = CURVES, dimensio
 
     marked = entries.select("entry", "vector").join(asked, "entry", "left").select("entry", "vector", F.coalesce("asked", F.lit(False)).alias("asked"))
     window = _window(spark, marked, ranked, n, k, recall, kind, size)
-    if 2 * window * curves >= n:
-        # the windows of all curves would look at more than there is: one curve, all of it
-        window, ranked = n, ranked.where("curve = 0")
     copies = max(1, -(-(2 * window + block) // (every * ASKED)))
     # a vector goes to its own block on each curve, and as a query to all blocks that its window touches, with its ranks so far
     of = F.floor(F.col("rank") / block)
