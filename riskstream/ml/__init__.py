@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from riskstream.operators.features import FEATURES
 from riskstream.operators.metrics import average_precision, confusion, roc_auc
-from riskstream.operators.ordered import running
+from riskstream.operators.ordered import scan
 
 #: Features that may be null: each gets an indicator and a stand-in outside its range, since trees here do not route missing values.
 MAY_MISS = ("amount_vs_customer_avg", "dist_km_from_home", "seconds_since_prev_event", "is_new_device")
@@ -33,11 +33,10 @@ class Params:
 
 def split(df: DataFrame, id_col: str = "event_id", label: str = "label", fraction: float = 0.2, seed: int = 42) -> DataFrame:
     """df with is_test: of each class the given fraction, to the row, by a hash order of ids; no class goes through one task."""
-    order = F.xxhash64(id_col, F.lit(seed))
-    one = df.withColumns({"_h": order, "_one": F.lit(1)})
-    placed = running(one, F.shiftright("_h", 56), ["_h", id_col], ["_one"], [label])
+    order = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 256), 1, 15), 16, 10).cast("long")
+    placed = scan(df.withColumn("_h", order), [label], ["_h", id_col], {"_before": F.lit(1)})
     size = df.groupBy(label).agg(F.round(F.count("*") * fraction).alias("_test"))
-    return placed.join(F.broadcast(size), label).withColumn("is_test", F.col("before__one") < F.col("_test")).drop("_h", "_one", "before__one", "_test")
+    return placed.join(F.broadcast(size), label).withColumn("is_test", F.col("_before") < F.col("_test")).drop("_h", "_before", "_test")
 
 
 def balance(df: DataFrame, label: str = "label") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from riskstream.config import DEFAULT, Rule, Settings
 from riskstream.functions import haversine_km, micros, speed_kmh
+from riskstream.operators import ordered
 from riskstream.operators.trailing import trailing
 from riskstream.operators.windows import in_windows
 
@@ -27,10 +28,15 @@ def velocity(transactions: DataFrame, s: Settings = DEFAULT, watermark: int | No
     return _bursts(transactions, "transaction_id", "tx_count", s.velocity_window, s.velocity_over, s.velocity, watermark)
 
 
-def velocity_trailing(transactions: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    """Each transaction that is more than the allowed number within the seconds before it: bursts across window edges too. Static tables only."""
-    frame = trailing(["customer_id"], micros(F.col("event_ts")), ["transaction_id"])
-    out = transactions.withColumn("tx_count", frame.count(s.velocity_window) + 1).where(F.col("tx_count") > s.velocity_over)
+def velocity_trailing(transactions: DataFrame, s: Settings = DEFAULT, hot: int = ordered.HOT) -> DataFrame:
+    """Each transaction that is more than the allowed number within the seconds before it: bursts across window edges too. Static tables only.
+
+    Customers with more than `hot` rows are spread over tasks.
+    """
+    own = transactions.select("transaction_id", "customer_id", "event_ts", micros(F.col("event_ts")).alias("us"))
+    few = lambda df: df.withColumn("tx_count", trailing(["customer_id"], F.col("us"), ["transaction_id"]).count(s.velocity_window))
+    many = lambda df: ordered.trailing(df, ["customer_id"], "us", ["transaction_id"], {"tx_count": (F.lit(1), s.velocity_window)})
+    out = ordered.by_heat(own, "customer_id", few, many, hot).withColumn("tx_count", F.col("tx_count") + 1).where(F.col("tx_count") > s.velocity_over)
     return _marked(out.select("transaction_id", "customer_id", "event_ts", "tx_count"), s.velocity)
 
 
@@ -39,11 +45,13 @@ def card_testing(payments: DataFrame, s: Settings = DEFAULT, watermark: int | No
     return _bursts(payments.where(F.col("status") == "FAILED"), "payment_id", "failure_count", s.failures_window, s.failures_over, s.failures, watermark)
 
 
-def impossible_travel(transactions: DataFrame, s: Settings = DEFAULT, zero_gap: str = "inf") -> DataFrame:
-    """Transactions that the customer's previous one, by time and id, is too far from."""
+def impossible_travel(transactions: DataFrame, s: Settings = DEFAULT, zero_gap: str = "inf", hot: int = ordered.HOT) -> DataFrame:
+    """Transactions that the customer's previous one, by time and id, is too far from. Customers with more than `hot` rows are spread over tasks."""
     order = Window.partitionBy("customer_id").orderBy("event_ts", "transaction_id")
-    before = F.lag(F.struct("lat", "lon", micros(F.col("event_ts")).alias("us"))).over(order)
-    out = transactions.withColumn("before", before).where(F.col("before").isNotNull())
+    place = F.struct("lat", "lon", micros(F.col("event_ts")).alias("us"))
+    few = lambda df: df.withColumn("before", F.lag(place).over(order))
+    many = lambda df: ordered.scan(df, ["customer_id"], ["event_ts", "transaction_id"], latest={"before": place})
+    out = ordered.by_heat(transactions.select("transaction_id", "customer_id", "event_ts", "lat", "lon"), "customer_id", few, many, hot).where(F.col("before").isNotNull())
     out = out.select(
         "transaction_id", "customer_id", F.col("before.lat").alias("prev_lat"), F.col("before.lon").alias("prev_lon"), F.col("lat").alias("cur_lat"), F.col("lon").alias("cur_lon"),
         ((micros(F.col("event_ts")) - F.col("before.us")) / 1e6).alias("time_gap_seconds"), "event_ts",
@@ -53,13 +61,29 @@ def impossible_travel(transactions: DataFrame, s: Settings = DEFAULT, zero_gap:
     return _marked(out.where(F.col("speed_kmh") > s.speed_over), s.travel)
 
 
-def high_value(transactions: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    """Amounts many times the larger of the customer's averages over a week and a month before, both without the row itself."""
-    frame = trailing(["customer_id"], micros(F.col("event_ts")), ["transaction_id"])
+#: Amounts as decimals, so that sums of any number of them are exact.
+_MONEY = "decimal(38,18)"
+
+
+def high_value(transactions: DataFrame, s: Settings = DEFAULT, hot: int = ordered.HOT) -> DataFrame:
+    """Amounts many times the larger of the customer's averages over a week and a month before, both without the row itself.
+
+    Customers with more than `hot` rows are spread over tasks.
+    """
     amount = F.col("amount")
-    out = transactions.withColumns({
-        "short_sum": frame.sum(amount, s.high_value_short), "short_n": frame.count(s.high_value_short), "long_sum": frame.sum(amount, s.high_value_long), "history": frame.count(s.high_value_long),
-    })
+    short, long_ = s.high_value_short, s.high_value_long
+
+    def few(df: DataFrame) -> DataFrame:
+        frame = trailing(["customer_id"], F.col("us"), ["transaction_id"])
+        return df.withColumns({"short_sum": frame.sum(amount, short), "short_n": frame.count(short), "long_sum": frame.sum(amount, long_), "history": frame.count(long_)})
+
+    def many(df: DataFrame) -> DataFrame:
+        money, one = amount.cast(_MONEY), F.lit(1)
+        out = ordered.trailing(df, ["customer_id"], "us", ["transaction_id"], {"short_sum": (money, short), "short_n": (one, short), "long_sum": (money, long_), "history": (one, long_)})
+        return out.withColumns({c: F.col(c).cast("double") for c in ("short_sum", "long_sum")})
+
+    own = transactions.select("transaction_id", "customer_id", "amount", "event_ts", micros(F.col("event_ts")).alias("us"))
+    out = ordered.by_heat(own, "customer_id", few, many, hot)
     mean = lambda total, n: F.when(F.col(n) > 0, F.col(total) / F.col(n)).otherwise(F.lit(0.0))
     out = out.withColumns({"avg_7d": mean("short_sum", "short_n"), "avg_30d": mean("long_sum", "history")}).withColumn("baseline", F.greatest("avg_7d", "avg_30d"))
     out = out.where((F.col("history") >= s.high_value_history) & (F.col("baseline") > 0) & (amount > s.high_value_times * F.col("baseline")))

@@ -71,8 +71,8 @@ def check(store: TableStore, raw: str, labels: DataFrame) -> DataFrame:
     events = store.read("silver/events")
     # by what the labels say of themselves, one row for each feed
     said = {r["event_type"]: r["count"] for r in labels.groupBy("event_type").count().collect()} if "event_type" in labels.columns else {}
-    parts.append(quality.events_checks(events, labels=labels.count(), by_type={kind: said.get(kind, 0) for kind in FEEDS} if said else None))
-    parts.append(quality.conserved(events.where("fraud_label = 1"), store.read("gold/customer_risk_summary"), "fraud_conserved"))
+    by_type = {kind: said.get(kind, 0) for kind in FEEDS} if said else None
+    parts.append(quality.events_checks(events, labels=labels.count(), by_type=by_type, conserved=("fraud_conserved", store.read("gold/customer_risk_summary"))))
     parts.append(quality.counted(store.read("gold/fraud_events"), "gold_fraud_events", events.where("fraud_label = 1").count()))
     return quality.report(*parts)
 

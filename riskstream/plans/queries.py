@@ -9,17 +9,19 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskstream import ml
 from riskstream.config import DEFAULT
 from riskstream.operators import detectors, gold, metrics, quality, risk, tables, windows
 from riskstream.operators.features import features
+from riskstream.operators.ordered import HOT
 from riskstream.operators.parse import flattened, split
 from riskstream.plans import stand_ins as t
-from riskstream.plans.lake import enriched_feed, unified
+from riskstream.plans.lake import CUSTOMER_COLUMNS, MERCHANT_COLUMNS, enriched_feed
 from riskstream.sources.readers import sampled
+from riskstream.sources.shared import written
 
 DAY = 86400
 SCALED = replace(DEFAULT, velocity_window=DAY, velocity_over=5, failures_window=DAY, failures_over=2, login_gap=6 * 3600, risk_window=DAY, speed_over=50.0)
@@ -150,6 +152,32 @@ def login_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(detectors.login_transactions(t.logins(t.events(spark, sf_dir)), t.transactions(t.events(spark, sf_dir)), SCALED))
 
 
+#: SQL over events of which nine tenths belong to one customer.
+_of_one = lambda sql: sql.replace("user_id AS customer_id", "CASE WHEN event_id % 10 < 9 THEN 1 ELSE user_id END AS customer_id")
+#: So many rows make a customer hot in the queries over those.
+_HOT = 500
+
+
+def _one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return given_to_one(t.events(spark, sf_dir))
+
+
+@query(_of_one(SQL["velocity_trailing"]))
+def velocity_trailing_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer with nine tenths of all rows, spread over tasks; so in the others of this kind."""
+    return out(detectors.velocity_trailing(_one(spark, sf_dir).withColumnRenamed("event_id", "transaction_id"), SCALED, hot=_HOT))
+
+
+@query(_of_one(SQL["impossible_travel"]))
+def impossible_travel_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return out(detectors.impossible_travel(t.transactions(_one(spark, sf_dir)), SCALED, hot=_HOT // 5))
+
+
+@query(_of_one(SQL["high_value"]))
+def high_value_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return out(detectors.high_value(_one(spark, sf_dir).withColumnRenamed("event_id", "transaction_id"), SCALED, hot=_HOT))
+
+
 def _alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     tx = t.transactions(t.events(spark, sf_dir))
     all_ = t.events(spark, sf_dir).withColumnRenamed("event_id", "transaction_id")
@@ -208,27 +236,34 @@ def enrich_left(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.enriched(own, t.table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "o_orderkey"), "o_orderkey", {"quality": "label_quality"}).drop("n_nationkey")
 
 
-def _feeds(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
-    text = lambda c: F.col(c).cast("string").alias(c)
-    own = t.events(spark, sf_dir).withColumns({"event_time": F.date_format("event_ts", "yyyy-MM-dd'T'HH:mm:ss"), "customer_id": text("customer_id"), "merchant_id": F.col("k").cast("string"), "device_id": F.concat(F.lit("D"), F.col("k") % 7)})
-    pay = {"currency": F.lit("USD"), "payment_method": F.when(F.col("k") % 2 == 0, "CARD").otherwise("UPI")}
-    id_ = lambda kind: F.col("event_id").cast("string").alias(kind)
-    place = ["customer_id", "event_time"]
-    tx = own.where("kind = 'purchase'").withColumns(pay).select(id_("transaction_id"), *place, "amount", "currency", "merchant_id", "payment_method", F.lit("Town").alias("location"), "lat", "lon", "device_id", F.lit("APPROVED").alias("status"))
-    status = F.when(F.col("kind") == "error", "FAILED").otherwise("SUCCESS").alias("status")
-    paid = own.where("kind in ('error', 'click')").withColumns(pay).select(id_("payment_id"), *place, "amount", "currency", "merchant_id", "payment_method", status)
-    login = own.where("kind = 'signup'").select(id_("login_id"), *place, "device_id", (F.col("k") < 90).alias("success"))
-    seen = own.where("kind = 'view'").select(id_("location_id"), *place, F.concat(F.lit("C"), F.col("k") % 19).alias("city"), "lat", "lon", "device_id")
-    labels = t.labelled(spark, sf_dir).withColumn("event_id", text("event_id"))
-    customers = t.customers(spark, sf_dir).withColumn("customer_id", text("customer_id"))
-    merchants = t.merchants(spark, sf_dir).withColumn("merchant_id", text("merchant_id"))
-    probability = lambda df: df.withColumn("fraud_probability", F.col("amount") / (F.col("amount") + 50))
-    feeds = {"transactions": (tx, probability), "payments": (paid, probability), "logins": (login, None), "customer_locations": (seen, None)}
-    return [enriched_feed(df, kind, labels, customers, merchants, score) for kind, (df, score) in feeds.items()]
+def given_to_one(own: DataFrame) -> DataFrame:
+    """Events with nine tenths of them given to one customer."""
+    return own.withColumn("customer_id", F.when(F.pmod("event_id", F.lit(10)) < 9, F.lit(1)).otherwise(F.col("customer_id")))
+
 
+def _text(c: str) -> Column:
+    return F.col(c).cast("string").alias(c)
 
-def _unified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return unified(_feeds(spark, sf_dir)).drop("_ingestion_ts")
+
+def _unified(spark: SparkSession, sf_dir: str, shape: Callable[[DataFrame], DataFrame] = lambda own: own) -> DataFrame:
+    """Events of all types in one envelope, from one scan: an event once, conformed by its type, one join with the labels and one with merchants.
+
+    What the envelope has no column of (a customer's attributes) is not joined.
+    """
+    own = shape(t.events(spark, sf_dir)).select("event_id", "customer_id", "event_ts", "kind", "amount", "k")
+    own = tables.first_of(own, "event_id", ["event_ts"]).join(t.labelled(spark, sf_dir), "event_id", "left").fillna(0, ["fraud_label"])
+    kind, k, amount = F.col("kind"), F.col("k"), F.col("amount")
+    money, place, device = kind.isin("purchase", "error", "click"), kind.isin("purchase", "view"), kind.isin("purchase", "signup", "view")
+    own = tables.enriched(own.withColumn("merchant", F.when(money, k)), t.merchants(spark, sf_dir).withColumnRenamed("merchant_id", "merchant"), "merchant", {"merchant_name": "merchant_name", "category": "category"})
+    own = own.select(
+        _text("event_id"), F.when(kind == "purchase", "transactions").when(kind == "signup", "logins").when(kind == "view", "customer_locations").otherwise("payments").alias("event_type"), _text("customer_id"),
+        F.date_trunc("second", "event_ts").alias("event_ts"), F.when(money, amount).alias("amount"), F.when(money, "USD").alias("currency"), F.when(money, k.cast("string")).alias("merchant_id"),
+        F.when(money, F.when(k % 2 == 0, "CARD").otherwise("UPI")).alias("payment_method"), F.when(device, F.concat(F.lit("D"), k % 7)).alias("device_id"),
+        F.when(kind == "purchase", "APPROVED").when(kind == "error", "FAILED").when(kind == "click", "SUCCESS").alias("status"), F.when(place, k * 1.8 - 90.0).alias("lat"), F.when(place, k * 3.6 - 180.0).alias("lon"),
+        F.when(kind == "purchase", "Town").when(kind == "view", F.concat(F.lit("C"), k % 19)).alias("location"), "merchant_name", "category", "fraud_label", "fraud_scenario", "alert_type", "risk_points",
+        F.when(money, amount / (amount + 50)).alias("fraud_probability"),
+    )
+    return tables.conformed(own).drop("_ingestion_ts")
 
 
 _UNIFIED = f"""{EV}, u AS (SELECT CAST(event_id AS VARCHAR) AS event_id,
@@ -246,6 +281,21 @@ _UNIFIED = f"""{EV}, u AS (SELECT CAST(event_id AS VARCHAR) AS event_id,
 _ROUNDED = ", ".join(f"round({c}, 9) AS {c}" for c in ("amount", "lat", "lon", "fraud_probability"))
 
 
+@query(
+    f"""WITH {EV} SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(customer_id AS VARCHAR) AS customer_id, date_trunc('second', event_ts) AS event_ts, round(amount, 9) AS amount,
+    CAST(k AS VARCHAR) AS merchant_id, p_name AS merchant_name, p_brand AS category, CAST(p_size AS VARCHAR) AS merchant_city, p_type AS merchant_country, CAST(c_custkey % 60 + 18 AS INTEGER) AS customer_age, n_name AS customer_country,
+    r_name AS customer_currency, round(c_acctbal, 9) AS avg_transaction, c_mktsegment AS home_city, CAST(c_custkey % 180 - 90 AS DOUBLE) AS home_lat, CAST(c_custkey % 360 - 180 AS DOUBLE) AS home_lon,
+    CASE WHEN amount > 150 AND k < 50 THEN 1 ELSE 0 END AS fraud_label, CASE WHEN amount > 150 AND k < 50 THEN k % 3 * 5 + 20 END AS risk_points
+    FROM ev LEFT JOIN part ON k = p_partkey LEFT JOIN customer ON customer_id = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey WHERE kind = 'purchase'"""
+)
+def enriched_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One feed with its labels, merchants and customers: the silver table of transactions."""
+    own = t.transactions(t.events(spark, sf_dir)).withColumns({c: _text(c) for c in ("transaction_id", "customer_id")} | {"event_time": F.date_format("event_ts", "yyyy-MM-dd'T'HH:mm:ss"), "merchant_id": F.col("k").cast("string")})
+    labels, customers, merchants = (df.withColumn(key, _text(key)) for df, key in ((t.labelled(spark, sf_dir), "event_id"), (t.customers(spark, sf_dir), "customer_id"), (t.merchants(spark, sf_dir), "merchant_id")))
+    feed = enriched_feed(own.select("transaction_id", "customer_id", "event_time", "amount", "merchant_id"), "transactions", labels, customers, merchants)
+    return out(feed.select("event_id", "customer_id", "event_ts", "amount", "merchant_id", *MERCHANT_COLUMNS.values(), *CUSTOMER_COLUMNS.values(), "fraud_label", "risk_points"))
+
+
 @query(f"WITH {_UNIFIED} SELECT * REPLACE ({_ROUNDED}) FROM uni")
 def unified_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(_unified(spark, sf_dir))
@@ -294,12 +344,12 @@ _FRAUD_ROUNDED = "* REPLACE (round(amount, 9) AS amount, round(fraud_probability
 
 
 def _fraud(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gold.fraud_events(_unified(spark, sf_dir))
+    return gold.fraud_rows(_unified(spark, sf_dir))
 
 
 @query(f"WITH {_FRAUD} SELECT {_FRAUD_ROUNDED} FROM fraud")
 def fraud_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return out(_fraud(spark, sf_dir))
+    return out(gold.fraud_events(_unified(spark, sf_dir)))
 
 
 @query(f"WITH {_FRAUD} SELECT {_FRAUD_ROUNDED}, date_trunc('hour', event_ts) AS alert_hour FROM fraud")
@@ -325,10 +375,6 @@ def alerts_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(gold.alerts_by_type(_fraud(spark, sf_dir)))
 
 
-def _money(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _unified(spark, sf_dir).where("event_type in ('transactions', 'payments')")
-
-
 _FEATURES = f"""{_UNIFIED}, e AS (SELECT uni.*, epoch_us(event_ts) AS us, CASE WHEN event_type = 'payments' THEN 1 ELSE 0 END AS rank, CASE WHEN status = 'FAILED' THEN 1 ELSE 0 END AS failed,
     c_acctbal AS average, CAST(c_custkey % 180 - 90 AS DOUBLE) AS home_lat, CAST(c_custkey % 360 - 180 AS DOUBLE) AS home_lon FROM uni LEFT JOIN customer ON uni.customer_id = CAST(c_custkey AS VARCHAR) WHERE event_type IN ('transactions', 'payments')),
   f AS (SELECT *, lag(us) OVER (PARTITION BY customer_id ORDER BY us, rank, event_id) AS before, row_number() OVER (PARTITION BY customer_id, device_id ORDER BY us, rank, event_id) AS device_n,
@@ -349,20 +395,25 @@ def model_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(_features(spark, sf_dir))
 
 
-def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = _money(spark, sf_dir)
-    customers = t.customers(spark, sf_dir).withColumn("customer_id", F.col("customer_id").cast("string"))
-    return features(own, customers, own.where("fraud_label = 1"))
+@query(_of_one(SQL["model_features"]))
+def model_features_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return out(_features(spark, sf_dir, given_to_one, _HOT))
+
+
+def _features(spark: SparkSession, sf_dir: str, shape: Callable[[DataFrame], DataFrame] = lambda own: own, hot: int = HOT) -> DataFrame:
+    own = _unified(spark, sf_dir, shape).where("event_type in ('transactions', 'payments')")
+    customers = t.customers(spark, sf_dir).withColumn("customer_id", _text("customer_id"))
+    return features(own, customers, own.where("fraud_label = 1"), hot=hot)
 
 
 @query(
-    """SELECT label, is_test, n FROM (SELECT label, true AS is_test, CAST(round(count(*) * 0.2) AS BIGINT) AS n FROM (SELECT CASE WHEN value > 150 THEN 1 ELSE 0 END AS label FROM events) GROUP BY label
-    UNION ALL SELECT label, false, count(*) - CAST(round(count(*) * 0.2) AS BIGINT) FROM (SELECT CASE WHEN value > 150 THEN 1 ELSE 0 END AS label FROM events) GROUP BY label)"""
+    """WITH l AS (SELECT event_id, CASE WHEN value > 150 THEN 1 ELSE 0 END AS label, CAST('0x' || substr(sha256('42:' || event_id), 1, 15) AS BIGINT) AS h FROM events)
+    SELECT event_id, label, row_number() OVER (PARTITION BY label ORDER BY h, event_id) <= round(count(*) OVER (PARTITION BY label) * 0.2) AS is_test FROM l"""
 )
 def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sizes of the parts of an 80/20 split within each class; which rows go where is a hash order."""
-    own = t.events(spark, sf_dir).withColumn("label", (F.col("amount") > 150).cast("int"))
-    return ml.split(own).groupBy("label", "is_test").agg(F.count("*").alias("n"))
+    """Which rows are the test part of an 80/20 split within each class, by a hash order of ids."""
+    own = t.events(spark, sf_dir).select("event_id", (F.col("amount") > 150).cast("int").alias("label"))
+    return ml.split(own)
 
 
 @query("SELECT count(*) FILTER (value > 150) AS positives, count(*) FILTER (value <= 150) AS negatives, round(count(*) FILTER (value <= 150) / count(*) FILTER (value > 150), 9) AS positive_weight FROM events")
@@ -407,8 +458,10 @@ def average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT 'fraud_conserved', CAST(sum(fraud_label) AS BIGINT), CAST(sum(fraud_label) AS BIGINT), true FROM uni"""
 )
 def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = _unified(spark, sf_dir)
-    return quality.report(quality.events_checks(own), quality.conserved(own.where("fraud_label = 1"), _summary(spark, sf_dir), "fraud_conserved"))
+    """Silver is written once; its own checks and what the summary is held against come from one pass over it."""
+    own = written(_unified(spark, sf_dir), "silver")
+    customers = t.customers(spark, sf_dir).withColumn("customer_id", _text("customer_id"))
+    return quality.events_checks(own, conserved=("fraud_conserved", gold.customer_summary(own, customers)))
 
 
 @query(

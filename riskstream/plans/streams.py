@@ -22,8 +22,9 @@ from riskstream.operators.tables import deduplicated_stream
 from riskstream.plans import stand_ins as t
 from riskstream.plans.queries import DAY, EV, SCALED, SQL, _features, malformed_records, out, query
 from riskstream.sources import replay, sinks
+from riskstream.sources.shared import shared_dir
 from riskstream.streaming import runner, state
-from riskstream.streaming.session import STATE_STORE, shared_dir
+from riskstream.streaming.session import STATE_STORE
 
 #: Longer than late rows are late: two of six batches after their own, at the end of it.
 PATIENT = 20 * DAY

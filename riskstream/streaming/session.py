@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-
 from pyspark.sql import SparkSession
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -25,16 +21,3 @@ def session(name: str = "riskstream", master: str | None = None, shuffle_partiti
     for key, value in conf.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A local session that names none gets a temporary one; a cluster has to name it."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        if not f"{spark.sparkContext.master}[".startswith("local["):
-            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-        own = tempfile.mkdtemp(prefix="riskstream-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        at = f"file://{own}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at

@@ -66,6 +66,14 @@ def test_windows_share_a_shuffle(spark, name, shuffles):
     assert plan.count("Exchange hashpartitioning") == shuffles
 
 
+@pytest.mark.parametrize("name, most", [("kpis", 2), ("unified_events", 2), ("customer_risk_summary", 2), ("alerts_by_type", 2), ("quality_report", 0)])
+def test_silver_is_one_scan_and_one_of_the_labels(spark, name, most):
+    plan = QUERIES[name](spark, DIR)._jdf.queryExecution().executedPlan().toString()
+    # what the report reads was written before
+    assert plan.count("/events.parquet") <= most
+    assert name == "quality_report" or plan.count("/events.parquet") > 0
+
+
 def test_streams_keep_no_rows_in_the_driver():
     import inspect
 

@@ -87,6 +87,19 @@ def test_online_features_equal_batch_across_a_restart(spark, tmp_path):
     assert got == expected and len(got) == 24
 
 
+def test_devices_are_new_again_after_a_while(spark, tmp_path):
+    lines = [record(i, s, merchant_id=None) for i, s in enumerate((0, 10, 100, 450, 460, 1200, 1210))]
+    for n in range(3):
+        drop(tmp_path / "in", n, lines[3 * n : 3 * n + 3])
+    shape = lambda df: state.event_union(df, df.where("false").withColumnRenamed("transaction_id", "payment_id"))
+    customers = spark.createDataFrame([], "customer_id string, avg_transaction double, home_lat double, home_lon double")
+    expected = {r.event_id: r.is_new_device for r in features(shape(batch(spark, tmp_path / "in")), customers, ttl=350).collect()}
+    assert [expected[f"{i:03}"] for i in range(7)] == [1, 1, 0, 1, 1, 1, 1] and [r[1] for r in sorted(expected.items())].count(0) == 1
+    drop(tmp_path / "in", 9, [record(99, 10_000, "z")])
+    got = {r.event_id: r.is_new_device for r in run(spark, state.feature_stream(shape(stream(spark, tmp_path / "in")), watermark=30, ttl=350), "ttl", tmp_path).collect()}
+    assert got == expected
+
+
 def test_online_scores_equal_batch(spark, tmp_path):
     lines = [record(i, 40 * i, "ab"[i % 2], amount=500.0 if i % 6 == 0 else 5.0) for i in range(60)]
     for n in range(3):
