@@ -4,11 +4,11 @@ A word's vector is the sum of four rows of one hashed table: two independent
 hashes of the word, so that a chance collision carries little weight, and two of
 its first bytes, so that inflected forms share something.  Filters of widths 1 to 3
 run over whole texts; the largest response of each, wherever it stands, goes to a
-logistic output.  Training is Adam in numpy on the driver.  Only the largest
+logistic output.  Training is Adam in numpy, in tasks.  Only the largest
 responses have gradients, so a step costs little more than a forward pass.
 
 Every labelled row outside the held-out fold is learned from, whole and whatever its length or number.  They are
-packed into shards of about `SHARD_BYTES` of text.  One shard is trained on by itself; of several each is
+packed into shards of about `SHARD_BYTES` of text, be it one or many.  Each is
 trained on in its own task from the common model, `ROUNDS` times, and what the tasks changed is averaged, a row of the table over
 the shards that touched it, so that rare words learn as fast as frequent ones.  Sums are made by parts of the table and
 `FAN` shards at a time; the driver only ever holds the models, whatever the input.
@@ -49,7 +49,7 @@ ROWS = 2 + len(PREFIXES)
 EPOCHS = 8
 BATCH = 24
 SHARD_BYTES = 16 << 20
-ROUNDS = 4  # over several shards, each an epoch
+ROUNDS = 4  # each of EPOCHS / ROUNDS epochs
 FAN = 256
 STEPS = 1000
 RATE = 0.01
@@ -281,7 +281,7 @@ def _added(table: pa.Table) -> pa.Table:
 
 
 def _round(shards: DataFrame, models: list[Model], shares: list[float], number: int, n: int) -> None:
-    """The models train on from where they are, each on its shards; they move by the mean of the changes. A single shard is learned from as train() does."""
+    """The models train on from where they are, each on its shards; they move by the mean of the changes."""
     sent = shards.sparkSession.sparkContext.broadcast(models)
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,9 +289,9 @@ def _round(shards: DataFrame, models: list[Model], shares: list[float], number:
             for i in range(batch.num_rows):
                 shard = _Shard(batch.slice(i, 1).to_pylist()[0])
                 before = sent.value[shard.model]
-                rng = np.random.default_rng([SEED, number, shard.number, shard.model] if n > 1 else SEED)
-                model = _fresh(rng) if n == 1 else Model(before.table.copy(), [f.copy() for f in before.filters], before.bias.copy(), before.out.copy(), before.out_bias)
-                _learn(model, shard.doc, shard.label, shares[shard.model], 1 if n > 1 else EPOCHS, rng, (number / ROUNDS, (number + 1) / ROUNDS) if n > 1 else (0, 1))
+                rng = np.random.default_rng([SEED, number, shard.number, shard.model])
+                model = Model(before.table.copy(), [f.copy() for f in before.filters], before.bias.copy(), before.out.copy(), before.out_bias)
+                _learn(model, shard.doc, shard.label, shares[shard.model], EPOCHS // ROUNDS, rng, (number / ROUNDS, (number + 1) / ROUNDS))
                 model.table -= before.table
                 row = np.flatnonzero(model.table.any(1))
                 for part in np.unique(row >> _PART):
@@ -360,7 +360,7 @@ def fit(docs: DataFrame, labels: DataFrame, shard_bytes: int = SHARD_BYTES) -> M
     shards = written(_shards(found, n, len(parts) > 1), "shards")
     drop(docs.sparkSession, found)
     models = [_fresh(np.random.default_rng(SEED)) for _ in parts]
-    for number in range(ROUNDS if n > 1 else 1):
+    for number in range(ROUNDS):
         _round(shards, models, [float(c[1] / c.sum()) for c in parts], number, n)
     cuts = _counted(shards, models[:2])
     model = models[-1]
