@@ -8,10 +8,6 @@ buffer of an Arrow column; no Python object is made per word.
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -22,6 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskstream.sources.shared import drop, shared_dir, written  # noqa: F401  (the operators have these from here)
+
 _ROOT = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _INVERSE = pow(_ROOT, -1, 1 << 64)
 _BYTE = np.random.Generator(np.random.PCG64(20240117)).integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
@@ -157,28 +155,6 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A local session that names none gets a temporary one; a cluster has to name it."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        if not (spark.sparkContext.master + "[").startswith("local["):
-            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-        own = tempfile.mkdtemp(prefix="riskstream-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        at = f"file://{own}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
-
-
-def written(df: DataFrame, what: str, by: str | None = None) -> DataFrame:
-    """df as a table in the shared folder, read again: its lineage is cut, and losing an executor loses none of it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(by) if by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def sieved(df: DataFrame, column: str, ids: DataFrame, bits: int = 1 << 23) -> DataFrame:
     """The rows of df whose long column is in ids of the same column, and few others: a one-hash Bloom filter.
 
@@ -190,14 +166,3 @@ def sieved(df: DataFrame, column: str, ids: DataFrame, bits: int = 1 << 23) -> D
     word = lambda d: d.withColumn("_place", place).withColumns({"_word": F.floor(F.col("_place") / 64), "_bit": bit})
     table = word(ids.select(column).where(F.col(column).isNotNull())).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
     return word(df).join(F.broadcast(table), "_word").where(F.col("_bit").bitwiseAND(F.col("_bits")) != 0).select(df.columns)
-
-
-def drop(spark: SparkSession, *tables: DataFrame) -> None:
-    """Removes written tables that nothing reads any more."""
-    for table in tables:
-        for file in table.inputFiles()[:1]:
-            jvm = spark.sparkContext._jvm
-            folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
-            while "=" in folder.getName():  # a part of a table by some column
-                folder = folder.getParent()
-            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
