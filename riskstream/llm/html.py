@@ -18,11 +18,14 @@ form an equivalence class.  A class is valid if
 
 The class of all pages with the valid classes nested in its slots is the template.
 Text in a template is none of a page's own.  What is left stands in slots, each
-known by the innermost container of the template around it; of these, the article is what
-pages mark so (article or main), or else the smallest container of the template that holds
-`SHARE` of all text of the host's slots, links aside.  Hosts of too few pages
+known by the innermost container of the template around it; of these, the article is
+the smallest container of the template that holds `SHARE` of all text of the host's slots, links aside.  Where
+that lies in what a page marks as its article (article or main), the mark says how far it goes.  Hosts of too few pages
 have no template; there the mark alone counts, or the smallest container around all text.
 
+Containers of one path may play several roles.  They are told apart by class, and div and section also by what they hold
+themselves: paragraphs, lists, bare text, or only other containers.
+
 The fingerprints are sums, so they combine before a shuffle and a host may hold any
 share of the pages; order, nesting and the text in slots are summed up per batch and then
 per host in the same way.
@@ -85,6 +88,7 @@ _NEVER = frozenset(
 )
 _OUTSIDE = frozenset("promo promotion banner aside footer header notice notices related recommended recommendations widget widgets toolbar masthead copyright disclaimer skip link links".split())
 _PLAIN = frozenset("area bar block box bottom button buttons container content desktop global group inner item items left list main mobile outer page panel primary right row secondary section site slot top unit wrap wrapper".split())
+_LISTS = frozenset("ul ol dl menu".split())
 _KEEPERS = frozenset(("html", "body", "main"))
 
 
@@ -119,8 +123,10 @@ Token = tuple[str, str | None, bool, bool, int]
 
 def parse(html: str) -> list[Token]:
     """Containers that open (path, None) and text blocks (path, text), each with: left out, inside article or main, characters in links; in page order."""
-    found: list[Token] = []
-    stack: list[tuple[str, bool, bool, str]] = [("", False, False, "")]  # tag, left out, inside, path
+    found: list[tuple[int, str | None, bool, bool, int]] = []
+    # of each container: the one around it, its label, and what it holds at best itself
+    around, labels, holds = [0], [""], [0]
+    stack: list[tuple[str, bool, bool, int]] = [("", False, False, 0)]  # tag, left out, inside, container
     part: list[str] = []
     links, link = 0, 0
     skip: list | None = None  # an inline element that is left out: its tag, how often open, and how deep it stands
@@ -130,8 +136,10 @@ def parse(html: str) -> list[Token]:
         if part:
             text = " ".join(unescape("".join(part)).split())
             if text:
-                _, out, inside, path = stack[-1]
-                found.append((path, text, out, inside, links))
+                tag, out, inside, node = stack[-1]
+                if tag not in _PARAGRAPH:
+                    holds[node] = max(holds[node], 1)
+                found.append((node, text, out, inside, links))
             part.clear()
         links = 0
 
@@ -177,14 +185,17 @@ def parse(html: str) -> list[Token]:
             pop(tuple(_PARAGRAPH), ("li", "td", "th", "blockquote", "article", "section", "div", "main", "body", "nav", "aside", "footer", "header", "form", "dd", "figure"))
             if tag in _ITEMS:
                 pop((tag,) if tag in ("li", "tr") else ("dt", "dd") if tag in ("dt", "dd") else ("td", "th"), _ITEMS[tag])
-            _, out, inside, path = stack[-1]
+            _, out, inside, node = stack[-1]
+            holds[node] = max(holds[node], 3 if tag in _PARAGRAPH or tag in ("blockquote", "pre") else 2 if tag in _LISTS else 0)
             inside = inside or tag in ("article", "main") or 'role="main"' in attributes
-            if tag not in _PARAGRAPH:
-                path = f"{path}/{_label(tag, attributes)}"
             out = out or bool(skip) or _left_out(tag, attributes, inside and tag not in ("article", "main"))
             if tag not in _PARAGRAPH:
-                found.append((path, None, out, inside, 0))
-            stack.append((tag, out, inside, path))
+                around.append(node)
+                labels.append(_label(tag, attributes))
+                holds.append(0)
+                node = len(around) - 1
+                found.append((node, None, out, inside, 0))
+            stack.append((tag, out, inside, node))
         else:
             if tag == "a":
                 link += 1
@@ -195,7 +206,12 @@ def parse(html: str) -> list[Token]:
     if done < len(html) and not (skip and len(stack) >= skip[2]):
         part.append(html[done:])
     close()
-    return found
+    paths = [""]
+    for node in range(1, len(around)):
+        # containers that may be anything are told apart by what they hold: paragraphs, lists, bare text or more containers
+        kind = f"~{holds[node]}" if labels[node].partition(".")[0] in ("div", "section") else ""
+        paths.append(f"{paths[around[node]]}/{labels[node]}{kind}")
+    return [(paths[node], *rest) for node, *rest in found]
 
 
 @dataclass(frozen=True)
@@ -211,9 +227,11 @@ def main_text(html: str | None, template: Template = Template()) -> str:
     if not html:
         return ""
     free = [t for t in parse(html) if t[1] is not None and not t[2] and token(t[0], t[1]) not in template.tokens]
-    own = [t for t in free if t[3]]
-    if not own and template.article:
-        own = [t for t in free if _within(t[0], template.article)]
+    marked = [t for t in free if t[3]]
+    own = [t for t in free if _within(t[0], template.article)] if template.article else []
+    if not own or any(t[3] for t in own):
+        # the page's own mark, where the template has no say or agrees
+        own = marked
     if not own:
         # the smallest container around all free text; blocks of links alone do not widen it
         paths = [t[0].split("/") for t in free if len(t[1]) > t[4]] or [t[0].split("/") for t in free]
@@ -339,7 +357,7 @@ def templates(pages: DataFrame, support: float = SUPPORT, least: int = LEAST, sh
     # a host whose own class has no order has no template
     valid = valid.groupBy("host").agg(F.collect_list("class").alias("valid")).where("array_contains(valid, 0)")
     tokens = classes.join(valid, "host").select("host", F.expr("flatten(transform(valid, k -> classes[k]))").alias("tokens"))
-    texts = said.where("path is not null and chars > 0 and not flag").groupBy("host", "path").agg(F.sum("chars").alias("chars"))
+    texts = said.where("path is not null and chars > 0").groupBy("host", "path").agg(F.sum("chars").alias("chars"))
     texts = texts.groupBy("host").agg(F.collect_list(F.struct("path", "chars")).alias("texts"))
     return tokens.join(texts, "host", "left")
 
