@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,10 +21,14 @@ from riskstream.operators import detectors, gold, metrics, quality, risk, tables
 from riskstream.operators.features import FEATURES, features
 from riskstream.operators.ordered import HOT
 from riskstream.operators.parse import flattened, split
+from riskstream.plans import lake
 from riskstream.plans import stand_ins as t
 from riskstream.plans.lake import CUSTOMER_COLUMNS, MERCHANT_COLUMNS, enriched_feed
+from riskstream.schemas import CUSTOMERS, MERCHANTS
+from riskstream.sources import readers
 from riskstream.sources.readers import sampled
 from riskstream.sources.shared import shared_dir, written
+from riskstream.sources.sinks import TableStore
 
 DAY = 86400
 SCALED = replace(DEFAULT, velocity_window=DAY, velocity_over=5, failures_window=DAY, failures_over=2, login_gap=6 * 3600, risk_window=DAY, speed_over=50.0)
@@ -524,6 +529,79 @@ def gbt_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(ml.score(model, own.where("is_test")).select("event_id", "label", "fraud_probability", "fraud_prediction"))
 
 
+def _raw_feeds(spark: SparkSession, sf_dir: str, raw: str) -> None:
+    """The events as the raw files of the feeds, dimensions and labels; every seventh transaction is there twice."""
+    own = t.events(spark, sf_dir).withColumns({"event_time": F.date_format("event_ts", "yyyy-MM-dd'T'HH:mm:ss"), "customer_id": _text("customer_id"), "merchant_id": F.col("k").cast("string"), "device_id": F.concat(F.lit("D"), F.col("k") % 7)})
+    place, id_ = ["customer_id", "event_time"], lambda kind: F.col("event_id").cast("string").alias(kind)
+    tx = own.where("kind = 'purchase'").unionByName(own.where("kind = 'purchase' and event_id % 7 = 0"))
+    feeds = {
+        "transactions": tx.select(id_("transaction_id"), *place, "amount", F.lit("USD").alias("currency"), "merchant_id", "lat", "lon", "device_id", F.lit("APPROVED").alias("status")),
+        "payments": own.where("kind in ('error', 'click')").select(id_("payment_id"), *place, "amount", "merchant_id", F.when(F.col("kind") == "error", "FAILED").otherwise("SUCCESS").alias("status")),
+        "logins": own.where("kind = 'signup'").select(id_("login_id"), *place, "device_id", (F.col("k") < 90).alias("success")),
+        "customer_locations": own.where("kind = 'view'").select(id_("location_id"), *place, F.concat(F.lit("C"), F.col("k") % 19).alias("city"), "lat", "lon", "device_id"),
+    }
+    for name, df in feeds.items():
+        df.write.json(f"{raw}/{name}.jsonl")
+    dimensions = {"customers": (t.customers(spark, sf_dir), CUSTOMERS), "merchants": (t.merchants(spark, sf_dir).withColumns({"lat": F.lit(0.0), "lon": F.lit(0.0)}), MERCHANTS)}
+    for name, (df, schema) in dimensions.items():
+        df.select(*schema.fieldNames()).write.option("header", True).csv(f"{raw}/{name}.csv")
+    kinds = own.select("event_id", F.when(F.col("kind") == "purchase", "transactions").when(F.col("kind") == "signup", "logins").when(F.col("kind") == "view", "customer_locations").otherwise("payments").alias("event_type"), "customer_id")
+    labels = t.labelled(spark, sf_dir).join(kinds, "event_id").select(_text("event_id"), "event_type", "customer_id", F.col("fraud_scenario").alias("scenario"), "alert_type", "risk_points", F.col("fraud_label").alias("label"))
+    labels.write.json(f"{raw}/labels.jsonl")
+
+
+def _lake(spark: SparkSession, sf_dir: str) -> tuple[TableStore, str, DataFrame]:
+    """The lake built from raw files, in a folder of its own; every event of money has a score."""
+    home = f"{shared_dir(spark)}/lake-{uuid.uuid4().hex}"
+    raw = f"{home}/raw"
+    _raw_feeds(spark, sf_dir, raw)
+    store, labels = TableStore(spark, f"{home}/lake"), readers.labels(spark, f"{raw}/labels.jsonl")
+    scores = t.events(spark, sf_dir).where("kind in ('purchase', 'error', 'click')").select(_text("event_id"), (F.col("amount") / (F.col("amount") + 50)).alias("fraud_probability"))
+    lake.bronze(store, raw)
+    lake.silver(store, labels.drop("event_type"), scores)
+    lake.build_gold(store)
+    return store, raw, labels
+
+
+_KINDS_SQL = "CASE kind WHEN 'purchase' THEN 'transactions' WHEN 'signup' THEN 'logins' WHEN 'view' THEN 'customer_locations' ELSE 'payments' END"
+
+
+@query(
+    f"""WITH {EV}, e AS (SELECT *, {_KINDS_SQL} AS feed, amount > 150 AND k < 50 AS fraud FROM ev), n AS (SELECT feed, count(*) AS n, count(*) FILTER (fraud) AS labelled, count(*) FILTER (feed = 'transactions' AND event_id % 7 = 0) AS twice FROM e GROUP BY feed),
+    c AS (SELECT 'bronze_' || feed AS "check", n + twice AS n FROM n UNION ALL SELECT 'bronze_customers', (SELECT count(*) FROM customer) UNION ALL SELECT 'bronze_merchants', (SELECT count(*) FROM part)
+      UNION ALL SELECT 'labelled_' || feed, labelled FROM n UNION ALL SELECT 'labelled', sum(labelled) FROM n UNION ALL SELECT 'fraud_conserved', sum(labelled) FROM n UNION ALL SELECT 'gold_fraud_events', sum(labelled) FROM n
+      UNION ALL SELECT 'distinct_event_ids', sum(n) FROM n UNION ALL SELECT 'null_event_ts', 0)
+    SELECT "check", CAST(n AS BIGINT) AS actual, CAST(n AS BIGINT) AS expected, true AS ok FROM c"""
+)
+def lake_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw files to bronze, silver and gold, and what the checks between the layers say."""
+    return lake.check(*_lake(spark, sf_dir))
+
+
+@query(
+    f"""WITH {_SUMMARY}, {_FRAUD[len(_UNIFIED) + 2:]} SELECT 'kpis' AS "table", 1::BIGINT AS n UNION ALL SELECT 'alert_details', count(*) FROM fraud UNION ALL SELECT 'alerts_by_hour', count(DISTINCT date_trunc('hour', event_ts)) FROM fraud
+    UNION ALL SELECT 'alerts_by_type', count(DISTINCT (alert_type, fraud_scenario)) FROM fraud UNION ALL SELECT 'top_risky_customers', count(*) FROM summary WHERE n_fraud > 0"""
+)
+def dashboard_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The presentation tables as one CSV each, read again and counted."""
+    store, _, _ = _lake(spark, sf_dir)
+    folder = f"{store.root}/dashboard"
+    rows = lake.dashboard(store, folder)
+    counted = [spark.read.option("header", True).csv(f"{folder}/{name}.csv").agg(F.lit(name).alias("table"), F.count("*").alias("n")) for name in rows]
+    return reduce(DataFrame.unionByName, counted)
+
+
+@query(
+    f"""WITH c AS ({SQL["confusion_matrix"]}), r AS ({SQL["roc_auc"]}), a AS ({SQL["average_precision"]})
+    SELECT tp, fp, fn, tn, precision, recall, f1, roc_auc, average_precision, roc_auc > 0.9 AND f1 > 0.8 AS released FROM c, r, a"""
+)
+def release_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All figures of a scored table, and whether a model with them is released."""
+    figures = ml.evaluate(_scored(spark, sf_dir).withColumnRenamed("score", "fraud_probability"))
+    types = "tp long, fp long, fn long, tn long, precision double, recall double, f1 double, roc_auc double, average_precision double, released boolean"
+    return out(spark.createDataFrame([figures | {"released": ml.passes(figures)}], types))
+
+
 #: Trees that the queries train; all of the model's settings take hundreds of passes more.
 _BOOSTED = trees.Params(trees=20, rate=0.2)
 

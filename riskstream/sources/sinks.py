@@ -163,21 +163,27 @@ class TableStore:
 
 
 def single_csv(spark: SparkSession, df: DataFrame, folder: str, name: str) -> int:
-    """A presentation table as folder/name.csv, rows in df's order; returns their number. Parts are written by all tasks and then put together as bytes."""
+    """A presentation table as folder/name.csv, rows in df's order; returns their number.
+
+    Rows are numbered where they are made and one task, which may spill, writes them in that order; the driver only renames the file.
+    """
     part = f"{folder}/.{name}"
     seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").option("header", False).csv(part)
+    placed = df.observe(seen, F.count(F.lit(1)).alias("n")).withColumn("_at", F.monotonically_increasing_id())
+    placed.repartition(1).sortWithinPartitions("_at").drop("_at").write.mode("overwrite").option("header", True).csv(part)
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     path = jvm.org.apache.hadoop.fs.Path
     fs = path(part).getFileSystem(conf)
-    files = sorted((s.getPath().getName(), s.getPath()) for s in fs.listStatus(path(part)) if s.getPath().getName().startswith("part-"))
-    out = fs.create(path(f"{folder}/{name}.csv"), True)
-    out.write(bytearray((",".join(df.columns) + "\n").encode()))
-    for _, file in files:
-        stream = fs.open(file)
-        jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, conf, False)
-        stream.close()
-    out.close()
+    at = path(f"{folder}/{name}.csv")
+    fs.delete(at, False)
+    files = [s.getPath() for s in fs.listStatus(path(part)) if s.getPath().getName().startswith("part-")]
+    if files:
+        fs.rename(files[0], at)
+    else:
+        # nothing to write, not even a header
+        out = fs.create(at, True)
+        out.write(bytearray((",".join(df.columns) + "\n").encode()))
+        out.close()
     fs.delete(path(part), True)
     return int(seen.get["n"])
 
