@@ -14,8 +14,8 @@ shingles that occur in the whole document.
 
 Words are compared after lower-casing A-Z; shingles have five words.  An item of
 fewer words is one shingle of all its words, looked for as such.  Items go to the
-executors in blocks whose size is bounded by `BLOCK_WORDS`; every block passes over
-all documents.  Hash values of 64 bits stand for shingles.
+executors in blocks whose size is bounded by `BLOCK_WORDS`, each text once with all of its ids; every block passes over
+all documents, and a worker builds a block's index once for all of its tasks.  Hash values of 64 bits stand for shingles.
 
 Defined cases: null, empty or wordless items and documents match nothing; an item
 without id has no rows in matches(), but clean() looks for it too; repeated
@@ -24,6 +24,7 @@ rows each give their rows; extra columns are ignored; empty tables give no rows.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -43,29 +44,26 @@ _MUL, _ADD = _SEEDS[0] * np.uint64(2) + np.uint64(1), _SEEDS[1]
 
 
 class Items:
-    """Items of one block: their shingles, and by size class their signatures in sorted columns."""
+    """Items of one block, each text once with all of its ids: their shingles, and by size class their signatures in sorted columns."""
 
-    def __init__(self, ids: list[int], texts: list[bytes | None], k: int):
+    def __init__(self, ids: list[list[int]], texts: list[bytes | None], k: int):
         w = words(pa.array(texts, pa.binary()), lower=True)
         n = np.diff(w.first)
         full, bounds = w.grams(k)
-        self.k = k
-        self.ids = np.array(ids, np.int64)
-        self.shingles: list[np.ndarray] = []
+        self.k, self.ids = k, ids
+        self.shingles = [np.unique(full[bounds[i] : bounds[i + 1]]) for i in range(len(ids))]
         self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        short: dict[int, list[int]] = {}
-        for i in range(len(ids)):
-            self.shingles.append(np.unique(full[bounds[i] : bounds[i + 1]]))
-            if 0 < n[i] < k:
-                short.setdefault(int(n[i]), []).append(i)
-        for m, rows in short.items():
+        for m in np.unique(n[(n > 0) & (n < k)]).tolist():
             grams, at = w.grams(m)
-            self.short[m] = np.array([grams[at[i]] for i in rows]), np.array(rows)
+            rows = np.flatnonzero(n == m)
+            self.short[m] = grams[at[rows]], rows
         self.classes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        sizes = [1 << (len(s) - 1).bit_length() if len(s) else 0 for s in self.shingles]
-        for size in sorted({s for s in sizes if s}):
-            rows = np.array([i for i, s in enumerate(sizes) if s == size])
-            signature = np.array([[mix(self.shingles[i] * a + b).min() for a, b in zip(_MUL, _ADD)] for i in rows])
+        count = np.array([len(s) for s in self.shingles], np.int64)
+        sizes = np.array([1 << (c - 1).bit_length() if c else 0 for c in count.tolist()], np.int64)
+        for size in np.unique(sizes[sizes > 0]).tolist():
+            rows = np.flatnonzero(sizes == size)
+            flat, first = np.concatenate([self.shingles[i] for i in rows]), np.cumsum(count[rows]) - count[rows]
+            signature = np.stack([np.minimum.reduceat(mix(flat * a + b), first) for a, b in zip(_MUL, _ADD)], 1)
             order = np.argsort(signature, 0, kind="stable")
             self.classes[size] = np.take_along_axis(signature, order, 0), rows[order]
 
@@ -96,6 +94,17 @@ class Items:
         return out
 
 
+#: The index of the block that a worker looked into last, so that its tasks build it once.
+_last: dict[str, Items] = {}
+
+
+def _index(name: str, sent, k: int) -> Items:
+    if name not in _last:
+        _last.clear()
+        _last[name] = Items(*sent.value, k)
+    return _last[name]
+
+
 def matches(docs: DataFrame, items: DataFrame, k: int = WORDS, contained: float = CONTAINED, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, item_id, n_shared, n_shingles, containment of every document of docs(doc_id, text) with every item of items(item_id, text) it holds."""
     spark = docs.sparkSession
@@ -109,16 +118,19 @@ def matches(docs: DataFrame, items: DataFrame, k: int = WORDS, contained: float
     return out
 
 
-def _blocks(items: DataFrame, block_words: int, named: bool = True) -> Iterator[tuple[list[int], list[bytes]]]:
-    """Items with text (and id if named; else 0 stands for a missing one), streamed to the driver and cut by their size; at least one block, perhaps empty."""
-    ids: list[int] = []
+def _blocks(items: DataFrame, block_words: int, named: bool = True) -> Iterator[tuple[list[list[int]], list[bytes]]]:
+    """Distinct texts of items with their ids (if named; else without), streamed to the driver and cut by their size; at least one block, perhaps empty."""
+    ids: list[list[int]] = []
     texts: list[bytes] = []
     size, any_ = 0, False
-    for item, text in items.select("item_id", F.col("text").cast("binary")).where("text is not null and item_id is not null" if named else "text is not null").orderBy("item_id").toLocalIterator():
+    own = items.select("item_id", F.col("text").cast("binary").alias("text")).where("text is not null and item_id is not null" if named else "text is not null")
+    # ids of a text that is there very often are a list no longer than the rows that matches() gives for it
+    grouped = own.groupBy("text").agg(F.sort_array(F.collect_list("item_id")).alias("ids")) if named else own.select("text", F.array().cast("array<bigint>").alias("ids")).distinct()
+    for text, found in grouped.orderBy("text").toLocalIterator():
         if ids and size + len(text) > 8 * block_words:
             yield ids, texts
             ids, texts, size, any_ = [], [], 0, True
-        ids.append(item or 0)
+        ids.append(found)
         texts.append(bytes(text))
         size += len(text)
     if ids or not any_:
@@ -129,10 +141,10 @@ def clean(docs: DataFrame, items: DataFrame, k: int = WORDS, contained: float =
     """The rows of docs, all columns, that hold none of the items; rows without doc_id are judged by their text like others."""
     names = docs.columns
     for ids, texts in _blocks(items, block_words, named=False):
-        sent = docs.sparkSession.sparkContext.broadcast((ids, texts))
+        sent, block = docs.sparkSession.sparkContext.broadcast((ids, texts)), uuid.uuid4().hex
 
-        def rows(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            known = Items(*sent.value, k)
+        def rows(batches: Iterable[pa.RecordBatch], sent=sent, block=block) -> Iterator[pa.RecordBatch]:
+            known = _index(block, sent, k)
             for batch in pieces(batches, "text"):
                 found = {f[0] for f in _held(known, batch.column(names.index("text")), contained)}
                 yield batch.filter(pa.array([i not in found for i in range(batch.num_rows)], pa.bool_()))
@@ -160,13 +172,18 @@ def _held(items: Items, texts: pa.Array, contained: float) -> set[tuple[int, int
 
 
 def _search(sent, k: int, contained: float):
+    block = uuid.uuid4().hex
+
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items(*sent.value, k)
+        items = _index(block, sent, k)
         for batch in pieces(batches, "text"):
             table = np.array(sorted(_held(items, batch.column(1), contained)), np.int64).reshape(-1, 4)
+            often = np.array([len(items.ids[i]) for i in table[:, 1]], np.int64)
+            ids = [x for i in table[:, 1] for x in items.ids[i]]
+            table = table[np.repeat(np.arange(len(table)), often)]
             doc_ids = batch.column(0).take(pa.array(table[:, 0]))
             yield pa.RecordBatch.from_arrays(
-                [doc_ids, pa.array(items.ids[table[:, 1]] if len(table) else [], pa.int64()), pa.array(table[:, 2]), pa.array(table[:, 3]), pa.array(table[:, 2] / np.maximum(table[:, 3], 1))],
+                [doc_ids, pa.array(ids, pa.int64()), pa.array(table[:, 2]), pa.array(table[:, 3]), pa.array(table[:, 2] / np.maximum(table[:, 3], 1))],
                 ["doc_id", "item_id", "n_shared", "n_shingles", "containment"],
             )
 

@@ -373,6 +373,16 @@ def test_decontamination(spark, texts):
     assert decontaminate.matches(docs, bench.limit(0)).count() == 0 and decontaminate.matches(docs.limit(0), bench).count() == 0
 
 
+def test_repeated_items_and_a_common_beginning(spark):
+    begin = "all of these start alike and then "
+    items = [(i, "one item that stands here five times over") for i in range(5)] + [(10 + i, begin + " ".join(f"v{i}x{j}" for j in range(9))) for i in range(200)] + [(7, None), (8, "")]
+    docs = frame(spark, [f"before {items[0][1]} after", f"x {begin} y", f"x {items[60][1]} y", None])
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id, x.containment) for x in decontaminate.matches(docs, bench).collect()}
+    assert got == {(0, i, 1.0) for i in range(5)} | {(2, items[60][0], 1.0)}
+    assert [x.doc_id for x in decontaminate.clean(docs, bench).orderBy("doc_id").collect()] == [1, 3]
+
+
 def test_items_without_id_are_cleaned(spark):
     docs = frame(spark, ["a b c d e f g h", "other words of no item at all"])
     items = spark.createDataFrame([(None, "b c d e f g")], "item_id long, text string")
