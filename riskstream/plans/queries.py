@@ -578,6 +578,20 @@ def lake_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lake.check(*_lake(spark, sf_dir))
 
 
+@query(
+    f"""WITH {EV}, f AS (SELECT {_KINDS_SQL} AS "table", count(*) + count(*) FILTER (kind = 'purchase' AND event_id % 7 = 0) AS n FROM ev GROUP BY ALL UNION ALL SELECT 'customers', count(*) FROM customer UNION ALL SELECT 'merchants', count(*) FROM part)
+    SELECT "table", n, n AS stamped FROM f"""
+)
+def bronze_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each bronze table, read from raw files, and how many carry the time they were read."""
+    home = f"{shared_dir(spark)}/bronze-{uuid.uuid4().hex}"
+    _raw_feeds(spark, sf_dir, f"{home}/raw")
+    store = TableStore(spark, f"{home}/lake")
+    lake.bronze(store, f"{home}/raw")
+    names = (*lake.FEEDS, "customers", "merchants")
+    return reduce(DataFrame.unionByName, [store.read(f"bronze/{name}").agg(F.lit(name).alias("table"), F.count("*").alias("n"), F.count("_ingestion_ts").alias("stamped")) for name in names])
+
+
 @query(
     f"""WITH {_SUMMARY}, {_FRAUD[len(_UNIFIED) + 2:]} SELECT 'kpis' AS "table", 1::BIGINT AS n UNION ALL SELECT 'alert_details', count(*) FROM fraud UNION ALL SELECT 'alerts_by_hour', count(DISTINCT date_trunc('hour', event_ts)) FROM fraud
     UNION ALL SELECT 'alerts_by_type', count(DISTINCT (alert_type, fraud_scenario)) FROM fraud UNION ALL SELECT 'top_risky_customers', count(*) FROM summary WHERE n_fraud > 0"""

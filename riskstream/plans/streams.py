@@ -35,8 +35,9 @@ _WINDOW = ["window_start", "window_end"]
 
 @contextmanager
 def settings(spark: SparkSession, **conf: str) -> Iterator[None]:
-    """Session settings as long as a stream is made and runs; then as they were."""
-    names = {"spark.sql.streaming.stateStore.providerClass": STATE_STORE} | {k.replace("__", "."): v for k, v in conf.items()}
+    """Session settings as long as a stream is made and runs; then as they were. State has no more partitions than there are cores, since every batch opens them all."""
+    partitions = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    names = {"spark.sql.streaming.stateStore.providerClass": STATE_STORE, "spark.sql.shuffle.partitions": str(partitions)} | {k.replace("__", "."): v for k, v in conf.items()}
     before = {name: spark.conf.get(name, None) for name in names}
     try:
         for name, value in names.items():
