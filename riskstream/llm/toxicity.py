@@ -46,10 +46,10 @@ FILTERS = 12
 WIDTHS = (1, 2, 3)
 PREFIXES = (4, 6)  # bytes
 ROWS = 2 + len(PREFIXES)
-EPOCHS = 8
+EPOCHS = 6
 BATCH = 24
 SHARD_BYTES = 16 << 20
-ROUNDS = 4  # each of EPOCHS / ROUNDS epochs
+ROUNDS = 6  # each of EPOCHS / ROUNDS epochs
 FAN = 256
 STEPS = 1000
 RATE = 0.01
