@@ -43,7 +43,7 @@ WITH d AS (SELECT doc_id, {_LOWERED} AS ws FROM documents), i AS (SELECT item_id
 SELECT doc_id, item_id, n_shared, n AS n_shingles, n_shared / n AS containment FROM shared JOIN sizes USING (item_id) WHERE n_shared >= 0.8 * n
 """
 
-_NOTICES = ", ".join(f"('{k}', '{v}')" for k, v in sorted(NOTICES.items()))
+_NOTICES = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in sorted(NOTICES.items()))
 _RUNS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\\p{{L}}\\p{{N}}]+')"
 
 NOTICE = f"""
