@@ -49,13 +49,6 @@ def facts(events: DataFrame) -> DataFrame:
     )
 
 
-def conserved(detail: DataFrame, summary: DataFrame, name: str, column: str = "n_fraud") -> DataFrame:
-    """A summary's total equals the number of rows it sums up."""
-    total = summary.agg(F.coalesce(F.sum(column), F.lit(0)).cast("long").alias("total"), F.lit(0).cast("long").alias("rows"))
-    both = total.unionByName(detail.agg(F.lit(0).cast("long").alias("total"), F.count("*").alias("rows")))
-    return checks(both, {name: F.sum("total"), "_rows": F.sum("rows")}, {name: "_rows"})
-
-
 def counted(df: DataFrame, name: str, expected: int) -> DataFrame:
     return checks(df, {name: F.count("*")}, {name: expected})
 
