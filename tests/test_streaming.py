@@ -282,3 +282,18 @@ def test_replay_deals_in_order(spark, tmp_path):
     once()
     assert seen == [[0, 1, 2, 4, 5, 6, 7, 8, 9], list(range(10, 20)), [3, *range(20, 30)], list(range(30, 40)), list(range(40, 50)), list(range(50, 60))]
     assert replay.dealt(rows.limit(0), "ts").count() == 0
+
+
+def test_files_of_a_batch_follow_their_order(spark, tmp_path):
+    path, seen = f"file://{tmp_path}/ordered", []
+    rows = spark.range(400).select(F.pmod(F.col("id") * 7919, F.lit(400)).alias("at")).repartition(4)
+    write = sinks.batch_folders(path, order=["at"])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for n, part in enumerate(("at < 200", "at >= 200")):
+            write(rows.where(part), n)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = spark.readStream.schema("at long").option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+    runner.drain(sinks.each_batch(files, lambda batch, n: seen.append(sorted(r["at"] for r in batch.collect())), str(tmp_path / "check")))
+    assert len(seen) > 4 and sum(seen, []) == list(range(400))
