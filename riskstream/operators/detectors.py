@@ -28,14 +28,14 @@ def velocity(transactions: DataFrame, s: Settings = DEFAULT, watermark: int | No
     return _bursts(transactions, "transaction_id", "tx_count", s.velocity_window, s.velocity_over, s.velocity, watermark)
 
 
-def velocity_trailing(transactions: DataFrame, s: Settings = DEFAULT, hot: int = ordered.HOT) -> DataFrame:
+def velocity_trailing(transactions: DataFrame, s: Settings = DEFAULT, hot: int = ordered.HOT, peers: bool = True) -> DataFrame:
     """Each transaction that is more than the allowed number within the seconds before it: bursts across window edges too. Static tables only.
 
-    Customers with more than `hot` rows are spread over tasks.
+    Of transactions of one time those with smaller ids count as before, or none without `peers`. Customers with more than `hot` rows are spread over tasks.
     """
     own = transactions.select("transaction_id", "customer_id", "event_ts", micros(F.col("event_ts")).alias("us"))
-    few = lambda df: df.withColumn("tx_count", trailing(["customer_id"], F.col("us"), ["transaction_id"]).count(s.velocity_window))
-    many = lambda df: ordered.trailing(df, ["customer_id"], "us", ["transaction_id"], {"tx_count": (F.lit(1), s.velocity_window)})
+    few = lambda df: df.withColumn("tx_count", trailing(["customer_id"], F.col("us"), ["transaction_id"] if peers else []).count(s.velocity_window))
+    many = lambda df: ordered.trailing(df, ["customer_id"], "us", ["transaction_id"], {"tx_count": (F.lit(1), s.velocity_window)}, peers=peers)
     out = ordered.by_heat(own, "customer_id", few, many, hot).withColumn("tx_count", F.col("tx_count") + 1).where(F.col("tx_count") > s.velocity_over)
     return _marked(out.select("transaction_id", "customer_id", "event_ts", "tx_count"), s.velocity)
 
@@ -65,21 +65,21 @@ def impossible_travel(transactions: DataFrame, s: Settings = DEFAULT, zero_gap:
 _MONEY = "decimal(38,18)"
 
 
-def high_value(transactions: DataFrame, s: Settings = DEFAULT, hot: int = ordered.HOT) -> DataFrame:
+def high_value(transactions: DataFrame, s: Settings = DEFAULT, hot: int = ordered.HOT, peers: bool = True) -> DataFrame:
     """Amounts many times the larger of the customer's averages over a week and a month before, both without the row itself.
 
-    Customers with more than `hot` rows are spread over tasks.
+    Of transactions of one time those with smaller ids count as before, or none without `peers`. Customers with more than `hot` rows are spread over tasks.
     """
     amount = F.col("amount")
     short, long_ = s.high_value_short, s.high_value_long
 
     def few(df: DataFrame) -> DataFrame:
-        frame = trailing(["customer_id"], F.col("us"), ["transaction_id"])
+        frame = trailing(["customer_id"], F.col("us"), ["transaction_id"] if peers else [])
         return df.withColumns({"short_sum": frame.sum(amount, short), "short_n": frame.count(short), "long_sum": frame.sum(amount, long_), "history": frame.count(long_)})
 
     def many(df: DataFrame) -> DataFrame:
         money, one = amount.cast(_MONEY), F.lit(1)
-        out = ordered.trailing(df, ["customer_id"], "us", ["transaction_id"], {"short_sum": (money, short), "short_n": (one, short), "long_sum": (money, long_), "history": (one, long_)})
+        out = ordered.trailing(df, ["customer_id"], "us", ["transaction_id"], {"short_sum": (money, short), "short_n": (one, short), "long_sum": (money, long_), "history": (one, long_)}, peers=peers)
         return out.withColumns({c: F.col(c).cast("double") for c in ("short_sum", "long_sum")})
 
     own = transactions.select("transaction_id", "customer_id", "amount", "event_ts", micros(F.col("event_ts")).alias("us"))

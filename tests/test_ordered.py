@@ -113,3 +113,14 @@ def test_ranks_of_many_scores(spark):
     assert len(sizes) >= 25 and max(sizes) <= 2 * statistics.median(sizes)
     parts = {(r.label, r.is_test): r["count"] for r in ml.split(df, "id").groupBy("label", "is_test").count().collect()}
     assert parts[1, True] == round(0.2 * pos) and parts[0, True] == round(0.2 * (len(rows) - pos))
+
+
+@pytest.mark.parametrize("hot", [ordered.HOT, 0])
+def test_peers_do_not_count_where_sql_leaves_them_out(spark, hot):
+    made = [(i, "a", T0 + dt.timedelta(seconds=s), float(amount)) for i, (s, amount) in enumerate([(0, 1), (1, 2), (5, 3), (5, 4), (5, 5), (6, 100)])]
+    own = spark.createDataFrame(made, "transaction_id long, customer_id string, event_ts timestamp, amount double")
+    s = replace(DEFAULT, velocity_over=0, high_value_times=0.1)
+    found = {r.transaction_id: r.tx_count for r in detectors.velocity_trailing(own, s, hot, peers=False).collect()}
+    assert found == {0: 1, 1: 2, 2: 3, 3: 3, 4: 3, 5: 6}
+    assert {r.transaction_id: r.tx_count for r in detectors.velocity_trailing(own, s, hot).collect()} == {i: i + 1 for i in range(6)}
+    assert {r.transaction_id: r.avg_7d for r in detectors.high_value(own, s, hot, peers=False).collect()} == {2: 1.5, 3: 1.5, 4: 1.5, 5: 3.0}
