@@ -297,3 +297,25 @@ def test_files_of_a_batch_follow_their_order(spark, tmp_path):
     files = spark.readStream.schema("at long").option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
     runner.drain(sinks.each_batch(files, lambda batch, n: seen.append(sorted(r["at"] for r in batch.collect())), str(tmp_path / "check")))
     assert len(seen) > 4 and sum(seen, []) == list(range(400))
+
+
+def test_state_is_held_by_buckets_of_customers(spark, tmp_path):
+    lines = [record(i, 10 * i, f"c{i % 200}", lat=float(i // 200 * 20)) for i in range(600)]
+    drop(tmp_path / "in", 0, lines[:400])
+    drop(tmp_path / "in", 1, lines[400:])
+    expected = {(r.transaction_id, r.time_gap_seconds) for r in detectors.impossible_travel(batch(spark, tmp_path / "in")).collect()}
+    drop(tmp_path / "in", 9, [record(999, 10_000_000, "z")])
+    own, out = state.travel_stream(stream(spark, tmp_path / "in"), watermark=60, buckets=4), str(tmp_path / "out")
+    q = runner.drain(sinks.each_batch(own, sinks.batch_folders(out), str(tmp_path / "check")))
+    assert {(r.transaction_id, r.time_gap_seconds) for r in spark.read.parquet(out).collect()} == expected and expected
+    # a few rows of state for each bucket, however many customers there are
+    assert max(op["numRowsTotal"] for p in q[0].recentProgress for op in json.loads(p.json)["stateOperators"]) < 100
+
+
+@pytest.mark.parametrize("peers", [True, False])
+def test_high_value_stream_with_peers_or_without(spark, tmp_path, peers):
+    lines = [record(i, s, amount=float(a)) for i, (s, a) in enumerate([(0, 10), (5, 10), (5, 100), (5, 2), (60, 90), (90, 700)])]
+    drop(tmp_path / "in", 0, lines)
+    expected = {(r.transaction_id, r.avg_7d) for r in detectors.high_value(batch(spark, tmp_path / "in"), peers=peers).collect()}
+    got = run(spark, state.high_value_stream(stream(spark, tmp_path / "in"), peers=peers), f"peers_{peers}", tmp_path, "update").collect()
+    assert {(r.transaction_id, r.avg_7d) for r in got} == expected and expected
