@@ -124,3 +124,19 @@ def test_peers_do_not_count_where_sql_leaves_them_out(spark, hot):
     assert found == {0: 1, 1: 2, 2: 3, 3: 3, 4: 3, 5: 6}
     assert {r.transaction_id: r.tx_count for r in detectors.velocity_trailing(own, s, hot).collect()} == {i: i + 1 for i in range(6)}
     assert {r.transaction_id: r.avg_7d for r in detectors.high_value(own, s, hot, peers=False).collect()} == {2: 1.5, 3: 1.5, 4: 1.5, 5: 3.0}
+
+
+def test_rows_of_a_hot_customer_meet_what_is_known_without_a_shuffle_by_customer(spark, rows):
+    own = events(spark, rows)
+    customers = spark.createDataFrame([("hot", 10.0, 0.0, 0.0), ("a", 5.0, 1.0, 1.0)], "customer_id string, avg_transaction double, home_lat double, home_lon double")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = features(own, customers, hot=200)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        # one join of few customers' rows by shuffle; that of the hot ones is a broadcast
+        known = [line for line in plan.splitlines() if "Join" in line and "customer_id#" in line and "LeftOuter" in line]
+        assert sum("BroadcastHashJoin" in line for line in known) >= 1 and sum("SortMergeJoin [customer_id#" in line and "], [customer_id#" in line and "," not in line.split("[")[1].split("]")[0] for line in known) <= 1, known
+        same(df, features(own, customers))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
