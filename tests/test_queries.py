@@ -85,3 +85,18 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).limit(1).count() == 1
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("name", ["gbt_score", "boosted_score"])
+def test_training_reads_features_that_were_written_once(spark, monkeypatch, name):
+    from riskstream import ml
+    from riskstream.ml import trees
+
+    seen = []
+    module = ml if name == "gbt_score" else trees
+    train = module.train
+    monkeypatch.setattr(module, "train", lambda df, *a: seen.append(df._jdf.queryExecution().executedPlan().toString()) or train(df, *a))
+    monkeypatch.setattr("riskstream.plans.queries._BOOSTED", trees.Params(trees=1, depth=2))
+    assert QUERIES[name](spark, DIR).count()
+    # neither events nor windows over them: a scan and a filter
+    assert seen and "/events.parquet" not in seen[0] and "Window" not in seen[0] and "Exchange" not in seen[0]
